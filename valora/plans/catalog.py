@@ -503,3 +503,168 @@ def q_knn_manhattan(spark, d):
 
 QUERIES.update({"knn_uniform": q_knn_uniform, "knn_distance": q_knn_distance,
                 "knn_manhattan": q_knn_manhattan})
+
+
+# ------------------------------------------------------------------ more A / P / T
+def q_fliers(spark, d):
+    ev = _t(spark, d, "events").select("event_id", "event_type", "value")
+    return explore.fliers(ev, "event_type", "value", "event_id")
+
+
+def q_prune_correlated(spark, d):
+    p = _t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    out, _ = explore.prune_correlated(p, ["p_partkey", "p_size", "p_retailprice"], 0.4)
+    return out
+
+
+def q_feature_names(spark, d):
+    c = _t(spark, d, "customer").select("c_acctbal", "c_mktsegment")
+    pipe = preprocess.build_pipeline(["c_acctbal"], ["c_mktsegment"]).fit(c)
+    names = preprocess.feature_names(pipe)
+    return spark.createDataFrame(list(enumerate(names)), "idx int, name string")
+
+
+# ------------------------------------------------------------------ rows-only: iterative / MLlib
+def q_pca_share(spark, d):
+    e = _t(spark, d, "embeddings").select("vec_id", "embedding")
+    m = preprocess.Pca("embedding", 0.95).fit(e)
+    ex = m.explained(spark)
+    return ex.withColumn("chosen_k", F.lit(m.k)).select(
+        "component", _r(F.col("share")).alias("share"), _r(F.col("cumulative")).alias("cumulative"), "chosen_k")
+
+
+def q_pca_project(spark, d):
+    e = _t(spark, d, "embeddings").select("vec_id", "embedding")
+    m = preprocess.Pca("embedding", 8).fit(e)
+    out = m.transform(e)
+    return out.select("vec_id", *[_r(F.col("pca")[i]).alias(f"pc{i}") for i in range(8)])
+
+
+def q_knn_grid(spark, d):
+    from ..operators import knn
+    q, b = _emb_split(spark, d)
+    g = knn.knn_grid(q, b, "vec_id", "embedding", "label", "label")
+    return g.select("metric", "k", "weights", _r(F.col("rmse")).alias("rmse"))
+
+
+def _ml_frame(spark, d):
+    from .workflow import property_table
+    t = folds.split(property_table(spark, d), "Id", 0.15)
+    t = features.age_features(t).withColumn("y", features.target_forward("HotelValue"))
+    num = ["UsableArea", "Discount", "Tax", "LandArea", "HouseAge", "YearsSinceModification"]
+    codes = preprocess.OrdinalCodes(["PropertyType", "ReturnFlag", "Priority"], suffix="_code").fit(
+        t.where("is_test = 0"))
+    t = codes.transform(t)
+    cols = num + ["PropertyType_code", "ReturnFlag_code", "Priority_code"]
+    imp = preprocess.Impute(median=cols).fit(t.where("is_test = 0"))
+    return preprocess.assemble(imp.transform(t), cols)
+
+
+def _tree_out(model, t):
+    s = model.transform(t.where("is_test = 1"))
+    return s.select("Id", _r(features.target_inverse(F.col("prediction")), 4).alias("prediction"))
+
+
+def q_random_forest(spark, d):
+    from ..operators import trees
+    t = _ml_frame(spark, d)
+    m = trees.forest(label="y", n_trees=20, max_depth=8, min_leaf=3).fit(t.where("is_test = 0"))
+    return _tree_out(m, t)
+
+
+def q_gbt(spark, d):
+    from ..operators import trees
+    t = _ml_frame(spark, d)
+    m = trees.boosted(label="y", n_trees=20, learning_rate=0.1, max_depth=4).fit(t.where("is_test = 0"))
+    return _tree_out(m, t)
+
+
+def q_adaboost_r2(spark, d):
+    from ..operators import trees
+    t = _ml_frame(spark, d)
+    m = trees.adaboost_r2(t.where("is_test = 0"), "features", "y", n_estimators=8, max_depth=3)
+    return _tree_out(m, t)
+
+
+def q_forest_grid(spark, d):
+    """H1 on trees: MLlib CrossValidator over a fold column (k=3)."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    from ..operators import trees
+    t = _ml_frame(spark, d).where("is_test = 0")
+    t = folds.assign_folds(t, "Id", 3)
+    rf = trees.forest(label="y", n_trees=10, max_depth=6)
+    grid = ParamGridBuilder().addGrid(rf.numTrees, [10, 20]).addGrid(rf.minInstancesPerNode, [1, 3]).build()
+    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, foldCol="fold", parallelism=4,
+                        evaluator=RegressionEvaluator(labelCol="y", metricName="rmse"))
+    m = cv.fit(t)
+    rows = [(int(pm[rf.numTrees]), int(pm[rf.minInstancesPerNode]), float(s))
+            for pm, s in zip(grid, m.avgMetrics)]
+    return spark.createDataFrame(rows, "num_trees int, min_leaf int, cv_rmse double")
+
+
+def q_ridge_search(spark, d):
+    """H2 on the linear family: sampled candidates, all folds from one pass."""
+    from ..operators import search
+    from ..operators.maps import RIDGE_SPACE
+    li = _li_xy(spark, d, ("l_quantity", "l_discount", "l_tax"))
+    li = li.withColumn("y", F.log1p("l_extendedprice"))
+    g = linear.gram(li, ["l_quantity", "l_discount", "l_tax"], "y", fold_col="fold")
+    mask = [True, True, True]
+
+    def ev(cands):
+        res = linear.evaluate_candidates(g, [dict(c, kind="ridge") for c in cands], mask)
+        return list(res.groupby("candidate")["rmse"].mean().sort_index())
+
+    best, score, hist = search.search(ev, RIDGE_SPACE, n_iter=30, rounds=2)
+    rows = [(r, float(c["alpha"]), int(bool(c["fit_intercept"])), float(s)) for r, c, s in hist]
+    return spark.createDataFrame(rows, "round int, alpha double, fit_intercept int, cv_rmse double")
+
+
+def q_lasso_cv(spark, d):
+    """M4 as LassoCV: contiguous 5 blocks (K3), 100-alpha path, best by mean MSE."""
+    p = folds.block_folds(_t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), "p_partkey", 5)
+    g = linear.gram(p, ["p_size"], "p_retailprice", fold_col="fold")
+    path, best = linear.elastic_net_path(g, [1.0], scale_mask=[True])
+    mean = path.groupby(["alpha_idx", "alpha"], as_index=False)["mse"].mean()
+    mean["chosen"] = (mean["alpha"] == best.info["alpha"]).astype(int)
+    return spark.createDataFrame(mean[["alpha_idx", "alpha", "mse", "chosen"]].astype(
+        {"alpha_idx": "int32", "chosen": "int32"}))
+
+
+def q_elastic_net_cv(spark, d):
+    p = folds.block_folds(_t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), "p_partkey", 5)
+    g = linear.gram(p, ["p_size"], "p_retailprice", fold_col="fold")
+    path, best = linear.elastic_net_path(g, [0.1, 0.5, 0.7, 0.9, 0.95, 0.99, 1.0], n_alphas=20,
+                                         scale_mask=[True])
+    return spark.createDataFrame(path.astype({"alpha_idx": "int32", "fold": "int32"}))
+
+
+def q_train_tune_score(spark, d):
+    from .workflow import property_table, train_tune_score
+    t = folds.split(property_table(spark, d), "Id", 0.15)
+    out, _ = train_tune_score(t.where("is_test = 0").drop("is_test"),
+                              t.where("is_test = 1").drop("is_test", "HotelValue"))
+    return out
+
+
+def q_score_stream(spark, d):
+    from ..streaming.scoring import score_stream
+    p, g = _score_models(spark, d)
+    m = linear.fit_ridge(g, 0.0)
+    stream = (spark.readStream.schema(_t(spark, d, "part").schema).option("maxFilesPerTrigger", 1)
+              .parquet(f"{d}/part[.]parquet"))
+    out = score_stream(stream, lambda df: clean.clip_predictions(
+        m.transform(df, "log_pred").withColumn("prediction", features.target_inverse("log_pred")),
+        "prediction").select("p_partkey", _r(F.col("prediction"), 4).alias("prediction")))
+    return out
+
+
+QUERIES.update({
+    "fliers": q_fliers, "prune_correlated": q_prune_correlated, "feature_names": q_feature_names,
+    "pca_share": q_pca_share, "pca_project": q_pca_project, "knn_grid": q_knn_grid,
+    "random_forest": q_random_forest, "gbt": q_gbt, "adaboost_r2": q_adaboost_r2,
+    "forest_grid": q_forest_grid, "ridge_search": q_ridge_search, "lasso_cv": q_lasso_cv,
+    "elastic_net_cv": q_elastic_net_cv, "train_tune_score": q_train_tune_score,
+    "score_stream": q_score_stream,
+})

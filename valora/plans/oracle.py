@@ -266,3 +266,16 @@ ORACLE = {
     "knn_distance": _knn_sql("distance", "euclidean"),
     "knn_manhattan": _knn_sql("uniform", "manhattan"),
 }
+
+ORACLE.update({
+    "fliers": """WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
+            FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL GROUP BY event_type)
+        SELECT event_id, e.event_type, value FROM events e JOIN q USING (event_type)
+        WHERE NOT (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))""",
+    "prune_correlated": "SELECT p_partkey, p_size FROM part",
+    "feature_names": """SELECT 0 AS idx, 'num__c_acctbal' AS name UNION ALL
+        SELECT CAST(row_number() OVER (ORDER BY c_mktsegment) AS INTEGER) AS idx,
+               'cat__c_mktsegment_' || c_mktsegment AS name
+        FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment IS NOT NULL)""",
+    "score_stream": ORACLE["score_table"],
+})
