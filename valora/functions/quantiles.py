@@ -54,55 +54,94 @@ def _interp(v0: float, v1: float, frac: float) -> float:
     return v0 if frac == 0 or v0 == v1 else v0 + (v1 - v0) * frac
 
 
-def _global(base: DataFrame, probs, buckets: int, leaf_rows: int, max_passes: int) -> dict:
-    row = base.agg(F.count(F.lit(1)).alias("n"), F.min(_V).alias("lo"), F.max(_V).alias("hi")).first()
-    n = int(row["n"])
-    if n == 0:
-        return {float(q): None for q in probs}
-    targets = _rank_targets(n, probs)
-    ranks = sorted({r for _, r0, r1, _ in targets for r in (r0, r1)})
-    state = {r: (float(row["lo"]), float(row["hi"]), 0, n) for r in ranks}
+def _columns(df: DataFrame, cols, probs, buckets: int, leaf_rows: int, max_passes: int) -> dict:
+    """Exact quantiles of several columns at once; the bracket state (a few
+    numbers per column) lives on the driver and enters the plan as literals,
+    so every pass is ONE scan with map-side aggregation and no join."""
+    cols = list(cols)
+    aggs = []
+    for i, c in enumerate(cols):
+        v = F.col(c).cast("double")
+        ok = v.isNotNull() & ~F.isnan(v)
+        aggs += [F.count(F.when(ok, 1)).alias(f"n{i}"), F.min(F.when(ok, v)).alias(f"lo{i}"),
+                 F.max(F.when(ok, v)).alias(f"hi{i}")]
+    row = df.agg(*aggs).first()
+    out, targets, state = {}, {}, {}
+    for i, c in enumerate(cols):
+        n = int(row[f"n{i}"])
+        if n == 0:
+            out[c] = {float(q): None for q in probs}
+            continue
+        targets[i] = _rank_targets(n, probs)
+        for _, r0, r1, _ in targets[i]:
+            for r in (r0, r1):
+                state[(i, r)] = (float(row[f"lo{i}"]), float(row[f"hi{i}"]), 0, n)
+
+    def brackets(open_only: bool):
+        return sorted({(i, lo, hi, below) for (i, _), (lo, hi, below, cnt) in state.items()
+                       if lo < hi and (cnt > leaf_rows or not open_only)})
+
+    def emit(bl, with_bucket: bool):
+        items = []
+        for b, (i, lo, hi, _) in enumerate(bl):
+            v = F.col(cols[i]).cast("double")
+            fields = [F.lit(b).alias("b"), v.alias(_V)]
+            if with_bucket:
+                k = F.least(F.greatest(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(buckets)))
+                                       .cast("int"), F.lit(0)), F.lit(buckets - 1))
+                fields.append(k.alias("k"))
+            items.append(F.when(v.between(F.lit(lo), F.lit(hi)), F.struct(*fields)))
+        return (df.select(F.explode(F.array(*items)).alias("e")).where(F.col("e").isNotNull())
+                .select("e.*"))
+
     for _ in range(max_passes):
-        open_ = sorted({(lo, hi, below) for lo, hi, below, cnt in state.values()
-                        if cnt > leaf_rows and lo < hi})
-        if not open_:
+        bl = brackets(True)
+        if not bl:
             break
-        parts = [base.where(F.col(_V).between(lo, hi))
-                 .select(F.lit(i).alias("b"), _bucket(F.lit(lo), F.lit(hi), buckets).alias("k"), _V)
-                 for i, (lo, hi, _) in enumerate(open_)]
-        hist = (reduce(DataFrame.unionByName, parts)
-                .groupBy("b", "k").agg(F.count(F.lit(1)).alias("c"), F.min(_V).alias("mn"),
-                                        F.max(_V).alias("mx"))
-                .collect())  # at most len(open_) * buckets rows
+        hist = (emit(bl, True).groupBy("b", "k")
+                .agg(F.count(F.lit(1)).alias("c"), F.min(_V).alias("mn"), F.max(_V).alias("mx"))
+                .collect())  # at most len(bl) * buckets rows
         by_b: dict = {}
         for h in hist:
             by_b.setdefault(h["b"], []).append((h["k"], h["c"], h["mn"], h["mx"]))
-        for r, (lo, hi, below, cnt) in list(state.items()):
+        for key, (lo, hi, below, cnt) in list(state.items()):
             if not (cnt > leaf_rows and lo < hi):
                 continue
-            i = open_.index((lo, hi, below))
             acc = below
-            for _, c, mn, mx in sorted(by_b[i]):
-                if acc <= r < acc + c:
-                    state[r] = (float(mn), float(mx), acc, int(c))
+            for _, c, mn, mx in sorted(by_b[bl.index((key[0], lo, hi, below))]):
+                if acc <= key[1] < acc + c:
+                    state[key] = (float(mn), float(mx), acc, int(c))
                     break
                 acc += c
-    values = {}
-    leaf = sorted({(lo, hi, below) for lo, hi, below, cnt in state.values() if lo < hi})
-    if leaf:
-        parts = [base.where(F.col(_V).between(lo, hi)).select(F.lit(i).alias("b"), _V)
-                 for i, (lo, hi, _) in enumerate(leaf)]
-        got: dict = {}
-        for rr in reduce(DataFrame.unionByName, parts).collect():  # <= leaf_rows per bracket
+    bl = brackets(False)
+    got: dict = {}
+    if bl:
+        for rr in emit(bl, False).collect():  # <= leaf_rows values per bracket
             got.setdefault(rr["b"], []).append(rr[_V])
         for lst in got.values():
             lst.sort()
-    for r, (lo, hi, below, _) in state.items():
-        if lo == hi:
-            values[r] = lo
-        else:
-            values[r] = got[leaf.index((lo, hi, below))][r - below]
-    return {float(q): _interp(values[r0], values[r1], frac) for q, r0, r1, frac in targets}
+    for i, tl in targets.items():
+        vals = {}
+        for _, r0, r1, _ in tl:
+            for r in (r0, r1):
+                lo, hi, below, _ = state[(i, r)]
+                vals[r] = lo if lo == hi else got[bl.index((i, lo, hi, below))][r - below]
+        out[cols[i]] = {float(q): _interp(vals[r0], vals[r1], frac) for q, r0, r1, frac in tl}
+    return out
+
+
+def _global(base: DataFrame, probs, buckets: int, leaf_rows: int, max_passes: int) -> dict:
+    return _columns(base, [_V], probs, buckets, leaf_rows, max_passes)[_V]
+
+
+def _small_or_checkpoint(df: DataFrame, limit: int):
+    """Materialise a small state table: collected and re-created as a local
+    relation when it has at most ``limit`` rows (a proven bound), otherwise a
+    reliable checkpoint.  Either way the lineage is cut."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) <= limit:
+        return df.sparkSession.createDataFrame(rows, df.schema), rows, True
+    return cut_lineage(df), None, False
 
 
 def _grouped(base: DataFrame, by: list[str], probs, buckets: int, leaf_rows: int,
@@ -116,9 +155,9 @@ def _grouped(base: DataFrame, by: list[str], probs, buckets: int, leaf_rows: int
           .withColumn("__frac", F.col("__pos") - F.col("__r0"))
           .withColumn("__r1", F.least(F.col("__r0") + F.when(F.col("__frac") > 0, 1).otherwise(0),
                                       F.col("__n") - 1)))
-    tg = cut_lineage(tg)  # one row per (group, prob)
-    n_groups = tg.count() // max(len(probs), 1)
-    small = n_groups * 2 * len(probs) <= broadcast_rows
+    tg, tg_rows, small = _small_or_checkpoint(tg, broadcast_rows)  # one row per (group, prob)
+    if small and all(r["__n"] <= leaf_rows for r in tg_rows):
+        return _all_small(base, by, tg)
 
     def side(df):
         return F.broadcast(df) if small else df
@@ -126,12 +165,13 @@ def _grouped(base: DataFrame, by: list[str], probs, buckets: int, leaf_rows: int
     br = (tg.select(*by, F.explode(F.array("__r0", "__r1")).alias("__rank"), "__lo", "__hi",
                     F.lit(0).cast("long").alias("__below"), F.col("__n").alias("__cnt"))
           .distinct())
-    br = cut_lineage(br)
     is_open = (F.col("__cnt") > leaf_rows) & (F.col("__lo") < F.col("__hi"))
+    any_open = (any(r["__n"] > leaf_rows and r["__lo"] < r["__hi"] for r in tg_rows)
+                if small else not br.where(is_open).isEmpty())
     for _ in range(max_passes):
-        act = br.where(is_open)
-        if act.isEmpty():
+        if not any_open:
             break
+        act = br.where(is_open)
         bk = act.select(*by, "__lo", "__hi").distinct()
         rows = (base.join(side(bk), on=by)
                 .where(F.col(_V).between(F.col("__lo"), F.col("__hi")))
@@ -147,32 +187,46 @@ def _grouped(base: DataFrame, by: list[str], probs, buckets: int, leaf_rows: int
                .select(*by, "__rank", F.col("__mn").alias("__lo"), F.col("__mx").alias("__hi"),
                        (F.col("__below") + F.col("__cb")).alias("__below"),
                        F.col("__c").alias("__cnt")))
-        br = cut_lineage(br.where(~is_open).unionByName(nxt))
+        br, br_rows, small_br = _small_or_checkpoint(br.where(~is_open).unionByName(nxt), broadcast_rows)
+        any_open = (any(r["__cnt"] > leaf_rows and r["__lo"] < r["__hi"] for r in br_rows)
+                    if small_br else not br.where(is_open).isEmpty())
 
     single = br.where(F.col("__lo") == F.col("__hi")).select(*by, "__rank", F.col("__lo").alias("__val"))
     multi = br.where(F.col("__lo") < F.col("__hi"))
     mk = multi.select(*by, "__lo", "__hi").distinct()
-    leaf = (base.join(side(mk), on=by)
-            .where(F.col(_V).between(F.col("__lo"), F.col("__hi")))
-            .withColumn("__rn", F.row_number().over(
-                Window.partitionBy(*by, "__lo", "__hi").orderBy(_V)) - 1))
-    picked = (multi.join(leaf, on=[*by, "__lo", "__hi"])
-              .where(F.col("__below") + F.col("__rn") == F.col("__rank"))
-              .select(*by, "__rank", F.col(_V).alias("__val")))
+    # every open bracket now holds <= leaf_rows values: a bounded sorted list
+    lists = (base.join(side(mk), on=by)
+             .where(F.col(_V).between(F.col("__lo"), F.col("__hi")))
+             .groupBy(*by, "__lo", "__hi").agg(F.sort_array(F.collect_list(_V)).alias("__vals")))
+    picked = (multi.join(lists, on=[*by, "__lo", "__hi"])
+              .select(*by, "__rank", F.element_at("__vals", (F.col("__rank") - F.col("__below") + 1)
+                                                  .cast("int")).alias("__val")))
     vals = single.unionByName(picked)
     v0 = vals.withColumnRenamed("__rank", "__r0").withColumnRenamed("__val", "__v0")
     v1 = vals.withColumnRenamed("__rank", "__r1").withColumnRenamed("__val", "__v1")
-    out = (tg.join(v0, on=[*by, "__r0"]).join(v1, on=[*by, "__r1"])
-           .select(*by, F.col("__q").alias("prob"),
-                   F.when((F.col("__frac") == 0) | (F.col("__v0") == F.col("__v1")), F.col("__v0"))
-                   .otherwise(F.col("__v0") + (F.col("__v1") - F.col("__v0")) * F.col("__frac"))
-                   .alias("quantile")))
-    return out
+    return _interp_cols(tg.join(v0, on=[*by, "__r0"]).join(v1, on=[*by, "__r1"]), by)
+
+
+def _interp_cols(df: DataFrame, by) -> DataFrame:
+    return df.select(*by, F.col("__q").alias("prob"),
+                     F.when((F.col("__frac") == 0) | (F.col("__v0") == F.col("__v1")), F.col("__v0"))
+                     .otherwise(F.col("__v0") + (F.col("__v1") - F.col("__v0")) * F.col("__frac"))
+                     .alias("quantile"))
+
+
+def _all_small(base: DataFrame, by, tg: DataFrame) -> DataFrame:
+    """Every group holds <= leaf_rows values (checked): one aggregate of
+    bounded sorted lists answers all probabilities."""
+    lists = base.groupBy(*by).agg(F.sort_array(F.collect_list(_V)).alias("__vals"))
+    j = F.broadcast(tg).join(lists, on=by)
+    j = j.withColumn("__v0", F.element_at("__vals", (F.col("__r0") + 1).cast("int"))) \
+         .withColumn("__v1", F.element_at("__vals", (F.col("__r1") + 1).cast("int")))
+    return _interp_cols(j, by)
 
 
 def exact_quantiles(df: DataFrame, value, probs, by=(), buckets: int = 1024,
                     leaf_rows: int = 4096, max_passes: int = 64,
-                    broadcast_rows: int = 200_000):
+                    broadcast_rows: int = 50_000):
     """Exact interpolated quantiles of ``value`` (nulls ignored).
 
     Without ``by``: returns ``{prob: quantile}`` (a handful of numbers).
@@ -190,15 +244,15 @@ def exact_quantiles(df: DataFrame, value, probs, by=(), buckets: int = 1024,
 
 def medians(df: DataFrame, cols) -> dict:
     """Exact median of every column in ``cols`` (all-null column -> None).
-    The columns are unpivoted so all of them share the same passes."""
+    All columns share the same passes."""
     cols = list(cols)
     if not cols:
         return {}
-    if len(cols) == 1:
-        return {cols[0]: exact_quantiles(df, cols[0], [0.5])[0.5]}
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in cols
-    ])).alias("kv")).select("kv.name", "kv.value")
-    res = {r["name"]: r["quantile"] for r in
-           exact_quantiles(long, "value", [0.5], by=["name"]).collect()}  # one row per column
-    return {c: res.get(c) for c in cols}
+    res = column_quantiles(df, cols, [0.5])
+    return {c: res[c][0.5] for c in cols}
+
+
+def column_quantiles(df: DataFrame, cols, probs, buckets: int = 1024, leaf_rows: int = 4096,
+                     max_passes: int = 64) -> dict:
+    """``{column: {prob: quantile}}`` for many columns, sharing every pass."""
+    return _columns(df, cols, probs, buckets, leaf_rows, max_passes)

@@ -101,12 +101,12 @@ def _levels(df: DataFrame, cols, max_levels: int) -> dict:
     long = (df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in cols])).alias("kv"))
         .select("kv.k", "kv.v").where(F.col("v").isNotNull()).distinct())
-    n = long.count()
-    if n > max_levels:
-        raise ValueError(f"{n} category levels exceed max_levels={max_levels}; "
+    got = long.limit(max_levels + 1).collect()  # at most max_levels + 1 rows
+    if len(got) > max_levels:
+        raise ValueError(f"more than {max_levels} category levels; "
                          "use OrdinalCodes(table mode) instead of one-hot")
     out = {c: [] for c in cols}
-    for r in long.collect():  # bounded by max_levels (checked above)
+    for r in got:
         out[r["k"]].append(r["v"])
     return {c: sorted(v) for c, v in out.items()}
 

@@ -548,8 +548,9 @@ def q_knn_grid(spark, d):
 
 
 def _ml_frame(spark, d):
+    from ..session import stage_table
     from .workflow import property_table
-    t = folds.split(property_table(spark, d), "Id", 0.15)
+    t = stage_table(folds.split(property_table(spark, d), "Id", 0.15), "property")
     t = features.age_features(t).withColumn("y", features.target_forward("HotelValue"))
     num = ["UsableArea", "Discount", "Tax", "LandArea", "HouseAge", "YearsSinceModification"]
     codes = preprocess.OrdinalCodes(["PropertyType", "ReturnFlag", "Priority"], suffix="_code").fit(
@@ -641,8 +642,9 @@ def q_elastic_net_cv(spark, d):
 
 
 def q_train_tune_score(spark, d):
+    from ..session import stage_table
     from .workflow import property_table, train_tune_score
-    t = folds.split(property_table(spark, d), "Id", 0.15)
+    t = stage_table(folds.split(property_table(spark, d), "Id", 0.15), "property")
     out, _ = train_tune_score(t.where("is_test = 0").drop("is_test"),
                               t.where("is_test = 1").drop("is_test", "HotelValue"))
     return out

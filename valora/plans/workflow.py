@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import hash_bucket
 from ..operators import clean, features, folds, linear, metrics, preprocess, search
 from ..operators.maps import RIDGE_SPACE
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stage_table
 
 
 def property_table(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +64,8 @@ def train_tune_score(train: DataFrame, score: DataFrame, key: str = "Id", target
     mask = [c in scaled for c in feats]
     ytr = (pipe.transform(tr).withColumn("__y", features.target_forward(target, target_kind))
            .withColumn("__fold", hash_bucket(key, k, seed)))
-    g = linear.gram(ytr, feats, "__y", fold_col="__fold")
+    # features are standardised / one-hot already: no centring pass needed
+    g = linear.gram(ytr, feats, "__y", fold_col="__fold", shift={c: 0.0 for c in feats + ["__y"]})
 
     def cv_rmse(cands):
         res = linear.evaluate_candidates(g, [dict(c, kind="ridge") for c in cands], mask)
@@ -74,12 +75,16 @@ def train_tune_score(train: DataFrame, score: DataFrame, key: str = "Id", target
     base = linear.fit_ridge(g, 0.0, True, mask)
     tuned = linear.fit_ridge(g, float(best["alpha"]), bool(best["fit_intercept"]), mask)
 
-    def train_rmse(m):
-        p = m.transform(ytr, "__p").withColumn("__p", F.greatest(features.target_inverse("__p", target_kind),
-                                                               F.lit(0.0)))
-        return metrics.regression_metrics(p, target, "__p").first()
-
-    mb, mt = train_rmse(base), train_rmse(tuned)
+    # training error of both models in ONE pass (original scale, clipped at 0)
+    both = (base.transform(ytr, "__pb").transform(lambda df: tuned.transform(df, "__pt"))
+            .withColumn("__pb", F.greatest(features.target_inverse("__pb", target_kind), F.lit(0.0)))
+            .withColumn("__pt", F.greatest(features.target_inverse("__pt", target_kind), F.lit(0.0))))
+    long = both.select(target, F.explode(F.array(
+        F.struct(F.lit("baseline").alias("model"), F.col("__pb").alias("p")),
+        F.struct(F.lit("tuned").alias("model"), F.col("__pt").alias("p")))).alias("m")).select(
+        target, "m.model", "m.p")
+    met = {r["model"]: r for r in metrics.regression_metrics(long, target, "p", by=["model"]).collect()}
+    mb, mt = met["baseline"], met["tuned"]
     final = tuned if mt["rmse"] < mb["rmse"] else base  # tie -> baseline
     out = (final.transform(pipe.transform(sc), "__p")
            .select(key, F.greatest(features.target_inverse("__p", target_kind), F.lit(0.0)).alias(target)))
@@ -92,7 +97,7 @@ def train_tune_score(train: DataFrame, score: DataFrame, key: str = "Id", target
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    t = folds.split(property_table(spark, d), "Id", 0.15)
+    t = stage_table(folds.split(property_table(spark, d), "Id", 0.15), "property")
     train = t.where("is_test = 0").drop("is_test")
     score = t.where("is_test = 1").drop("is_test", "HotelValue")
     out, _ = train_tune_score(train, score)

@@ -61,3 +61,15 @@ def cut_lineage(df, eager: bool = True):
     executor-local variant: a lost executor would lose the data)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def stage_table(df, prefix: str = "stage"):
+    """Write ``df`` once as parquet under the shared checkpoint folder and read
+    it back: later passes (quantiles, statistics, fits) scan only the columns
+    they need instead of recomputing the upstream joins, and the data survive
+    executor loss."""
+    import uuid
+    root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{root}/{prefix}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.parquet(path)
