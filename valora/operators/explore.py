@@ -37,8 +37,9 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], upper_only: bool = False) ->
     entries = []
     for k, (a, b) in enumerate(pairs):
         r = F.try_divide(F.col(f"c{k}"), F.nullif(F.col(f"sa{k}") * F.col(f"sb{k}"), F.lit(0.0)))
-        # clamp rounding noise (|r| can exceed 1 by an ulp)
-        r = F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))
+        # clamp rounding noise (|r| can exceed 1 by an ulp); greatest/least
+        # skip nulls, so keep a null r null explicitly
+        r = F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
         entries.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")))
         if a != b and not upper_only:
             entries.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), r.alias("r")))
