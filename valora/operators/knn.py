@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_bucket
+from ..session import ensure_parallelism
 
 
 def _vectors(df: DataFrame, vec: str) -> DataFrame:
@@ -31,7 +32,7 @@ def knn_neighbours(query: DataFrame, base: DataFrame, key: str, vec: str, label:
     """Top-``k`` base rows per query row: ``(key, nb_key, nb_label, dist, nb_rank)``,
     ties broken by the base key (deterministic)."""
     base_key = base_key or key
-    q = _vectors(query.select(key, vec), vec)
+    q = ensure_parallelism(_vectors(query.select(key, vec), vec))
     b = _vectors(base.select(F.col(base_key).alias("__bk"), vec, F.col(label).cast("double").alias("__bl")), vec)
     first = b.select(F.size(vec).alias("d")).first()
     if first is None:

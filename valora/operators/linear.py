@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_parallelism
+
 _ALL = -1  # fold id of the whole table
 
 
@@ -100,6 +102,7 @@ def gram(df: DataFrame, features: Sequence[str], label: str, fold_col: str | Non
     src = df.select(fold_expr.alias("__fold"),
                     *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(features)],
                     F.col(label).cast("double").alias("__y"))
+    src = ensure_parallelism(src)
     xnames = [f"__x{i}" for i in range(p)]
 
     def part_stats(batches):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_parallelism
 
 MAX_SPARK_DEPTH = 30
 
@@ -97,15 +97,14 @@ class AdaBoostR2Model:
 
 def adaboost_r2(df: DataFrame, features_col: str, label: str, n_estimators: int = 50,
                 learning_rate: float = 1.0, loss: str = "linear", max_depth: int = 3,
-                seed: int = 42, max_bins: int = 64, checkpoint_every: int = 5) -> AdaBoostR2Model:
+                seed: int = 42, max_bins: int = 64) -> AdaBoostR2Model:
     """M10, AdaBoost.R2 (Drucker 1997) with weights passed to the trees
     (deterministic) instead of weighted resampling.  Each round: one tree fit,
-    one aggregate (max error, weighted loss), one weight update; the weight
-    column is checkpointed every few rounds to keep the lineage short."""
-    cur = df.select(features_col, F.col(label).cast("double").alias(label)).withColumn("__w", F.lit(1.0))
-    n = cur.count()
-    cur = cur.withColumn("__w", F.lit(1.0 / n))
-    cur = cut_lineage(cur)
+    two aggregates (max error; weighted loss and total weight), one weight
+    update.  The weights are checkpointed every round: round k's weights
+    depend on all k trees, so an uncut lineage would refit-score k times."""
+    cur = ensure_parallelism(df.select(features_col, F.col(label).cast("double").alias(label)))
+    cur = cut_lineage(cur.withColumn("__w", F.lit(1.0)))
     trees, weights = [], []
     for it in range(n_estimators):
         dt = DecisionTreeRegressor(featuresCol=features_col, labelCol=label, weightCol="__w",
@@ -114,7 +113,7 @@ def adaboost_r2(df: DataFrame, features_col: str, label: str, n_estimators: int
         m = dt.fit(cur)
         scored = m.transform(cur).withColumn("__e", F.abs(F.col("__p") - F.col(label)))
         emax = scored.agg(F.max("__e")).first()[0] or 0.0
-        if emax <= 0:
+        if emax <= 0:  # perfect learner: keep it and stop
             trees.append(m)
             weights.append(1.0)
             break
@@ -123,22 +122,19 @@ def adaboost_r2(df: DataFrame, features_col: str, label: str, n_estimators: int
         scored = scored.withColumn("__L", L)
         tot = scored.agg(F.sum(F.col("__w") * F.col("__L")).alias("lb"), F.sum("__w").alias("ws")).first()
         lbar = float(tot["lb"]) / float(tot["ws"])
-        if lbar <= 0:
-            trees.append(m)
-            weights.append(1.0)
-            break
-        if lbar >= 0.5:
-            if not trees:
+        if lbar <= 0 or lbar >= 0.5:
+            if lbar <= 0 or not trees:
                 trees.append(m)
                 weights.append(1.0)
             break
         beta = lbar / (1 - lbar)
         trees.append(m)
         weights.append(learning_rate * math.log(1.0 / beta))
-        nxt = scored.withColumn("__w", F.col("__w") * F.pow(F.lit(beta), (1 - F.col("__L")) * learning_rate))
-        s = nxt.agg(F.sum("__w")).first()[0]
-        cur = nxt.withColumn("__w", F.col("__w") / F.lit(s)).select(features_col, label, "__w")
-        if (it + 1) % checkpoint_every == 0:
+        # w <- w * beta^((1-L) rate), rescaled by the current total (keeps weights
+        # bounded; the tree fit and L-bar are scale-free)
+        cur = scored.select(features_col, label, (F.col("__w") / F.lit(float(tot["ws"])) * F.pow(
+            F.lit(beta), (1 - F.col("__L")) * learning_rate)).alias("__w"))
+        if it + 1 < n_estimators:
             cur = cut_lineage(cur)
     for t in trees:
         t.setPredictionCol("prediction")

@@ -561,6 +561,13 @@ def _ml_frame(spark, d):
     return preprocess.assemble(imp.transform(t), cols)
 
 
+def _fit_input(t):
+    """Training rows for MLlib: spread over the cores and cached (the tree
+    learners traverse them once per level)."""
+    from ..session import ensure_parallelism
+    return ensure_parallelism(t.where("is_test = 0")).cache()
+
+
 def _tree_out(model, t):
     s = model.transform(t.where("is_test = 1"))
     return s.select("Id", _r(features.target_inverse(F.col("prediction")), 4).alias("prediction"))
@@ -569,14 +576,14 @@ def _tree_out(model, t):
 def q_random_forest(spark, d):
     from ..operators import trees
     t = _ml_frame(spark, d)
-    m = trees.forest(label="y", n_trees=20, max_depth=8, min_leaf=3).fit(t.where("is_test = 0"))
+    m = trees.forest(label="y", n_trees=20, max_depth=8, min_leaf=3).fit(_fit_input(t))
     return _tree_out(m, t)
 
 
 def q_gbt(spark, d):
     from ..operators import trees
     t = _ml_frame(spark, d)
-    m = trees.boosted(label="y", n_trees=20, learning_rate=0.1, max_depth=4).fit(t.where("is_test = 0"))
+    m = trees.boosted(label="y", n_trees=20, learning_rate=0.1, max_depth=4).fit(_fit_input(t))
     return _tree_out(m, t)
 
 
@@ -592,8 +599,7 @@ def q_forest_grid(spark, d):
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
     from ..operators import trees
-    t = _ml_frame(spark, d).where("is_test = 0")
-    t = folds.assign_folds(t, "Id", 3)
+    t = folds.assign_folds(_fit_input(_ml_frame(spark, d)), "Id", 3)
     rf = trees.forest(label="y", n_trees=10, max_depth=6)
     grid = ParamGridBuilder().addGrid(rf.numTrees, [10, 20]).addGrid(rf.minInstancesPerNode, [1, 3]).build()
     cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, foldCol="fold", parallelism=4,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import hash_bucket
 from ..operators import clean, features, folds, linear, metrics, preprocess, search
 from ..operators.maps import RIDGE_SPACE
-from ..session import ensure_checkpoint_dir, stage_table
+from ..session import ensure_checkpoint_dir, ensure_parallelism, stage_table
 
 
 def property_table(spark: SparkSession, d: str) -> DataFrame:
@@ -22,7 +22,7 @@ def property_table(spark: SparkSession, d: str) -> DataFrame:
     item, target ``HotelValue`` = extended price, numeric, categorical and
     year columns as the reference's table has (FIXTURES.md section 4)."""
     ensure_checkpoint_dir(spark)
-    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    li = ensure_parallelism(spark.read.parquet(f"{d}/lineitem.parquet"))
     part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_type", "p_size", "p_brand")
     orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderdate", "o_orderpriority")
     j = li.join(part, li.l_partkey == part.p_partkey).join(orders, li.l_orderkey == orders.o_orderkey)

@@ -72,4 +72,20 @@ def stage_table(df, prefix: str = "stage"):
     root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{root}/{prefix}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if out.rdd.getNumPartitions() < want:
+        # too few files/row groups to keep every core busy: write once more,
+        # spread (small data only; large inputs already have many splits)
+        out.repartition(want).write.mode("error").parquet(path + "-spread")
+        out = df.sparkSession.read.parquet(path + "-spread")
+    return out
+
+
+def ensure_parallelism(df, factor: int = 1):
+    """Round-robin ``df`` over at least ``factor * defaultParallelism``
+    partitions when it has fewer (e.g. a scan of a file with one row group)
+    before heavy per-row work.  A no-op for inputs that already have many
+    splits, i.e. every large table."""
+    want = factor * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
