@@ -87,3 +87,17 @@ def test_regression_metrics(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 3.0), (5.0, 4.0)], "y double, p double")
     r = metrics.regression_metrics(df, "y", "p").first()
     assert r.rmse == pytest.approx(np.sqrt(2 / 3)) and r.r2 == pytest.approx(1 - 2 / 8)
+
+
+def test_corr_wide_path_matches_narrow(spark):
+    rng = np.random.default_rng(11)
+    X = rng.normal(size=(300, 5)) @ rng.normal(size=(5, 5)) + 100.0
+    rows = [tuple(None if (i + j) % 17 == 0 else float(X[i, j]) for j in range(5)) for i in range(300)]
+    rows = [r + (7.0,) for r in rows]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, k double")
+    cols = ["a", "b", "c", "d", "e", "k"]
+    narrow = {(r.a, r.b): r.r for r in explore.corr_matrix(df, cols).collect()}
+    wide = {(r.a, r.b): r.r for r in explore.corr_matrix(df, cols, wide_from=2).collect()}
+    assert narrow.keys() == wide.keys()
+    for key, v in narrow.items():
+        assert (v is None and wide[key] is None) or wide[key] == pytest.approx(v, abs=1e-10)

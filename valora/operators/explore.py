@@ -11,14 +11,22 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
 
+_REL_CONST = 1e-13  # sd / |mean| below this: numerically constant column
 
-def corr_matrix(df: DataFrame, cols: Sequence[str], upper_only: bool = False) -> DataFrame:
+
+def corr_matrix(df: DataFrame, cols: Sequence[str], upper_only: bool = False,
+                wide_from: int = 24) -> DataFrame:
     """A1: Pearson correlation of every column pair, long form ``(a, b, r)``.
 
     Pairwise-complete (a row counts for a pair when both values are present)
-    and null - not an ANSI divide error - when a column is constant.  One
-    aggregate holds all pairs, so a single scan serves the whole matrix."""
+    and null - not an ANSI divide error - when a column is constant.  Up to
+    ``wide_from`` columns one SQL aggregate holds all pairs; wider tables use
+    one ``mapInPandas`` pass of four p x p matrix products (``_corr_wide``),
+    since thousands of aggregate expressions would not compile well.  Either
+    way a single scan serves the whole matrix."""
     cols = list(cols)
+    if len(cols) > wide_from:
+        return _corr_wide(df, cols, upper_only)
     aggs, pairs = [], []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
@@ -31,12 +39,17 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], upper_only: bool = False) ->
             mb = F.when(both, xb)
             k = len(pairs)
             aggs += [F.covar_pop(ma, mb).alias(f"c{k}"), F.stddev_pop(ma).alias(f"sa{k}"),
-                     F.stddev_pop(mb).alias(f"sb{k}")]
+                     F.stddev_pop(mb).alias(f"sb{k}"), F.avg(ma).alias(f"ma{k}"), F.avg(mb).alias(f"mb{k}")]
             pairs.append((a, b))
     wide = df.agg(*aggs)
     entries = []
     for k, (a, b) in enumerate(pairs):
-        r = F.try_divide(F.col(f"c{k}"), F.nullif(F.col(f"sa{k}") * F.col(f"sb{k}"), F.lit(0.0)))
+        # a column is constant when its sd is at rounding level of its mean
+        # (merged partial buffers leave ~1e-16 noise instead of an exact 0)
+        const = ((F.col(f"sa{k}") <= F.lit(_REL_CONST) * F.abs(F.col(f"ma{k}")))
+                 | (F.col(f"sb{k}") <= F.lit(_REL_CONST) * F.abs(F.col(f"mb{k}"))))
+        r = F.when(~const, F.try_divide(F.col(f"c{k}"),
+                                         F.nullif(F.col(f"sa{k}") * F.col(f"sb{k}"), F.lit(0.0))))
         # clamp rounding noise (|r| can exceed 1 by an ulp); greatest/least
         # skip nulls, so keep a null r null explicitly
         r = F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
@@ -46,6 +59,52 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], upper_only: bool = False) ->
     return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.a", "e.b", "e.r")
 
 
+def _corr_wide(df: DataFrame, cols: list, upper_only: bool) -> DataFrame:
+    import numpy as np
+    import pandas as pd
+
+    from ..session import ensure_parallelism
+    p = len(cols)
+    row = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    mu = np.array([row[f"m{i}"] or 0.0 for i in range(p)])  # shift: stability only
+    names = [f"__c{i}" for i in range(p)]
+    src = ensure_parallelism(df.select(*[F.col(c).cast("double").alias(n) for c, n in zip(cols, names)]))
+
+    def part(batches):
+        acc = None
+        for pdf in batches:
+            X = pdf[names].to_numpy(dtype=np.float64) - mu
+            M = (~np.isnan(X)).astype(np.float64)
+            X0 = np.where(M > 0, X, 0.0)
+            mats = np.stack([M.T @ M, X0.T @ M, (X0 * X0).T @ M, X0.T @ X0])
+            acc = mats if acc is None else acc + mats
+        if acc is not None:
+            yield pd.DataFrame({"cell": np.arange(acc.size, dtype=np.int64), "v": acc.ravel()})
+
+    got = (src.mapInPandas(part, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v"))
+           .collect())  # 4 p^2 cells: bounded by the column count
+    acc = np.zeros(4 * p * p)
+    for r in got:
+        acc[r["cell"]] = r["v"]
+    n, s, q, pr = acc.reshape(4, p, p)  # s[i,j] = sum of x_i where x_i and x_j present
+    rows = []
+    for i in range(p):
+        for j in range(p):
+            if (upper_only and j <= i):
+                continue
+            nij = n[i, j]
+            va = nij * q[i, j] - s[i, j] ** 2
+            vb = nij * q[j, i] - s[j, i] ** 2
+            cov = nij * pr[i, j] - s[i, j] * s[j, i]
+            r = None
+            ma, mb = s[i, j] / nij + mu[i] if nij else 0.0, s[j, i] / nij + mu[j] if nij else 0.0
+            const = (va <= (_REL_CONST * nij * ma) ** 2) or (vb <= (_REL_CONST * nij * mb) ** 2)
+            if nij > 0 and va > 0 and vb > 0 and not const:
+                r = float(min(1.0, max(-1.0, cov / np.sqrt(va * vb))))
+            rows.append((cols[i], cols[j], r))
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+
+
 def corr_rank(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
     """A2: correlation of each column with ``target``, ranked by |r| desc (ties
     by name), nulls dropped.  ``rank`` 0 is the target itself."""
