@@ -676,3 +676,25 @@ QUERIES.update({
     "elastic_net_cv": q_elastic_net_cv, "train_tune_score": q_train_tune_score,
     "score_stream": q_score_stream,
 })
+
+
+# ------------------------------------------------------------------ 2.11 pipeline variants
+def _variant_query(name):
+    def q(spark, d):
+        from ..session import stage_table
+        from .variants import run_variant
+        from .workflow import property_table
+        t = stage_table(folds.split(property_table(spark, d), "Id", 0.15), "property")
+        out, _ = run_variant(t.where("is_test = 0").drop("is_test"),
+                             t.where("is_test = 1").drop("is_test", "HotelValue"), name)
+        return out
+    q.__name__ = f"q_variant_{name}"
+    return q
+
+
+def _register_variants():
+    from .variants import VARIANTS
+    QUERIES.update({f"variant_{n.lower()}": _variant_query(n) for n in VARIANTS})
+
+
+_register_variants()

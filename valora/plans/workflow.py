@@ -27,7 +27,9 @@ def property_table(spark: SparkSession, d: str) -> DataFrame:
     orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderdate", "o_orderpriority")
     j = li.join(part, li.l_partkey == part.p_partkey).join(orders, li.l_orderkey == orders.o_orderkey)
     return j.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("Id"),
+        # (order, line, part, supplier) is the unique line-item key; a string
+        # keeps it collision-free at any row count
+        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("Id"),
         F.col("l_extendedprice").alias("HotelValue"),
         F.col("l_quantity").alias("UsableArea"),
         F.col("l_discount").alias("Discount"),
@@ -37,6 +39,7 @@ def property_table(spark: SparkSession, d: str) -> DataFrame:
         F.col("p_brand").alias("Brand"),
         F.col("l_returnflag").alias("ReturnFlag"),
         F.col("o_orderpriority").alias("Priority"),
+        (F.lit(6) - F.substring("o_orderpriority", 1, 1).cast("int")).alias("OverallQuality"),
         F.year("l_shipdate").alias("YearSold"),
         F.year("o_orderdate").alias("ConstructionYear"),
         F.when(F.col("l_returnflag") == "R", F.lit(0))
