@@ -77,3 +77,13 @@ def test_entry_and_registry(spark):
     assert all(r.HotelValue >= 0 for r in rows)
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 60
+
+
+def test_gbt_validation_curve(spark):
+    rng = np.random.default_rng(4)
+    x = rng.uniform(0, 5, 400)
+    df = assemble(spark.createDataFrame([(float(a), float(2 * a + rng.normal())) for a in x], "x double, y double"), ["x"])
+    m = trees.boosted(label="y", n_trees=4, max_depth=2).fit(df)
+    curve = trees.validation_curve(m, df, "y")
+    assert len(curve) == 4 and curve[-1] < curve[0]
+    assert trees.best_iteration(m, df, "y") == int(np.argmin(curve)) + 1

@@ -15,7 +15,9 @@ _SPLIT_RESOLUTION = 10_000
 
 def split(df: DataFrame, key: str, test_fraction: float = 0.15, seed: int = DEFAULT_SEED,
           out: str = "is_test") -> DataFrame:
-    """K1/K5: ``out`` = 1 for about ``test_fraction`` of the keys, else 0."""
+    """K1/K5: ``out`` = 1 for about ``test_fraction`` of the keys, else 0.
+    A split nested inside another split must use a different ``seed``
+    (with the same seed it would pick a subset of the outer test rows)."""
     cut = int(round(test_fraction * _SPLIT_RESOLUTION))
     return df.withColumn(out, (hash_bucket(key, _SPLIT_RESOLUTION, seed) < F.lit(cut)).cast("int"))
 

@@ -60,11 +60,28 @@ def boosted(features_col: str = "features", label: str = "label", n_trees: int =
     return GBTRegressor(**kw)
 
 
-def best_iteration(model, valid: DataFrame) -> int:
+def validation_curve(model, valid: DataFrame, label: str) -> list:
+    """Validation MSE after 1..K trees of a boosted model, in ONE aggregate:
+    each tree scores the rows once, the K cumulative ensembles are
+    expressions."""
+    cur = valid.select(model.getFeaturesCol(), F.col(label).cast("double").alias("__y"))
+    names = []
+    for i, t in enumerate(model.trees):
+        nm = f"__t{i}"
+        cur = t.copy().setPredictionCol(nm).transform(cur)
+        names.append(nm)
+    acc, aggs = F.lit(0.0), []
+    for i, (nm, w) in enumerate(zip(names, model.treeWeights)):
+        acc = acc + F.col(nm) * F.lit(float(w))
+        aggs.append(F.avg((F.col("__y") - acc) ** 2).alias(f"e{i}"))
+    row = cur.agg(*aggs).first()
+    return [float(row[f"e{i}"]) for i in range(len(names))]
+
+
+def best_iteration(model, valid: DataFrame, label: str) -> int:
     """Patience-style early stop: the tree count with the lowest validation
-    loss (``evaluateEachIteration``); keep that many trees."""
-    errs = model.evaluateEachIteration(valid, "squared")
-    return int(np.argmin(errs)) + 1
+    loss; keep that many trees (ties -> fewer trees)."""
+    return int(np.argmin(validation_curve(model, valid, label))) + 1
 
 
 # ------------------------------------------------------------ AdaBoost.R2

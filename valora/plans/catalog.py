@@ -698,3 +698,65 @@ def _register_variants():
 
 
 _register_variants()
+
+
+# ------------------------------------------------------------------ S1, S3, A4, K5, V6
+def q_read_fallback(spark, d):
+    """The first existing path wins (a missing nested path falls back)."""
+    c = io.read_table(spark, [f"{d}/nested/customer.parquet", f"{d}/customer.parquet"])
+    return c.select("c_custkey", "c_acctbal", "c_mktsegment")
+
+
+def q_write_predictions(spark, d):
+    """S3: predictions written as CSV with a header to the shared folder and
+    read back with an explicit schema (no inference pass)."""
+    import uuid
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/predictions-{uuid.uuid4().hex}"
+    io.write_predictions(q_score_table(spark, d), path, key="p_partkey", target="prediction")
+    return io.read_table(spark, [path], schema="p_partkey long, prediction double", fmt="csv")
+
+
+def q_corr_submatrix(spark, d):
+    m = explore.corr_submatrix(_t(spark, d, "lineitem"), LI_NUM, ["l_quantity", "l_extendedprice"])
+    return m.select("a", "b", _r(F.col("r")).alias("r"))
+
+
+def q_gbt_early_stop(spark, d):
+    """K5 + M8: boosting with a 10% validation part that stops the boosting
+    (``validationIndicatorCol``); ``trees.best_iteration`` gives the
+    patience-style count when the full curve is wanted."""
+    from ..operators import trees
+    t = _ml_frame(spark, d)
+    # nested split: its own seed, or it would select a subset of the test rows
+    tr = folds.split(_fit_input(t), "Id", 0.10, seed=43, out="is_valid")
+    # MLlib's own early stop: boosting ends once the validation error stops
+    # improving by validationTol (the validation rows are not trained on)
+    est = trees.boosted(label="y", n_trees=30, learning_rate=0.1, max_depth=3, validation_col="is_valid_b")
+    m = est.fit(tr.withColumn("is_valid_b", F.col("is_valid") == 1))
+    return _tree_out(m, t).withColumn("n_trees", F.lit(m.getNumTrees))
+
+
+def q_fit_report(spark, d):
+    """V6: parameters and coefficients of a fitted model as rows."""
+    p = _t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    g = linear.gram(p, ["p_size"], "p_retailprice")
+    m = linear.fit_bayes_ridge(g, max_iter=300, scale_mask=[True])
+    rows = [("alpha_", m.info["alpha_"]), ("lambda_", m.info["lambda_"]), ("n_iter", float(m.info["n_iter"])),
+            ("intercept", float(m.intercept))] + [(f, float(w)) for f, w in zip(m.features, m.coef)]
+    return spark.createDataFrame(rows, "param string, value double")
+
+
+def q_train_tune_score_all_scope(spark, d):
+    """Preprocessing fitted on train + scoring rows (fit_scope='all')."""
+    from ..session import stage_table
+    from .workflow import property_table, train_tune_score
+    t = stage_table(folds.split(property_table(spark, d), "Id", 0.15), "property")
+    out, _ = train_tune_score(t.where("is_test = 0").drop("is_test"),
+                              t.where("is_test = 1").drop("is_test", "HotelValue"), fit_scope="all")
+    return out
+
+
+QUERIES.update({"read_fallback": q_read_fallback, "write_predictions": q_write_predictions,
+                "corr_submatrix": q_corr_submatrix, "gbt_early_stop": q_gbt_early_stop,
+                "fit_report": q_fit_report, "train_tune_score_all_scope": q_train_tune_score_all_scope})

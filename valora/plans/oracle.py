@@ -279,3 +279,9 @@ ORACLE.update({
         FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment IS NOT NULL)""",
     "score_stream": ORACLE["score_table"],
 })
+
+ORACLE.update({
+    "read_fallback": "SELECT c_custkey, c_acctbal, c_mktsegment FROM customer",
+    "write_predictions": ORACLE["score_table"],
+    "corr_submatrix": f"SELECT a, b, {_r('r')} AS r FROM ({_corr_union(['l_quantity', 'l_extendedprice'], 'lineitem')})",
+})

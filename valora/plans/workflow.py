@@ -47,8 +47,11 @@ def property_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def train_tune_score(train: DataFrame, score: DataFrame, key: str = "Id", target: str = "HotelValue",
-                     n_iter: int = 30, k: int = 5, seed: int = 42, target_kind: str = "log1p"):
-    """Returns (predictions ``key, target``, report dict)."""
+                     n_iter: int = 30, k: int = 5, seed: int = 42, target_kind: str = "log1p",
+                     fit_scope: str = "train"):
+    """Returns (predictions ``key, target``, report dict).  ``fit_scope='all'``
+    fits the preprocessing statistics on training and scoring rows together
+    (T11); the default fits them on the training rows only."""
     # clean: quantiles of the raw table, cap, rule (variant c), one filter
     tr = clean.clean_rows(train, target, (0.001, 0.999), "UsableArea", 49.0,
                           clean.exclusion_rule("c", quality="Discount", quality_lt=0.005))
@@ -61,7 +64,8 @@ def train_tune_score(train: DataFrame, score: DataFrame, key: str = "Id", target
 
     tr, sc = eng(tr), eng(score)
     num, cat = clean.columns_by_role(tr, exclude=[key, target])
-    pipe = preprocess.build_pipeline(num, cat).fit(tr)
+    fit_rows = tr if fit_scope == "train" else tr.drop(target).unionByName(sc, allowMissingColumns=True)
+    pipe = preprocess.build_pipeline(num, cat).fit(fit_rows)
     feats = preprocess.feature_columns(pipe)
     scaled = set(c for st in pipe.stages if isinstance(st, preprocess.StandardizeModel) for c in st.mean)
     mask = [c in scaled for c in feats]
