@@ -27,29 +27,41 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], upper_only: bool = False,
     cols = list(cols)
     if len(cols) > wide_from:
         return _corr_wide(df, cols, upper_only)
-    aggs, pairs = [], []
+    # cheap first pass: which columns hold nulls.  Pairs of null-free columns
+    # share per-column mean/sd; only pairs touching a nullable column need
+    # pair-masked moments (keeps the aggregate small enough for codegen)
+    cnt = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(F.col(c)).alias(f"n{i}")
+                                                   for i, c in enumerate(cols)]).first()
+    full = {c for i, c in enumerate(cols) if cnt[f"n{i}"] == cnt["__n"]}
+    aggs = []
+    for i, c in enumerate(cols):
+        if c in full:
+            x = F.col(c).cast("double")
+            aggs += [F.avg(x).alias(f"m_{i}"), F.stddev_pop(x).alias(f"s_{i}")]
+    pairs = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
             if j < i or (upper_only and i == j):
                 continue
-            xa = F.col(a).cast("double")
-            xb = F.col(b).cast("double")
-            both = xa.isNotNull() & xb.isNotNull()
-            ma = F.when(both, xa)
-            mb = F.when(both, xb)
             k = len(pairs)
-            aggs += [F.covar_pop(ma, mb).alias(f"c{k}"), F.stddev_pop(ma).alias(f"sa{k}"),
-                     F.stddev_pop(mb).alias(f"sb{k}"), F.avg(ma).alias(f"ma{k}"), F.avg(mb).alias(f"mb{k}")]
-            pairs.append((a, b))
+            xa, xb = F.col(a).cast("double"), F.col(b).cast("double")
+            if a in full and b in full:
+                aggs.append(F.covar_pop(xa, xb).alias(f"c{k}"))
+                pairs.append((a, b, (f"s_{i}", f"s_{j}", f"m_{i}", f"m_{j}")))
+            else:
+                both = xa.isNotNull() & xb.isNotNull()
+                ma, mb = F.when(both, xa), F.when(both, xb)
+                aggs += [F.covar_pop(ma, mb).alias(f"c{k}"), F.stddev_pop(ma).alias(f"sa{k}"),
+                         F.stddev_pop(mb).alias(f"sb{k}"), F.avg(ma).alias(f"ma{k}"), F.avg(mb).alias(f"mb{k}")]
+                pairs.append((a, b, (f"sa{k}", f"sb{k}", f"ma{k}", f"mb{k}")))
     wide = df.agg(*aggs)
     entries = []
-    for k, (a, b) in enumerate(pairs):
+    for k, (a, b, (sa, sb, ma, mb)) in enumerate(pairs):
         # a column is constant when its sd is at rounding level of its mean
         # (merged partial buffers leave ~1e-16 noise instead of an exact 0)
-        const = ((F.col(f"sa{k}") <= F.lit(_REL_CONST) * F.abs(F.col(f"ma{k}")))
-                 | (F.col(f"sb{k}") <= F.lit(_REL_CONST) * F.abs(F.col(f"mb{k}"))))
-        r = F.when(~const, F.try_divide(F.col(f"c{k}"),
-                                         F.nullif(F.col(f"sa{k}") * F.col(f"sb{k}"), F.lit(0.0))))
+        const = ((F.col(sa) <= F.lit(_REL_CONST) * F.abs(F.col(ma)))
+                 | (F.col(sb) <= F.lit(_REL_CONST) * F.abs(F.col(mb))))
+        r = F.when(~const, F.try_divide(F.col(f"c{k}"), F.nullif(F.col(sa) * F.col(sb), F.lit(0.0))))
         # clamp rounding noise (|r| can exceed 1 by an ulp); greatest/least
         # skip nulls, so keep a null r null explicitly
         r = F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
