@@ -1,11 +1,11 @@
 """k-nearest-neighbour regression (M11), exact.
 
-No pair table is ever materialised: the base (reference) rows are cut into
-chunks whose size is checked against ``chunk_bytes``; each chunk is shipped to
-the tasks once, every task scores its query rows against it in vectorised
-numpy and keeps only the ``k`` best per query; per-chunk survivors are merged
-with a grouped top-k.  Work is the inherent n x m x d of exact search, spread
-over all query partitions; memory per task is one chunk plus a batch."""
+No pair table is ever materialised and nothing passes through the driver:
+the base (reference) rows are written once to the shared checkpoint folder
+as files of bounded size; every query task streams those files, scores its
+rows in vectorised numpy and keeps a running top-k per query.  Work is the
+inherent n x m x d of exact search, spread over all query partitions; memory
+per task is one chunk plus the task's queries."""
 
 from __future__ import annotations
 
@@ -26,80 +26,99 @@ def _vectors(df: DataFrame, vec: str) -> DataFrame:
     return df.withColumn(vec, F.col(vec).cast("array<double>"))
 
 
+def _list_parquet(spark, path: str) -> list[str]:
+    jvm = spark.sparkContext._jvm
+    jp = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(str(st.getPath().toString()) for st in fs.listStatus(jp)
+                  if st.getPath().getName().endswith(".parquet"))
+
+
+def _read_chunk(uri: str):
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+    fs, path = pafs.FileSystem.from_uri(uri)
+    return pq.read_table(path, filesystem=fs)
+
+
 def knn_neighbours(query: DataFrame, base: DataFrame, key: str, vec: str, label: str,
                    k: int = 10, metric: str = "euclidean", chunk_bytes: int = 64 << 20,
                    base_key: str | None = None) -> DataFrame:
     """Top-``k`` base rows per query row: ``(key, nb_key, nb_label, dist, nb_rank)``,
-    ties broken by the base key (deterministic)."""
+    ties broken by the base key (deterministic).
+
+    The base side is written once to the shared checkpoint folder as files
+    of at most ``chunk_bytes`` of vectors; every query task streams those
+    files from storage (never through the driver) and keeps a running top-k
+    per query.  One pass over the queries, memory = one chunk + the task's
+    queries, no pair table."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
     base_key = base_key or key
+    spark = query.sparkSession
     q = ensure_parallelism(_vectors(query.select(key, vec), vec))
     b = _vectors(base.select(F.col(base_key).alias("__bk"), vec, F.col(label).cast("double").alias("__bl")), vec)
-    first = b.select(F.size(vec).alias("d")).first()
-    if first is None:
+    stats = b.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    if not stats["n"]:
         raise ValueError("empty base table")
-    dim = int(first["d"])
-    n_base = b.count()
-    row_bytes = 8 * (dim + 2)
-    n_chunks = max(1, int(np.ceil(n_base * row_bytes / chunk_bytes)))
+    n_chunks = max(1, int(np.ceil(stats["n"] * 8 * (int(stats["d"]) + 2) / chunk_bytes)))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/knn-base-{uuid.uuid4().hex}"
+    (b.repartition(n_chunks, hash_bucket("__bk", n_chunks, 7)).write.mode("error")
+     .option("maxRecordsPerFile", max(1, chunk_bytes // (8 * (int(stats["d"]) + 2)))).parquet(path))
+    files = _list_parquet(spark, path)  # file names only
     key_type = query.schema[key].dataType.simpleString()
     bk_type = base.schema[base_key].dataType.simpleString()
     out_schema = f"{key} {key_type}, nb_key {bk_type}, nb_label double, dist double"
-    sc = query.sparkSession.sparkContext
-    parts = []
-    for c in range(n_chunks):
-        chunk = b if n_chunks == 1 else b.where(hash_bucket("__bk", n_chunks, 7) == c)
-        rows = chunk.collect()  # one chunk, bounded by chunk_bytes (checked above)
-        if not rows:
-            continue
-        bv = np.array([r[vec] for r in rows], dtype=np.float64)
-        bid = np.array([r["__bk"] for r in rows])
-        bl = np.array([r["__bl"] for r in rows], dtype=np.float64)
-        bc = sc.broadcast((bv, bid, bl))
-        parts.append(q.mapInPandas(_scorer(bc, key, vec, k, metric), out_schema))
-    allc = parts[0]
-    for p in parts[1:]:
-        allc = allc.unionByName(p)
-    if len(parts) > 1:
-        w = Window.partitionBy(key).orderBy("dist", "nb_key")  # <= k x chunks rows per key
-        allc = allc.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
-    w = Window.partitionBy(key).orderBy("dist", "nb_key")
-    return allc.withColumn("nb_rank", F.row_number().over(w))
-
-
-def _scorer(bc, key, vec, k, metric):
+    nb = q.mapInPandas(_scorer(files, key, vec, k, metric), out_schema)
+    w = Window.partitionBy(key).orderBy("dist", "nb_key")  # <= k rows per key
+    return nb.withColumn("nb_rank", F.row_number().over(w))
+
+
+def _scorer(files, key, vec, k, metric):
     def run(batches):
-        bv, bid, bl = bc.value
-        kk = min(k, len(bid))
-        sq_b = (bv * bv).sum(axis=1)
-        for pdf in batches:
-            if pdf.empty:
+        pdfs = [p for p in batches if not p.empty]
+        if not pdfs:
+            return
+        keys = np.concatenate([p[key].to_numpy() for p in pdfs])
+        Q = np.stack(np.concatenate([p[vec].to_numpy() for p in pdfs])).astype(np.float64)
+        nq = len(Q)
+        best_d = np.full((nq, 0), np.inf)
+        best_id = np.empty((nq, 0), dtype=object)
+        best_l = np.empty((nq, 0))
+        for f in files:
+            t = _read_chunk(f)
+            if t.num_rows == 0:
                 continue
-            Q = np.stack(pdf[vec].to_numpy()).astype(np.float64)
+            bv = np.stack(t.column(vec).to_numpy(zero_copy_only=False)).astype(np.float64)
+            bid = np.asarray(t.column("__bk").to_pylist(), dtype=object)
+            bl = t.column("__bl").to_numpy(zero_copy_only=False).astype(np.float64)
             step = max(1, int(8_000_000 // max(len(bid) * bv.shape[1], 1)))  # bounded scratch
-            for s in range(0, len(Q), step):
+            nd, ni, nl = [], [], []
+            for s in range(0, nq, step):
                 Qs = Q[s:s + step]
                 if metric == "manhattan":
                     D = np.abs(Qs[:, None, :] - bv[None, :, :]).sum(axis=2)
                 else:
-                    D = ((Qs[:, None, :] - bv[None, :, :]) ** 2).sum(axis=2)
-                    D = np.sqrt(D)
-                # order by (distance, base key); argsort on a stable lexsort per row
-                idx = np.argpartition(D, kk - 1, axis=1)[:, :kk] if kk < D.shape[1] else np.tile(
-                    np.arange(D.shape[1]), (len(Qs), 1))
-                # include ties at the k-th distance so the key tie-break is exact
-                kth = np.take_along_axis(D, idx, axis=1).max(axis=1)
-                keys, nbk, nbl, dist = [], [], [], []
-                qk = pdf[key].to_numpy()[s:s + step]
+                    D = np.sqrt(((Qs[:, None, :] - bv[None, :, :]) ** 2).sum(axis=2))
+                D = np.concatenate([best_d[s:s + step], D], axis=1)
+                I = np.concatenate([best_id[s:s + step], np.tile(bid, (len(Qs), 1))], axis=1)
+                L = np.concatenate([best_l[s:s + step], np.tile(bl, (len(Qs), 1))], axis=1)
+                kk = min(k, D.shape[1])
+                rd, ri, rl = np.empty((len(Qs), kk)), np.empty((len(Qs), kk), dtype=object), np.empty((len(Qs), kk))
                 for i in range(len(Qs)):
-                    cand = np.nonzero(D[i] <= kth[i])[0]
-                    order = np.lexsort((bid[cand], D[i, cand]))[:kk]
-                    sel = cand[order]
-                    keys.append(np.repeat(qk[i], len(sel)))
-                    nbk.append(bid[sel])
-                    nbl.append(bl[sel])
-                    dist.append(D[i, sel])
-                yield pd.DataFrame({key: np.concatenate(keys), "nb_key": np.concatenate(nbk),
-                                    "nb_label": np.concatenate(nbl), "dist": np.concatenate(dist)})
+                    # the k smallest by (distance, base key); ties at the k-th distance kept exact
+                    kth = np.partition(D[i], kk - 1)[kk - 1] if kk < D.shape[1] else np.inf
+                    cand = np.nonzero(D[i] <= kth)[0]
+                    order = sorted(cand, key=lambda c: (D[i, c], I[i, c]))[:kk]
+                    rd[i], ri[i], rl[i] = D[i, order], I[i, order], L[i, order]
+                nd.append(rd)
+                ni.append(ri)
+                nl.append(rl)
+            best_d, best_id, best_l = np.concatenate(nd), np.concatenate(ni), np.concatenate(nl)
+        kk = best_d.shape[1]
+        yield pd.DataFrame({key: np.repeat(keys, kk), "nb_key": best_id.ravel().tolist(),
+                            "nb_label": best_l.ravel(), "dist": best_d.ravel()})
     return run
 
 
