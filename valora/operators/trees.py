@@ -61,21 +61,29 @@ def boosted(features_col: str = "features", label: str = "label", n_trees: int =
 
 
 def validation_curve(model, valid: DataFrame, label: str) -> list:
-    """Validation MSE after 1..K trees of a boosted model, in ONE aggregate:
-    each tree scores the rows once, the K cumulative ensembles are
-    expressions."""
+    """Validation MSE after 1..K trees of a boosted model in one pass.  Each
+    tree scores a row once into one array column; an Arrow UDF turns it into
+    the K cumulative squared errors (referencing the tree outputs only once
+    keeps the optimizer from inlining K^2 model copies)."""
+    from pyspark.sql.types import ArrayType
+
     cur = valid.select(model.getFeaturesCol(), F.col(label).cast("double").alias("__y"))
     names = []
     for i, t in enumerate(model.trees):
         nm = f"__t{i}"
         cur = t.copy().setPredictionCol(nm).transform(cur)
         names.append(nm)
-    acc, aggs = F.lit(0.0), []
-    for i, (nm, w) in enumerate(zip(names, model.treeWeights)):
-        acc = acc + F.col(nm) * F.lit(float(w))
-        aggs.append(F.avg((F.col("__y") - acc) ** 2).alias(f"e{i}"))
-    row = cur.agg(*aggs).first()
-    return [float(row[f"e{i}"]) for i in range(len(names))]
+    w = np.asarray(model.treeWeights, dtype=np.float64)
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def cum_sq_err(preds: pd.Series, y: pd.Series) -> pd.Series:
+        P = np.stack(preds.to_numpy())
+        err = (y.to_numpy()[:, None] - np.cumsum(P * w, axis=1)) ** 2
+        return pd.Series(list(err))
+
+    errs = cur.select(F.posexplode(cum_sq_err(F.array(*names), F.col("__y"))).alias("i", "e"))
+    got = {r["i"]: r["m"] for r in errs.groupBy("i").agg(F.avg("e").alias("m")).collect()}  # K rows
+    return [float(got[i]) for i in range(len(names))]
 
 
 def best_iteration(model, valid: DataFrame, label: str) -> int:
