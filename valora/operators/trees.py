@@ -137,7 +137,12 @@ def adaboost_r2(df: DataFrame, features_col: str, label: str, n_estimators: int
                                    predictionCol="__p")
         m = dt.fit(cur)
         scored = m.transform(cur).withColumn("__e", F.abs(F.col("__p") - F.col(label)))
-        emax = scored.agg(F.max("__e")).first()[0] or 0.0
+        # one aggregate: max error and the weighted sums the linear/square
+        # losses need (L-bar = sum(w e^q) / (emax^q sum(w)))
+        st = scored.agg(F.max("__e").alias("emax"), F.sum("__w").alias("ws"),
+                        F.sum(F.col("__w") * F.col("__e")).alias("we"),
+                        F.sum(F.col("__w") * F.col("__e") * F.col("__e")).alias("wee")).first()
+        emax = st["emax"] or 0.0
         if emax <= 0:  # perfect learner: keep it and stop
             trees.append(m)
             weights.append(1.0)
@@ -145,8 +150,13 @@ def adaboost_r2(df: DataFrame, features_col: str, label: str, n_estimators: int
         e = F.col("__e") / F.lit(emax)
         L = e if loss == "linear" else (e * e if loss == "square" else 1 - F.exp(-e))
         scored = scored.withColumn("__L", L)
-        tot = scored.agg(F.sum(F.col("__w") * F.col("__L")).alias("lb"), F.sum("__w").alias("ws")).first()
-        lbar = float(tot["lb"]) / float(tot["ws"])
+        if loss == "linear":
+            lbar = float(st["we"]) / (emax * float(st["ws"]))
+        elif loss == "square":
+            lbar = float(st["wee"]) / (emax * emax * float(st["ws"]))
+        else:
+            lbar = float(scored.agg(F.sum(F.col("__w") * F.col("__L"))).first()[0]) / float(st["ws"])
+        tot = {"ws": st["ws"]}
         if lbar <= 0 or lbar >= 0.5:
             if lbar <= 0 or not trees:
                 trees.append(m)
