@@ -760,3 +760,37 @@ def q_train_tune_score_all_scope(spark, d):
 QUERIES.update({"read_fallback": q_read_fallback, "write_predictions": q_write_predictions,
                 "corr_submatrix": q_corr_submatrix, "gbt_early_stop": q_gbt_early_stop,
                 "fit_report": q_fit_report, "train_tune_score_all_scope": q_train_tune_score_all_scope})
+
+
+# ------------------------------------------------------------------ the two EDA workflows
+def q_correlation_eda(spark, d):
+    """Correlation workflow: features in keep-originals mode (E17), log
+    target, numeric columns only (A5), ranked by |r| with the target (A2)."""
+    from .workflow import property_table
+    t = property_table(spark, d)
+    t = features.engineer(t, {"log_list": "L1", "interaction": True, "suffix": "_New"})
+    t = t.withColumn("HotelValue_Log", features.target_forward("HotelValue")).drop("HotelValue")
+    num, _ = clean.columns_by_role(t, exclude=["Id"])
+    r = explore.corr_rank(t, num, "HotelValue_Log")
+    return r.select("feature", _r(F.col("r")).alias("r"), "rank")
+
+
+def q_outlier_eda(spark, d):
+    """Box-plot workflow: categorical columns with 2..50 levels (A7), then
+    per-level box statistics of the target (A8/A9), one table."""
+    from .workflow import property_table
+    t = property_table(spark, d)
+    _, cat = clean.columns_by_role(t, exclude=["Id"])
+    gate = explore.cardinality(t, cat).where("kept = 1").collect()  # one row per column
+    parts = []
+    for g in gate:
+        b = explore.box_stats(t, g["column"], "HotelValue").withColumnRenamed(g["column"], "level")
+        parts.append(b.select(F.lit(g["column"]).alias("column"), "level", *[_r(F.col(c), 4).alias(c) for c in
+                              ["q1", "median", "q3", "whisker_lo", "whisker_hi"]], "n", "n_fliers"))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
+
+
+QUERIES.update({"correlation_eda": q_correlation_eda, "outlier_eda": q_outlier_eda})

@@ -285,3 +285,22 @@ ORACLE.update({
     "write_predictions": ORACLE["score_table"],
     "corr_submatrix": f"SELECT a, b, {_r('r')} AS r FROM ({_corr_union(['l_quantity', 'l_extendedprice'], 'lineitem')})",
 })
+
+_PT = """(SELECT l.l_extendedprice AS HotelValue, p.p_type AS PropertyType, p.p_brand AS Brand,
+           l.l_returnflag AS ReturnFlag, o.o_orderpriority AS Priority
+    FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
+
+
+def _box_sql(col: str) -> str:
+    inside = "HotelValue BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)"
+    return f"""SELECT '{col}' AS "column", {col} AS level, {_r('q1', 4)} AS q1, {_r('median', 4)} AS median,
+        {_r('q3', 4)} AS q3, {_r(f'min(CASE WHEN {inside} THEN HotelValue END)', 4)} AS whisker_lo,
+        {_r(f'max(CASE WHEN {inside} THEN HotelValue END)', 4)} AS whisker_hi, count(*) AS n,
+        CAST(sum(CASE WHEN {inside} THEN 0 ELSE 1 END) AS BIGINT) AS n_fliers
+      FROM {_PT} t JOIN (SELECT {col} AS k, quantile_cont(HotelValue, 0.25) AS q1,
+        quantile_cont(HotelValue, 0.5) AS median, quantile_cont(HotelValue, 0.75) AS q3
+        FROM {_PT} s WHERE {col} IS NOT NULL GROUP BY {col}) q ON t.{col} = q.k
+      GROUP BY {col}, q1, median, q3"""
+
+
+ORACLE["outlier_eda"] = " UNION ALL ".join(_box_sql(c) for c in ["PropertyType", "Brand", "ReturnFlag", "Priority"])
