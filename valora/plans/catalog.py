@@ -548,9 +548,8 @@ def q_knn_grid(spark, d):
 
 
 def _ml_frame(spark, d):
-    from ..session import stage_table
-    from .workflow import property_table
-    t = stage_table(folds.split(property_table(spark, d), "Id", 0.15), "property")
+    from .workflow import staged_property_split
+    t = staged_property_split(spark, d)
     t = features.age_features(t).withColumn("y", features.target_forward("HotelValue"))
     num = ["UsableArea", "Discount", "Tax", "LandArea", "HouseAge", "YearsSinceModification"]
     codes = preprocess.OrdinalCodes(["PropertyType", "ReturnFlag", "Priority"], suffix="_code").fit(
@@ -648,9 +647,8 @@ def q_elastic_net_cv(spark, d):
 
 
 def q_train_tune_score(spark, d):
-    from ..session import stage_table
-    from .workflow import property_table, train_tune_score
-    t = stage_table(folds.split(property_table(spark, d), "Id", 0.15), "property")
+    from .workflow import staged_property_split, train_tune_score
+    t = staged_property_split(spark, d)
     out, _ = train_tune_score(t.where("is_test = 0").drop("is_test"),
                               t.where("is_test = 1").drop("is_test", "HotelValue"))
     return out
@@ -681,10 +679,9 @@ QUERIES.update({
 # ------------------------------------------------------------------ 2.11 pipeline variants
 def _variant_query(name):
     def q(spark, d):
-        from ..session import stage_table
         from .variants import run_variant
-        from .workflow import property_table
-        t = stage_table(folds.split(property_table(spark, d), "Id", 0.15), "property")
+        from .workflow import staged_property_split
+        t = staged_property_split(spark, d)
         out, _ = run_variant(t.where("is_test = 0").drop("is_test"),
                              t.where("is_test = 1").drop("is_test", "HotelValue"), name)
         return out
@@ -749,9 +746,8 @@ def q_fit_report(spark, d):
 
 def q_train_tune_score_all_scope(spark, d):
     """Preprocessing fitted on train + scoring rows (fit_scope='all')."""
-    from ..session import stage_table
-    from .workflow import property_table, train_tune_score
-    t = stage_table(folds.split(property_table(spark, d), "Id", 0.15), "property")
+    from .workflow import staged_property_split, train_tune_score
+    t = staged_property_split(spark, d)
     out, _ = train_tune_score(t.where("is_test = 0").drop("is_test"),
                               t.where("is_test = 1").drop("is_test", "HotelValue"), fit_scope="all")
     return out
