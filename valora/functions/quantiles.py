@@ -23,7 +23,6 @@ number of passes is logarithmic in the value resolution, never in ``n``.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import hash_bucket, ordinal_expr, safe_ratio as safe_ratio_expr
+from ..functions.exprs import hash_bucket, ordinal_expr
 from ..operators import clean, explore, features, folds, linear, metrics, preprocess
 from ..session import ensure_checkpoint_dir
 from ..sources import io
