@@ -634,8 +634,9 @@ def q_lasso_cv(spark, d):
     path, best = linear.elastic_net_path(g, [1.0], scale_mask=[True])
     mean = path.groupby(["alpha_idx", "alpha"], as_index=False)["mse"].mean()
     mean["chosen"] = (mean["alpha"] == best.info["alpha"]).astype(int)
-    return spark.createDataFrame(mean[["alpha_idx", "alpha", "mse", "chosen"]].astype(
+    df = spark.createDataFrame(mean[["alpha_idx", "alpha", "mse", "chosen"]].astype(
         {"alpha_idx": "int32", "chosen": "int32"}))
+    return df.select("alpha_idx", _r(F.col("alpha")).alias("alpha"), _r(F.col("mse")).alias("mse"), "chosen")
 
 
 def q_elastic_net_cv(spark, d):

@@ -304,3 +304,22 @@ def _box_sql(col: str) -> str:
 
 
 ORACLE["outlier_eda"] = " UNION ALL ".join(_box_sql(c) for c in ["PropertyType", "Brand", "ReturnFlag", "Priority"])
+
+
+# LassoCV in one dimension: contiguous folds, per-fold standardisation,
+# soft-threshold solution per (fold, alpha), held-out MSE, argmin of the mean.
+ORACLE["lasso_cv"] = """
+WITH d AS (SELECT p_partkey, p_size AS x, p_retailprice AS y,
+                  CAST(ntile(5) OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS fold FROM part),
+f AS (SELECT DISTINCT fold FROM d),
+s AS (SELECT f.fold, covar_pop(x, y) / stddev_pop(x) AS c, stddev_pop(x) AS sd, avg(x) AS mx, avg(y) AS my
+      FROM d JOIN f ON d.fold <> f.fold GROUP BY f.fold),
+a AS (SELECT i, abs(covar_pop(x, y) / stddev_pop(x)) * pow(10.0, -3.0 * i / 99.0) AS alpha
+      FROM d, range(100) t(i) GROUP BY i),
+m AS (SELECT a.i, a.alpha, s.fold, sign(s.c) * greatest(abs(s.c) - a.alpha, 0.0) / s.sd AS coef, s.mx, s.my
+      FROM a, s),
+e AS (SELECT m.i, m.alpha, m.fold, avg((d.y - (m.my - m.coef * m.mx) - m.coef * d.x) ^ 2) AS mse
+      FROM m JOIN d ON d.fold = m.fold GROUP BY m.i, m.alpha, m.fold),
+v AS (SELECT i, alpha, avg(mse) AS mse FROM e GROUP BY i, alpha)
+SELECT CAST(i AS INTEGER) AS alpha_idx, (round(alpha, 6) + 0.0) AS alpha, (round(mse, 6) + 0.0) AS mse,
+       CAST(row_number() OVER (ORDER BY mse, i) = 1 AS INTEGER) AS chosen FROM v"""
