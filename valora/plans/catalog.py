@@ -644,7 +644,9 @@ def q_elastic_net_cv(spark, d):
     g = linear.gram(p, ["p_size"], "p_retailprice", fold_col="fold")
     path, best = linear.elastic_net_path(g, [0.1, 0.5, 0.7, 0.9, 0.95, 0.99, 1.0], n_alphas=20,
                                          scale_mask=[True])
-    return spark.createDataFrame(path.astype({"alpha_idx": "int32", "fold": "int32"}))
+    df = spark.createDataFrame(path.astype({"alpha_idx": "int32", "fold": "int32"}))
+    return df.select("l1_ratio", "alpha_idx", _r(F.col("alpha")).alias("alpha"), "fold",
+                     _r(F.col("mse")).alias("mse"))
 
 
 def q_train_tune_score(spark, d):

@@ -323,3 +323,46 @@ e AS (SELECT m.i, m.alpha, m.fold, avg((d.y - (m.my - m.coef * m.mx) - m.coef *
 v AS (SELECT i, alpha, avg(mse) AS mse FROM e GROUP BY i, alpha)
 SELECT CAST(i AS INTEGER) AS alpha_idx, (round(alpha, 6) + 0.0) AS alpha, (round(mse, 6) + 0.0) AS mse,
        CAST(row_number() OVER (ORDER BY mse, i) = 1 AS INTEGER) AS chosen FROM v"""
+
+
+# Elastic-net CV path table in one dimension (ratio x alpha x fold held-out MSE).
+ORACLE["elastic_net_cv"] = """
+WITH d AS (SELECT p_size AS x, p_retailprice AS y,
+                  CAST(ntile(5) OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS fold FROM part),
+f AS (SELECT DISTINCT fold FROM d),
+s AS (SELECT f.fold, covar_pop(x, y) / stddev_pop(x) AS c, stddev_pop(x) AS sd, avg(x) AS mx, avg(y) AS my
+      FROM d JOIN f ON d.fold <> f.fold GROUP BY f.fold),
+r AS (SELECT unnest([0.1, 0.5, 0.7, 0.9, 0.95, 0.99, 1.0]::DOUBLE[]) AS l1_ratio),
+a AS (SELECT r.l1_ratio, t.i, abs(g.c) / r.l1_ratio * pow(10.0, -3.0 * t.i / 19.0) AS alpha
+      FROM (SELECT covar_pop(x, y) / stddev_pop(x) AS c FROM d) g, r, range(20) t(i)),
+m AS (SELECT a.l1_ratio, a.i, a.alpha, s.fold, s.mx, s.my,
+             sign(s.c) * greatest(abs(s.c) - a.alpha * a.l1_ratio, 0.0) / (1.0 + a.alpha * (1.0 - a.l1_ratio))
+             / s.sd AS coef FROM a, s),
+e AS (SELECT m.l1_ratio, m.i, m.alpha, m.fold, avg((d.y - (m.my - m.coef * m.mx) - m.coef * d.x) ^ 2) AS mse
+      FROM m JOIN d ON d.fold = m.fold GROUP BY m.l1_ratio, m.i, m.alpha, m.fold)
+SELECT l1_ratio, CAST(i AS INTEGER) AS alpha_idx, (round(alpha, 6) + 0.0) AS alpha, fold,
+       (round(mse, 6) + 0.0) AS mse FROM e"""
+
+
+# k-NN grid: one ranked neighbour list per metric, every (k, weights) from it.
+_EU = "sqrt(list_sum([(q.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ^ 2 for i in range(1, len(q.embedding) + 1)]))"
+_MA = "list_sum([abs(q.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) for i in range(1, len(q.embedding) + 1)])"
+ORACLE["knn_grid"] = f"""
+WITH e AS (SELECT vec_id, embedding, CAST(label AS DOUBLE) AS label,
+                  {_h('vec_id', 10000)} < 5000 AS is_q FROM embeddings),
+q AS (SELECT * FROM e WHERE is_q), b AS (SELECT * FROM e WHERE NOT is_q),
+d AS (SELECT q.vec_id, q.label AS y, b.vec_id AS bid, b.label, {_EU} AS de, {_MA} AS dm FROM q, b),
+u AS (SELECT 'euclidean' AS metric, vec_id, y, bid, label, de AS dist FROM d
+      UNION ALL SELECT 'manhattan', vec_id, y, bid, label, dm FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY metric, vec_id ORDER BY dist, bid) AS rn FROM u),
+ks AS (SELECT unnest([3, 5, 7, 10]) AS k),
+p AS (SELECT r.metric, ks.k, r.vec_id, any_value(r.y) AS y, avg(r.label) AS pu,
+             CASE WHEN sum(CASE WHEN r.dist = 0 THEN 1 ELSE 0 END) > 0
+                  THEN avg(CASE WHEN r.dist = 0 THEN r.label END)
+                  ELSE sum(r.label / r.dist) / sum(1.0 / r.dist) END AS pd
+      FROM r JOIN ks ON r.rn <= ks.k GROUP BY r.metric, ks.k, r.vec_id)
+SELECT metric, CAST(k AS INTEGER) AS k, 'uniform' AS weights, {_r('sqrt(avg((pu - y) ^ 2))')} AS rmse
+FROM p GROUP BY metric, k
+UNION ALL
+SELECT metric, CAST(k AS INTEGER) AS k, 'distance' AS weights, {_r('sqrt(avg((pd - y) ^ 2))')} AS rmse
+FROM p GROUP BY metric, k"""
