@@ -366,3 +366,26 @@ FROM p GROUP BY metric, k
 UNION ALL
 SELECT metric, CAST(k AS INTEGER) AS k, 'distance' AS weights, {_r('sqrt(avg((pd - y) ^ 2))')} AS rmse
 FROM p GROUP BY metric, k"""
+
+# Correlation EDA: engineered property columns (keep-originals mode), log target.
+_CE_COLS = ["UsableArea", "Discount", "Tax", "LandArea", "OverallQuality", "YearSold", "ConstructionYear",
+            "RenovationYear", "TotalPorchArea", "HouseAge", "YearsSinceModification", "QualityArea",
+            "LandArea_Log"]
+_CE_BASE = """(SELECT *, YearSold - ConstructionYear AS HouseAge,
+       YearSold - greatest(ConstructionYear, RenovationYear) AS YearsSinceModification,
+       OverallQuality * UsableArea AS QualityArea, ln(1 + coalesce(LandArea, 0)) AS LandArea_Log,
+       0.0::DOUBLE AS TotalPorchArea
+  FROM (SELECT ln(1 + l.l_extendedprice) AS HotelValue_Log, l.l_quantity AS UsableArea,
+               l.l_discount AS Discount, l.l_tax AS Tax, p.p_size AS LandArea,
+               6 - CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) AS OverallQuality,
+               year(l.l_shipdate) AS YearSold, year(o.o_orderdate) AS ConstructionYear,
+               coalesce(nullif(CASE WHEN l.l_returnflag = 'R' THEN 0
+                                    WHEN l.l_returnflag = 'A' THEN year(l.l_shipdate) - 1 END, 0),
+                        year(o.o_orderdate)) AS RenovationYear
+        FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN orders o ON l.l_orderkey = o.o_orderkey))"""
+ORACLE["correlation_eda"] = f"""SELECT feature, {_r('r')} AS r, rank FROM (
+  SELECT feature, r, CAST(row_number() OVER (ORDER BY abs(r) DESC,
+         CASE WHEN feature = 'HotelValue_Log' THEN 0 ELSE 1 END, feature) - 1 AS INTEGER) AS rank
+  FROM ({' UNION ALL '.join(f"SELECT '{c}' AS feature, corr(HotelValue_Log, {c}) AS r FROM {_CE_BASE} t{i}"
+                              for i, c in enumerate(['HotelValue_Log'] + _CE_COLS))})
+  WHERE r IS NOT NULL AND NOT isnan(r))"""
