@@ -389,3 +389,28 @@ ORACLE["correlation_eda"] = f"""SELECT feature, {_r('r')} AS r, rank FROM (
   FROM ({' UNION ALL '.join(f"SELECT '{c}' AS feature, corr(HotelValue_Log, {c}) AS r FROM {_CE_BASE} t{i}"
                               for i, c in enumerate(['HotelValue_Log'] + _CE_COLS))})
   WHERE r IS NOT NULL AND NOT isnan(r))"""
+
+# Bayesian ridge (one standardised feature): the evidence iterations replayed
+# with a recursive CTE; stop when |w - w_prev| < 1e-3 after the first round.
+ORACLE["bayes_ridge"] = """
+WITH RECURSIVE s AS (SELECT count(*) AS n, var_pop(p_size) * count(*) AS cxx,
+                            covar_pop(p_size, p_retailprice) * count(*) AS cxy,
+                            var_pop(p_retailprice) * count(*) AS cyy, stddev_pop(p_size) AS sd,
+                            avg(p_size) AS mx, avg(p_retailprice) AS my FROM part),
+c AS (SELECT n, cxx / (sd * sd) AS a, cxy / sd AS b, cyy, sd, mx, my FROM s),
+it(k, al, la, w_prev, done) AS (
+  SELECT 0, CAST(1.0 AS DOUBLE) / (cyy / n + 2.220446049250313e-16), CAST(1.0 AS DOUBLE),
+         CAST(NULL AS DOUBLE), false FROM c
+  UNION ALL
+  SELECT k + 1,
+         (n - g + 2e-6) / (greatest(cyy - 2 * w * b + w * w * a, 0.0) + 2e-6),
+         (g + 2e-6) / (w * w + 2e-6),
+         w,
+         k <> 0 AND abs(w_prev - w) < 1e-3
+  FROM (SELECT it.k, it.w_prev, c.*, c.b / (c.a + it.la / it.al) AS w,
+               it.al * c.a / (it.la + it.al * c.a) AS g
+        FROM it, c WHERE NOT it.done AND it.k < 300) z
+),
+fin AS (SELECT c.b / (c.a + it.la / it.al) / c.sd AS coef, c.mx, c.my
+        FROM it, c WHERE it.k = (SELECT max(k) FROM it))
+SELECT p_partkey, (round(my - coef * mx + coef * p_size, 6) + 0.0) AS prediction FROM part, fin"""
