@@ -744,7 +744,8 @@ def q_fit_report(spark, d):
     m = linear.fit_bayes_ridge(g, max_iter=300, scale_mask=[True])
     rows = [("alpha_", m.info["alpha_"]), ("lambda_", m.info["lambda_"]), ("n_iter", float(m.info["n_iter"])),
             ("intercept", float(m.intercept))] + [(f, float(w)) for f, w in zip(m.features, m.coef)]
-    return spark.createDataFrame(rows, "param string, value double")
+    return spark.createDataFrame(rows, "param string, value double").select(
+        "param", _r(F.col("value")).alias("value"))
 
 
 def q_train_tune_score_all_scope(spark, d):

@@ -392,7 +392,7 @@ ORACLE["correlation_eda"] = f"""SELECT feature, {_r('r')} AS r, rank FROM (
 
 # Bayesian ridge (one standardised feature): the evidence iterations replayed
 # with a recursive CTE; stop when |w - w_prev| < 1e-3 after the first round.
-ORACLE["bayes_ridge"] = """
+_BAYES_CTE = """
 WITH RECURSIVE s AS (SELECT count(*) AS n, var_pop(p_size) * count(*) AS cxx,
                             covar_pop(p_size, p_retailprice) * count(*) AS cxy,
                             var_pop(p_retailprice) * count(*) AS cyy, stddev_pop(p_size) AS sd,
@@ -411,6 +411,13 @@ it(k, al, la, w_prev, done) AS (
                it.al * c.a / (it.la + it.al * c.a) AS g
         FROM it, c WHERE NOT it.done AND it.k < 300) z
 ),
-fin AS (SELECT c.b / (c.a + it.la / it.al) / c.sd AS coef, c.mx, c.my
+fin AS (SELECT c.b / (c.a + it.la / it.al) / c.sd AS coef, c.mx, c.my, it.al, it.la, it.k
         FROM it, c WHERE it.k = (SELECT max(k) FROM it))
-SELECT p_partkey, (round(my - coef * mx + coef * p_size, 6) + 0.0) AS prediction FROM part, fin"""
+"""
+ORACLE["bayes_ridge"] = _BAYES_CTE + """SELECT p_partkey, (round(my - coef * mx + coef * p_size, 6) + 0.0) AS prediction
+    FROM part, fin"""
+ORACLE["fit_report"] = _BAYES_CTE + """SELECT 'alpha_' AS param, (round(al, 6) + 0.0) AS value FROM fin
+    UNION ALL SELECT 'lambda_', (round(la, 6) + 0.0) FROM fin
+    UNION ALL SELECT 'n_iter', CAST(k AS DOUBLE) FROM fin
+    UNION ALL SELECT 'intercept', (round(my - coef * mx, 6) + 0.0) FROM fin
+    UNION ALL SELECT 'p_size', (round(coef, 6) + 0.0) FROM fin"""
