@@ -248,8 +248,10 @@ def _cd(G, c, alpha, l1_ratio, w0=None, max_iter=10_000, tol=1e-4):
     p = len(c)
     w = np.zeros(p) if w0 is None else w0.copy()
     l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio)
-    diag = np.diag(G).copy()
+    diag = np.diag(G).tolist()
+    Gt = np.ascontiguousarray(G.T)          # Gt[j] = column j, contiguous
     grad = c - G @ w
+    tmp = np.empty(p)
 
     def sweep(idx):
         wmax = dmax = 0.0
@@ -257,12 +259,13 @@ def _cd(G, c, alpha, l1_ratio, w0=None, max_iter=10_000, tol=1e-4):
             dj = diag[j]
             if dj == 0:
                 continue
-            old = w[j]
-            rho = grad[j] + dj * old
+            old = float(w[j])
+            rho = float(grad[j]) + dj * old
             a = abs(rho) - l1
             new = math.copysign(a, rho) / (dj + l2) if a > 0 else 0.0
             if new != old:
-                grad[:] -= G[:, j] * (new - old)
+                np.multiply(Gt[j], new - old, out=tmp)
+                np.subtract(grad, tmp, out=grad)
                 w[j] = new
                 dmax = max(dmax, abs(new - old))
             wmax = max(wmax, abs(new))
