@@ -182,11 +182,14 @@ def group_median(df: DataFrame, by: str, y: str) -> DataFrame:
     return q.select(by, F.col("quantile").alias("median")).orderBy("median", by)
 
 
-def box_stats(df: DataFrame, by: str, y: str, whisker: float = 1.5) -> DataFrame:
+def box_stats(df: DataFrame, by, y: str, whisker: float = 1.5) -> DataFrame:
     """Per group quartiles, IQR, whiskers (furthest point within
-    ``whisker`` IQR of the box) and the flier count."""
-    q = exact_quantiles(df, y, [0.25, 0.5, 0.75], by=[by])
-    wide = q.groupBy(by).agg(
+    ``whisker`` IQR of the box) and the flier count.  ``by`` is a column name
+    or a list of them (e.g. ``["column", "level"]`` over an unpivoted table, so
+    one run serves every categorical column)."""
+    by = [by] if isinstance(by, str) else list(by)
+    q = exact_quantiles(df, y, [0.25, 0.5, 0.75], by=by)
+    wide = q.groupBy(*by).agg(
         F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("q1"),
         F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))).alias("median"),
         F.max(F.when(F.col("prob") == 0.75, F.col("quantile"))).alias("q3"))
@@ -194,9 +197,12 @@ def box_stats(df: DataFrame, by: str, y: str, whisker: float = 1.5) -> DataFrame
     lo = F.col("q1") - F.lit(whisker) * F.col("iqr")
     hi = F.col("q3") + F.lit(whisker) * F.col("iqr")
     v = F.col(y).cast("double")
-    joined = df.select(by, y).where(F.col(by).isNotNull() & v.isNotNull()).join(wide, by)
+    keys = F.lit(True)
+    for b in by:
+        keys = keys & F.col(b).isNotNull()
+    joined = df.select(*by, y).where(keys & v.isNotNull()).join(wide, by)
     inside = v.between(lo, hi)
-    agg = joined.groupBy(by).agg(
+    agg = joined.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(inside, v)).alias("whisker_lo"),
         F.max(F.when(inside, v)).alias("whisker_hi"),
@@ -204,6 +210,15 @@ def box_stats(df: DataFrame, by: str, y: str, whisker: float = 1.5) -> DataFrame
     return wide.join(agg, by)
 
 
+def box_stats_by_columns(df: DataFrame, cols, y: str, whisker: float = 1.5) -> DataFrame:
+    """A9 for several categorical columns at once: the table is unpivoted to
+    ``(column, level, y)`` and one grouped run answers every column."""
+    long = (df.select(F.col(y).cast("double").alias(y), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in cols])).alias("kv"))
+        .select("kv.column", "kv.level", y))
+    return box_stats(long, ["column", "level"], y, whisker)
+
+
 def fliers(df: DataFrame, by: str, y: str, key: str, whisker: float = 1.5) -> DataFrame:
     """The flier rows themselves (rows outside the whiskers)."""
     s = box_stats(df, by, y, whisker).select(by, "q1", "q3", "iqr")

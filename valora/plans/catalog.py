@@ -781,16 +781,10 @@ def q_outlier_eda(spark, d):
     from .workflow import property_table
     t = property_table(spark, d)
     _, cat = clean.columns_by_role(t, exclude=["Id"])
-    gate = explore.cardinality(t, cat).where("kept = 1").collect()  # one row per column
-    parts = []
-    for g in gate:
-        b = explore.box_stats(t, g["column"], "HotelValue").withColumnRenamed(g["column"], "level")
-        parts.append(b.select(F.lit(g["column"]).alias("column"), "level", *[_r(F.col(c), 4).alias(c) for c in
-                              ["q1", "median", "q3", "whisker_lo", "whisker_hi"]], "n", "n_fliers"))
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out
+    gate = [g["column"] for g in explore.cardinality(t, cat).where("kept = 1").collect()]  # one row per column
+    b = explore.box_stats_by_columns(t, gate, "HotelValue")
+    return b.select("column", "level", *[_r(F.col(c), 4).alias(c) for c in
+                                        ["q1", "median", "q3", "whisker_lo", "whisker_hi"]], "n", "n_fliers")
 
 
 QUERIES.update({"correlation_eda": q_correlation_eda, "outlier_eda": q_outlier_eda})
