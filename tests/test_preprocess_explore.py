@@ -101,3 +101,21 @@ def test_corr_wide_path_matches_narrow(spark):
     assert narrow.keys() == wide.keys()
     for key, v in narrow.items():
         assert (v is None and wide[key] is None) or wide[key] == pytest.approx(v, abs=1e-10)
+
+
+def test_pca_share_matches_numpy(spark):
+    rng = np.random.default_rng(9)
+    X = rng.normal(size=(300, 6)) @ np.diag([5.0, 3.0, 2.0, 1.0, 0.5, 0.1])
+    df = spark.createDataFrame([(i, [float(v) for v in X[i]]) for i in range(300)], "id long, v array<double>")
+    m = preprocess.Pca("v", 0.95).fit(df)
+    ev = np.sort(np.linalg.eigvalsh(np.cov(X, rowvar=False)))[::-1]
+    share = ev / ev.sum()
+    assert np.allclose(m.ratios, share, atol=1e-10)
+    assert m.k == int(np.searchsorted(np.cumsum(share), 0.95) + 1)
+    proj = np.array([r.pca for r in m.transform(df).orderBy("id").collect()])
+    Xc = X - X.mean(0)
+    assert proj.shape == (300, m.k)
+    # projections equal the centred data times the top eigenvectors, up to sign
+    w, V = np.linalg.eigh(np.cov(X, rowvar=False))
+    ref = Xc @ V[:, ::-1][:, :m.k]
+    assert np.allclose(np.abs(proj), np.abs(ref), atol=1e-8)
