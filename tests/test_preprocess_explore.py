@@ -119,3 +119,14 @@ def test_pca_share_matches_numpy(spark):
     w, V = np.linalg.eigh(np.cov(X, rowvar=False))
     ref = Xc @ V[:, ::-1][:, :m.k]
     assert np.allclose(np.abs(proj), np.abs(ref), atol=1e-8)
+
+
+def test_one_hot_width_guard_and_targeted_zero(spark):
+    df = spark.createDataFrame([(f"v{i}", float(i) if i % 2 else None, None if i % 3 else 5.0) for i in range(30)],
+                               "c string, area double, q double")
+    with pytest.raises(ValueError):
+        preprocess.OneHot(["c"], max_levels=10).fit(df)  # refuses, never truncates levels
+    m = preprocess.Impute(median=["q"], zero=["area"]).fit(df)
+    rows = m.transform(df).collect()
+    assert all(r.area is not None for r in rows) and rows[0].area == 0.0
+    assert all(r.q == 5.0 for r in rows)
