@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valora.llm import decontam, packing, quality, secret_scan, simhash
-from valora.llm.common import table
+from valora.llm import decontam, langid, license_scan, lm_score, packing, quality, secret_scan, simhash, topk, warc
+from valora.llm.common import scratch_path, table
 
 #: Scores below this are rejected.
 QUALITY_THRESHOLD = 0.3
@@ -35,6 +35,27 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         digest(F.array_sort("items")).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5, scale=256.0)
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.find_licenses(table(spark, sf_dir, "documents"))
+    best = F.array_max(F.transform("licenses", lambda x: x["coverage"]))
+    shown = F.transform("licenses", lambda x: F.concat_ws(
+        ":", x["license"], x["start"].cast("string"), x["end"].cast("string")))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"),
+                        F.array_join(shown, ",").alias("licenses"), F.coalesce(best, F.lit(0.0)).alias("coverage"))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 4) == 2
+    model = langid.train(docs.filter(~held_out).select("text", "lang"))
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0)
@@ -45,6 +66,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path, least=100)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"),
@@ -56,6 +83,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score_documents(docs, lm_score.train(docs))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -72,7 +104,60 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op5_quality, op7_pack, op8_simhash, op10_secrets)
+    f.__name__: f for f in (
+        op1_decontaminate, op2_topk, op3_licenses, op4_langid, op5_quality, op6_warc, op7_pack, op8_simhash,
+        op9_lm_score, op10_secrets)
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_decontaminate": r"""
+WITH words AS (
+    SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+    FROM documents),
+item AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+    FROM benchmark),
+win AS (
+    SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS s
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
+widths AS (SELECT DISTINCT k FROM win),
+place AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+found AS (
+    SELECT p.doc_id, p.i, x.k, x.item_id
+    FROM place p, widths v JOIN win x ON x.k = v.k AND x.s = array_to_string(p.w[p.i:p.i + v.k - 1], ' ')
+    WHERE p.i + v.k - 1 <= len(p.w)),
+hits AS (
+    SELECT doc_id, count(DISTINCT pos) AS n FROM (
+        SELECT doc_id, unnest(range(i, i + k)) AS pos FROM (SELECT DISTINCT doc_id, i, k FROM found)) GROUP BY doc_id),
+items AS (
+    SELECT doc_id, count(*) AS n, string_agg(item_id::varchar, ',' ORDER BY item_id::varchar) AS ids
+    FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit,
+       coalesce(items.n, 0)::BIGINT AS n_items, sha256(coalesce(items.ids, '')) AS items_sha256,
+       coalesce(hits.n, 0) > 0 AS contaminated
+FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op2_topk": """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+    "op6_warc": """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+    FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS lead FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND lead <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND lead <> page_id THEN lead END AS refers_to
+FROM f
+""",
+}
