@@ -123,11 +123,11 @@ win AS (
     SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS s
     FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
 widths AS (SELECT DISTINCT k FROM win),
-place AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
-found AS (
-    SELECT p.doc_id, p.i, x.k, x.item_id
-    FROM place p, widths v JOIN win x ON x.k = v.k AND x.s = array_to_string(p.w[p.i:p.i + v.k - 1], ' ')
-    WHERE p.i + v.k - 1 <= len(p.w)),
+gram AS (
+    SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i,
+           unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS s
+    FROM words, widths WHERE len(w) >= k),
+found AS (SELECT doc_id, i, k, item_id FROM gram JOIN win USING (k, s)),
 hits AS (
     SELECT doc_id, count(DISTINCT pos) AS n FROM (
         SELECT doc_id, unnest(range(i, i + k)) AS pos FROM (SELECT DISTINCT doc_id, i, k FROM found)) GROUP BY doc_id),

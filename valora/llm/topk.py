@@ -73,13 +73,13 @@ def _scores(sent, ids: np.ndarray, nulls: np.ndarray, vectors: np.ndarray) -> It
 
 
 def _histogram(it, sent, state, bins: int, dim: int, scale: float) -> Iterator[pa.RecordBatch]:
-    low, width, need = state.value
+    low, width, span, need = state.value
     counts = np.zeros((len(low), bins), np.int64)
     for ids, nulls, vectors in _batches(it, dim, scale):
         for at, scores, own in _scores(sent, ids, nulls, vectors):
             lo, w = low[at:at + len(scores), None], width[at:at + len(scores), None]
             where = (scores - lo) // w
-            where[own | (scores < lo) | (where >= bins)] = -1
+            where[own | (scores < lo) | (scores - lo >= span[at:at + len(scores), None])] = -1
             q, c = np.nonzero(where >= 0)
             flat = q * bins + where[q, c]
             counts[at:at + len(scores)] += np.bincount(flat, minlength=len(scores) * bins).reshape(-1, bins)
@@ -127,14 +127,14 @@ def _search_block(rows: DataFrame, query_ids: np.ndarray, queries: np.ndarray, m
     sent = sc.broadcast((query_ids, queries))
     reach = [min(2 ** 62, int(float(np.sqrt((q ** 2).sum())) * most * 1.0001) + 2) for q in queries]
     low = np.array([-r for r in reach], np.int64)
-    span = [2 * r for r in reach]
+    span = np.array([2 * r - 1 for r in reach], np.int64)
     need = np.full(len(queries), k, np.int64)
     width = np.array([max(1, -(-s // bins)) for s in span], np.int64)
     found = np.ones(len(queries), bool)
     final = np.full(len(queries), -(2 ** 63), np.int64)  # fewer than k candidates: all pass
     open_ = np.ones(len(queries), bool)
     while open_.any():
-        state = sc.broadcast((low, width, need))
+        state = sc.broadcast((low, width, span, need))
         counts = rows.mapInArrow(lambda it, st=state: _histogram(it, sent, st, bins, dim, scale),
                                  "q int, need long, bin int, n long")
         total = counts.groupBy("q", "need", "bin").agg(F.sum("n").alias("n"))
@@ -151,6 +151,7 @@ def _search_block(rows: DataFrame, query_ids: np.ndarray, queries: np.ndarray, m
         done = open_ & (width == 1)
         final[done] = low[done]
         open_ &= ~done
+        span = width
         width = np.where(open_, np.maximum(1, -(-width // bins)), 1)
         # a query that is settled counts nothing more
         low[~open_] = 2 ** 62
