@@ -42,7 +42,7 @@ _PLACEHOLDER = re.compile(
 
 #: Target name, operator and the right side up to the end of its line.
 _PAIR = re.compile(
-    r"""(?<![\w$.-])["']?([A-Za-z_][\w.-]{1,63})["']?[ \t]*(?:=>|:=|[:=](?![=:]))[ \t]*(?=["'$\w+/-])""", re.A)
+    r"""(?<![\w$.-])["']?([A-Za-z_][\w.-]{0,63})["']?[ \t]*(?:=>|:=|[:=](?![=:]))[ \t]*(?=["'$\w+/-])""", re.A)
 _PART = re.compile(
     r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|\$\{?([A-Za-z_]\w*)\}?|([A-Za-z0-9+/_.=-]+))""", re.A)
 _PLUS = re.compile(r"[ \t]*\+(?=[ \t]*[\"'$A-Za-z_])")
@@ -119,13 +119,9 @@ def literal_spans(text: str, threshold: float) -> list[tuple[int, int]]:
         reach = own + [x for n in names for x in constants.get(n, ())]
         weight = name_weight(name)
         if weight:
-            whole = sum(e - b for b, e in reach) if len(reach) > 1 else 0
-            for b, e in reach:
-                value = text[b:e]
-                # parts of one value count with its length
-                score = literal_weight(value if not whole else (value * (1 + 8 // max(1, len(value))))[:max(whole, len(value))])
-                if weight * score >= threshold:
-                    found.add((b, e))
+            # the parts of a joined value score as the whole
+            if weight * literal_weight("".join(text[b:e] for b, e in reach)) >= threshold:
+                found.update(reach)
         constants[name] = reach[:64]
     return sorted(found)
 
