@@ -11,14 +11,15 @@ values lands in one task.  Here every pass is a scan plus a *partial*
 aggregation into at most ``buckets`` histogram cells per (group, bracket):
 
 1. one aggregate gives ``n, min, max`` per group;
-2. each pass splits every open bracket ``[lo, hi]`` into equal-width buckets,
-   counts rows per bucket (map-side combined), and keeps the bucket holding the
+2. each pass splits every open bracket ``[lo, hi]`` into buckets, of equal width
+   and of equal ratio in turn, counts rows per bucket (map-side combined), and keeps the bucket holding the
    wanted rank, tightened to its own ``[min, max]``;
 3. when a bracket holds at most ``leaf_rows`` rows (or one distinct value) the
    exact order statistic is read from those few rows.
 
-Each pass shrinks a bracket's width by at least ``buckets`` times, so the
-number of passes is logarithmic in the value resolution, never in ``n``.
+Two passes shrink a bracket by a factor near ``buckets`` in width and in ratio,
+so the number of passes is logarithmic in the value resolution, never in ``n``;
+it has no limit, and no bracket above ``leaf_rows`` is ever read.
 """
 
 from __future__ import annotations
@@ -32,10 +33,29 @@ from ..session import cut_lineage
 _V = "__v"
 
 
-def _bucket(lo, hi, buckets: int):
-    width = (hi - lo)
-    raw = F.floor((F.col(_V) - lo) / width * F.lit(float(buckets))).cast("int")
-    return F.least(F.greatest(raw, F.lit(0)), F.lit(buckets - 1))
+def _signed_log(v):
+    """Monotone map of any finite double to about +-1460: a bin of it spans a
+    constant ratio, however many decades the values cover."""
+    size = F.log(F.abs(v)) + F.lit(746.0)
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0.0))
+
+
+def _bucket(v, lo, hi, buckets: int, by_ratio: bool):
+    """Histogram cell of ``v`` in ``[lo, hi]``: ``lo`` falls into the first and
+    ``hi`` into the last, so every pass separates them.  Infinite ends have the
+    outermost cells to themselves; halving keeps huge widths finite.  Passes by
+    equal width and by equal ratio take turns, which bounds their number
+    whatever the spread of the values."""
+    inf = float("inf")
+    low = F.when(lo == -inf, F.lit(-1.7976931348623157e308)).otherwise(lo)
+    high = F.when(hi == inf, F.lit(1.7976931348623157e308)).otherwise(hi)
+    if by_ratio:
+        share = (_signed_log(v) - _signed_log(low)) / (_signed_log(high) - _signed_log(low))
+    else:
+        share = (v / 2 - low / 2) / (high / 2 - low / 2)
+    inner = F.floor(F.coalesce(F.nanvl(share, F.lit(0.0)), F.lit(0.0)) * F.lit(float(buckets - 2))).cast("int") + 1
+    inner = F.least(F.greatest(inner, F.lit(1)), F.lit(buckets - 2))
+    return F.when(v <= lo, 0).when(v >= hi, buckets - 1).otherwise(inner)
 
 
 def _rank_targets(n: int, probs):
@@ -53,7 +73,7 @@ def _interp(v0: float, v1: float, frac: float) -> float:
     return v0 if frac == 0 or v0 == v1 else v0 + (v1 - v0) * frac
 
 
-def _columns(df: DataFrame, cols, probs, buckets: int, leaf_rows: int, max_passes: int) -> dict:
+def _columns(df: DataFrame, cols, probs, buckets: int, leaf_rows: int) -> dict:
     """Exact quantiles of several columns at once; the bracket state (a few
     numbers per column) lives on the driver and enters the plan as literals,
     so every pass is ONE scan with map-side aggregation and no join."""
@@ -80,24 +100,22 @@ def _columns(df: DataFrame, cols, probs, buckets: int, leaf_rows: int, max_passe
         return sorted({(i, lo, hi, below) for (i, _), (lo, hi, below, cnt) in state.items()
                        if lo < hi and (cnt > leaf_rows or not open_only)})
 
-    def emit(bl, with_bucket: bool):
+    def emit(bl, with_bucket: bool, by_ratio: bool = False):
         items = []
         for b, (i, lo, hi, _) in enumerate(bl):
             v = F.col(cols[i]).cast("double")
             fields = [F.lit(b).alias("b"), v.alias(_V)]
             if with_bucket:
-                k = F.least(F.greatest(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(buckets)))
-                                       .cast("int"), F.lit(0)), F.lit(buckets - 1))
+                k = _bucket(v, F.lit(lo), F.lit(hi), buckets, by_ratio)
                 fields.append(k.alias("k"))
             items.append(F.when(v.between(F.lit(lo), F.lit(hi)), F.struct(*fields)))
         return (df.select(F.explode(F.array(*items)).alias("e")).where(F.col("e").isNotNull())
                 .select("e.*"))
 
-    for _ in range(max_passes):
-        bl = brackets(True)
-        if not bl:
-            break
-        hist = (emit(bl, True).groupBy("b", "k")
+    turn = 0
+    while bl := brackets(True):
+        turn += 1
+        hist = (emit(bl, True, turn % 2 == 0).groupBy("b", "k")
                 .agg(F.count(F.lit(1)).alias("c"), F.min(_V).alias("mn"), F.max(_V).alias("mx"))
                 .collect())  # at most len(bl) * buckets rows
         by_b: dict = {}
@@ -129,8 +147,8 @@ def _columns(df: DataFrame, cols, probs, buckets: int, leaf_rows: int, max_passe
     return out
 
 
-def _global(base: DataFrame, probs, buckets: int, leaf_rows: int, max_passes: int) -> dict:
-    return _columns(base, [_V], probs, buckets, leaf_rows, max_passes)[_V]
+def _global(base: DataFrame, probs, buckets: int, leaf_rows: int) -> dict:
+    return _columns(base, [_V], probs, buckets, leaf_rows)[_V]
 
 
 def _small_or_checkpoint(df: DataFrame, limit: int):
@@ -144,7 +162,7 @@ def _small_or_checkpoint(df: DataFrame, limit: int):
 
 
 def _grouped(base: DataFrame, by: list[str], probs, buckets: int, leaf_rows: int,
-             max_passes: int, broadcast_rows: int) -> DataFrame:
+             broadcast_rows: int) -> DataFrame:
     stats = base.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min(_V).alias("__lo"),
                                   F.max(_V).alias("__hi"))
     tg = (stats.select(*by, "__n", "__lo", "__hi",
@@ -167,14 +185,14 @@ def _grouped(base: DataFrame, by: list[str], probs, buckets: int, leaf_rows: int
     is_open = (F.col("__cnt") > leaf_rows) & (F.col("__lo") < F.col("__hi"))
     any_open = (any(r["__n"] > leaf_rows and r["__lo"] < r["__hi"] for r in tg_rows)
                 if small else not br.where(is_open).isEmpty())
-    for _ in range(max_passes):
-        if not any_open:
-            break
+    turn = 0
+    while any_open:
+        turn += 1
         act = br.where(is_open)
         bk = act.select(*by, "__lo", "__hi").distinct()
         rows = (base.join(side(bk), on=by)
                 .where(F.col(_V).between(F.col("__lo"), F.col("__hi")))
-                .withColumn("__k", _bucket(F.col("__lo"), F.col("__hi"), buckets)))
+                .withColumn("__k", _bucket(F.col(_V), F.col("__lo"), F.col("__hi"), buckets, turn % 2 == 0)))
         hist = rows.groupBy(*by, "__lo", "__hi", "__k").agg(
             F.count(F.lit(1)).alias("__c"), F.min(_V).alias("__mn"), F.max(_V).alias("__mx"))
         w = (Window.partitionBy(*by, "__lo", "__hi").orderBy("__k")
@@ -224,7 +242,7 @@ def _all_small(base: DataFrame, by, tg: DataFrame) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, value, probs, by=(), buckets: int = 1024,
-                    leaf_rows: int = 4096, max_passes: int = 64,
+                    leaf_rows: int = 4096,
                     broadcast_rows: int = 50_000):
     """Exact interpolated quantiles of ``value`` (nulls ignored).
 
@@ -235,10 +253,10 @@ def exact_quantiles(df: DataFrame, value, probs, by=(), buckets: int = 1024,
     v = F.col(value) if isinstance(value, str) else value
     base = df.select(*by, v.cast("double").alias(_V)).where(F.col(_V).isNotNull() & ~F.isnan(_V))
     if not by:
-        return _global(base, probs, buckets, leaf_rows, max_passes)
+        return _global(base, probs, buckets, leaf_rows)
     for b in by:
         base = base.where(F.col(b).isNotNull())
-    return _grouped(base, by, probs, buckets, leaf_rows, max_passes, broadcast_rows)
+    return _grouped(base, by, probs, buckets, leaf_rows, broadcast_rows)
 
 
 def medians(df: DataFrame, cols) -> dict:
@@ -251,7 +269,6 @@ def medians(df: DataFrame, cols) -> dict:
     return {c: res[c][0.5] for c in cols}
 
 
-def column_quantiles(df: DataFrame, cols, probs, buckets: int = 1024, leaf_rows: int = 4096,
-                     max_passes: int = 64) -> dict:
+def column_quantiles(df: DataFrame, cols, probs, buckets: int = 1024, leaf_rows: int = 4096) -> dict:
     """``{column: {prob: quantile}}`` for many columns, sharing every pass."""
-    return _columns(df, cols, probs, buckets, leaf_rows, max_passes)
+    return _columns(df, cols, probs, buckets, leaf_rows)

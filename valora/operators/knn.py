@@ -122,6 +122,19 @@ def _scorer(files, key, vec, k, metric):
     return run
 
 
+def _predictions(k: int, weights: str):
+    """Prediction from the ``k`` nearest as one aggregate expression over a query
+    row's ranked neighbours."""
+    near = F.col("nb_rank") <= k
+    if weights == "uniform":
+        return F.avg(F.when(near, F.col("nb_label")))
+    zero = near & (F.col("dist") == 0)
+    far = near & (F.col("dist") != 0)
+    exact = F.avg(F.when(zero, F.col("nb_label")))
+    return F.coalesce(exact, F.sum(F.when(far, F.col("nb_label") / F.col("dist")))
+                      / F.sum(F.when(far, 1.0 / F.col("dist"))))
+
+
 def knn_regress(query: DataFrame, base: DataFrame, key: str, vec: str, label: str, k: int = 5,
                 weights: str = "uniform", metric: str = "euclidean",
                 neighbours: DataFrame | None = None) -> DataFrame:
@@ -130,35 +143,25 @@ def knn_regress(query: DataFrame, base: DataFrame, key: str, vec: str, label: st
     only those count).  Pass precomputed top-K ``neighbours`` (K >= k) to
     derive every k from one search."""
     nb = neighbours if neighbours is not None else knn_neighbours(query, base, key, vec, label, k, metric)
-    nb = nb.where(F.col("nb_rank") <= k)
-    if weights == "uniform":
-        return nb.groupBy(key).agg(F.avg("nb_label").alias("prediction"))
-    zero = F.col("dist") == 0
-    return nb.groupBy(key).agg(
-        F.sum(F.when(zero, 1).otherwise(0)).alias("__z"),
-        F.avg(F.when(zero, F.col("nb_label"))).alias("__zmean"),
-        F.sum(F.when(~zero, F.col("nb_label") / F.col("dist"))).alias("__num"),
-        F.sum(F.when(~zero, 1.0 / F.col("dist"))).alias("__den"),
-    ).select(key, F.when(F.col("__z") > 0, F.col("__zmean"))
-             .otherwise(F.col("__num") / F.col("__den")).alias("prediction"))
+    return nb.groupBy(key).agg(_predictions(k, weights).alias("prediction"))
 
 
 def knn_grid(query: DataFrame, base: DataFrame, key: str, vec: str, label: str, y: str,
              ks=(3, 5, 7, 10), metrics=("euclidean", "manhattan"),
              weights=("uniform", "distance")) -> DataFrame:
-    """H1 for k-NN: one top-max(k) search per metric; every (k, weights) is
-    derived from it.  Returns RMSE per (metric, k, weights)."""
-    res = []
+    """H1 for k-NN: one top-max(k) search per metric; every (k, weights) is an
+    aggregate over its neighbours, all in one pass.  Returns RMSE per (metric,
+    k, weights)."""
     truth = query.select(key, F.col(y).cast("double").alias("__y"))
+    points = [(kk, w) for kk in ks for w in weights]
+    out = None
     for m in metrics:
-        nb = knn_neighbours(query, base, key, vec, label, max(ks), m).cache()
-        for kk in ks:
-            for w in weights:
-                p = knn_regress(query, base, key, vec, label, kk, w, m, neighbours=nb)
-                res.append(p.join(truth, key).agg(
-                    F.sqrt(F.avg((F.col("prediction") - F.col("__y")) ** 2)).alias("rmse"))
-                    .select(F.lit(m).alias("metric"), F.lit(kk).alias("k"), F.lit(w).alias("weights"), "rmse"))
-    out = res[0]
-    for r in res[1:]:
-        out = out.unionByName(r)
+        nb = knn_neighbours(query, base, key, vec, label, max(ks), m)
+        wide = nb.groupBy(key).agg(*[_predictions(kk, w).alias(f"p{i}") for i, (kk, w) in enumerate(points)])
+        rmse = wide.join(truth, key).agg(*[F.sqrt(F.avg((F.col(f"p{i}") - F.col("__y")) ** 2)).alias(f"r{i}")
+                                           for i in range(len(points))])
+        long = rmse.select(F.explode(F.array(*[
+            F.struct(F.lit(m).alias("metric"), F.lit(kk).alias("k"), F.lit(w).alias("weights"), F.col(f"r{i}").alias("rmse"))
+            for i, (kk, w) in enumerate(points)])).alias("e")).select("e.*")
+        out = long if out is None else out.unionByName(long)
     return out

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_parallelism
 
 _ALL = -1  # fold id of the whole table
+_MISSING = -2  # rows that can't enter the statistics
 
 
 # ----------------------------------------------------------------- statistics
@@ -86,7 +87,8 @@ def gram(df: DataFrame, features: Sequence[str], label: str, fold_col: str | Non
          shift: dict | None = None) -> Gram:
     """Per-fold sufficient statistics in one distributed pass.
 
-    Rows with a null label or feature are skipped (impute first).  ``shift``
+    A row with a missing (null or NaN) label or feature raises: impute, or
+    drop such rows, first.  ``shift``
     (column -> value) is subtracted before summing; by default the global
     means (one cheap aggregate)."""
     features = list(features)
@@ -107,10 +109,14 @@ def gram(df: DataFrame, features: Sequence[str], label: str, fold_col: str | Non
 
     def part_stats(batches):
         acc: dict = {}
+        missing = 0
         for pdf in batches:
-            pdf = pdf.dropna()
             if pdf.empty:
                 continue
+            whole = pdf.notna().all(axis=1).to_numpy()
+            missing += int((~whole).sum())
+            if missing:
+                continue  # the whole run ends in an error
             X = pdf[xnames].to_numpy(dtype=np.float64) - sx if p else np.zeros((len(pdf), 0))
             y = pdf["__y"].to_numpy(dtype=np.float64) - sy
             fo = pdf["__fold"].to_numpy()
@@ -126,6 +132,9 @@ def gram(df: DataFrame, features: Sequence[str], label: str, fold_col: str | Non
                     acc[f] += v
                 else:
                     acc[f] = v
+        if missing:
+            yield pd.DataFrame({"fold": np.array([_MISSING], dtype=np.int32), "cell": np.array([0], dtype=np.int32),
+                                "v": [float(missing)]})
         for f, v in acc.items():
             yield pd.DataFrame({"fold": np.full(width, f, dtype=np.int32),
                                 "cell": np.arange(width, dtype=np.int32), "v": v})
@@ -135,6 +144,8 @@ def gram(df: DataFrame, features: Sequence[str], label: str, fold_col: str | Non
               .collect())  # folds x (3 + 2p + p(p+1)/2) cells: bounded by p, not rows
     vecs: dict = {}
     for r in merged:
+        if r["fold"] == _MISSING:
+            raise ValueError(f"{int(r['v'])} or more rows with a missing feature, label or fold")
         vecs.setdefault(r["fold"], np.zeros(width))[r["cell"]] = r["v"]
     g = Gram(features, sx, sy)
     for f, v in vecs.items():
@@ -412,17 +423,18 @@ def fit_bayes_ridge(g: Gram, max_iter: int = 300, tol: float = 1e-3, scale_mask=
 
 # ------------------------------------------------------------------ LOO (M3)
 def loo_residuals(df: DataFrame, g: Gram, model: LinearModel, label: str, key: str,
-                  alpha: float = 0.0, scale_mask=None) -> DataFrame:
-    """Exact leave-one-out residuals of OLS/ridge with intercept:
-    r_i / (1 - h_ii), h_ii = 1/n + z_i (Z'Z + alpha I)^-1 z_i' on centred
-    (optionally standardised) features.  One projection pass; the p x p
+                  alpha: float = 0.0, scale_mask=None, intercept: bool = True) -> DataFrame:
+    """Exact leave-one-out residuals of OLS/ridge: r_i / (1 - h_ii) with h_ii =
+    z_i (Z'Z + alpha I)^-1 z_i', plus 1/n with an intercept, on centred
+    (optionally standardised) features; without one, unscaled columns aren't
+    centred.  One projection pass; the p x p
     inverse is shipped with the task closure (size bounded by p)."""
     st = g.total
-    A, _, d, centre = _design(st, g, True, scale_mask)
+    A, _, d, centre = _design(st, g, intercept, scale_mask)
     p = len(d)
     M = np.linalg.pinv(A + alpha * np.eye(p)) if p else np.zeros((0, 0))
     mean_raw = centre + g.shift_x
-    n = st.n
+    base = 1.0 / st.n if intercept else 0.0
     feats = list(g.features)
     w, b0 = model.coef, model.intercept
 
@@ -430,7 +442,7 @@ def loo_residuals(df: DataFrame, g: Gram, model: LinearModel, label: str, key: s
         for pdf in batches:
             X = pdf[feats].to_numpy(dtype=np.float64)
             Z = (X - mean_raw) / d
-            h = 1.0 / n + np.einsum("ij,jk,ik->i", Z, M, Z)
+            h = base + np.einsum("ij,jk,ik->i", Z, M, Z)
             pred = b0 + X @ w
             r = pdf[label].to_numpy(dtype=np.float64) - pred
             yield pd.DataFrame({key: pdf[key], "prediction": pred, "residual": r,

@@ -50,7 +50,9 @@ class ImputeModel(Model):
         self.fills, self.constants, self.dropped = fills, constants, dropped
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        cols = {c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in self.fills.items()}
+        # NaN is a missing number, like null
+        cols = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(v))
+                for c, v in self.fills.items()}
         cols.update({c: F.coalesce(F.col(c), F.lit(v)) for c, v in self.constants.items()})
         return df.withColumns(cols).drop(*self.dropped)
 
@@ -121,16 +123,17 @@ class OneHot(Estimator):
         self.cols, self.max_levels, self.keep_source = list(cols), max_levels, keep_source
 
     def _fit(self, df: DataFrame) -> "OneHotModel":
-        return OneHotModel(_levels(df, self.cols, self.max_levels), self.keep_source)
+        return OneHotModel(_levels(df, self.cols, self.max_levels), self.keep_source,
+                           set(df.columns) - set(self.cols))
 
 
 class OneHotModel(Model):
-    def __init__(self, levels: dict, keep_source: bool = False):
+    def __init__(self, levels: dict, keep_source: bool = False, taken=()):
         super().__init__()
         self.levels, self.keep_source = levels, keep_source
         self.names = {}
+        seen = set(taken)  # over all columns: ``a`` = "b_c" and ``a_b`` = "c" mustn't share a name
         for c, vals in levels.items():
-            seen = set()
             for v in vals:
                 name = f"{c}_{_sanitize(v)}"
                 while name in seen:
@@ -309,28 +312,36 @@ def build_pipeline(numeric, categorical=(), zero=(), scale: bool = True,
     categorical -> 'None' fill -> one-hot (or ordinal codes)."""
     numeric = [c for c in numeric if c not in set(zero)]
     stages = [Impute(median=numeric, zero=zero, constant={c: "None" for c in categorical})]
-    if poly_degree and poly_degree > 1:
-        stages.append(Polynomial(list(zero) + numeric, degree=poly_degree))
     if scale:
-        stages.append(_DeferredStandardize(list(zero) + numeric, poly_degree))
+        stages.append(_DeferredStandardize(list(zero) + numeric))
+    if poly_degree and poly_degree > 1:  # of the scaled columns; its terms aren't scaled again
+        stages.append(_DeferredPolynomial(list(zero) + numeric, poly_degree))
     if categorical:
         stages.append(OneHot(categorical) if encoder == "onehot" else OrdinalCodes(categorical))
     return Pipeline(stages=stages)
 
 
 class _DeferredStandardize(Estimator):
-    """Standardise the numeric outputs that survive imputation (all-null
-    training columns are gone) and, after a polynomial stage, its terms."""
+    """Standardise the numeric columns that survive imputation (all-null
+    training columns are gone)."""
 
-    def __init__(self, cols, poly_degree=None):
+    def __init__(self, cols):
         super().__init__()
-        self.cols, self.poly_degree = list(cols), poly_degree
+        self.cols = list(cols)
 
     def _fit(self, df: DataFrame):
-        cols = [c for c in self.cols if c in df.columns]
-        if self.poly_degree and self.poly_degree > 1:
-            cols = Polynomial(cols, self.poly_degree).output_columns()
-        return Standardize([c for c in cols if c in df.columns])._fit(df)
+        return Standardize([c for c in self.cols if c in df.columns])._fit(df)
+
+
+class _DeferredPolynomial(Estimator):
+    """Expand the numeric columns that survive imputation."""
+
+    def __init__(self, cols, degree: int):
+        super().__init__()
+        self.cols, self.degree = list(cols), degree
+
+    def _fit(self, df: DataFrame):
+        return Polynomial([c for c in self.cols if c in df.columns], self.degree)
 
 
 def feature_names(model, numeric_prefix: str = "num__", cat_prefix: str = "cat__") -> list[str]:
@@ -341,8 +352,10 @@ def feature_names(model, numeric_prefix: str = "num__", cat_prefix: str = "cat__
             names += [numeric_prefix + c for c in st.mean]
         elif isinstance(st, OneHotModel):
             names += [cat_prefix + c for c in st.output_columns()]
-        elif isinstance(st, OrdinalCodesModel) and st.codes is not None:
-            names += [cat_prefix + c for c in st.codes]
+        elif isinstance(st, OrdinalCodesModel):
+            names += [cat_prefix + c for c in (st.codes if st.codes is not None else st.tables)]
+        elif isinstance(st, Polynomial):
+            names += [numeric_prefix + c for c in st.output_columns() if c not in st.cols]
     return names
 
 
@@ -355,7 +368,9 @@ def feature_columns(model) -> list[str]:
         elif isinstance(st, OneHotModel):
             cols += st.output_columns()
         elif isinstance(st, OrdinalCodesModel):
-            cols += [c + st.suffix for c in (st.codes or st.tables)]
+            cols += [c + st.suffix for c in (st.codes if st.codes is not None else st.tables)]
+        elif isinstance(st, Polynomial):
+            cols += [c for c in st.output_columns() if c not in st.cols]
     return cols
 
 

@@ -316,6 +316,55 @@ def q_loo(spark, d):
     return r.select("p_partkey", _r(F.col("loo_residual")).alias("loo_residual"))
 
 
+def q_loo_no_intercept(spark, d):
+    p = _part_xy(spark, d)
+    g = linear.gram(p, ["p_size"], "p_retailprice")
+    m = linear.fit_ridge(g, 10.0, intercept=False)
+    r = linear.loo_residuals(p, g, m, "p_retailprice", "p_partkey", alpha=10.0, intercept=False)
+    return r.select("p_partkey", _r(F.col("loo_residual")).alias("loo_residual"))
+
+
+def q_select_refit(spark, d):
+    from ..operators import selection
+    p = _part_xy(spark, d)
+    c = selection.select_and_refit(p, ["p_size"], "p_retailprice", "p_retailprice", "p_partkey",
+                                   lambda g: {"ridge_100": (100.0, True), "ridge_100000": (100000.0, True)})
+    rows = [(n, float(s), n == c.name, float(c.model.coef[0]) if n == c.name else None,
+             float(c.model.intercept) if n == c.name else None) for n, s in c.scores.items()]
+    out = spark.createDataFrame(rows, "model string, val_rmse double, chosen boolean, coef double, icept double")
+    return out.select("model", _r(F.col("val_rmse"), 4).alias("val_rmse"), "chosen",
+                      _r(F.col("coef")).alias("refit_coef"), _r(F.col("icept"), 4).alias("refit_intercept"))
+
+
+def q_scaled_polynomial(spark, d):
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    pipe = preprocess.build_pipeline(["l_quantity", "l_discount"], poly_degree=2).fit(li)
+    return pipe.transform(li).select("l_orderkey", "l_linenumber",
+                                     *[_r(F.col(c)).alias(c) for c in preprocess.feature_columns(pipe)])
+
+
+def q_impute_nan(spark, d):
+    p = _t(spark, d, "part").select("p_partkey", F.when(F.col("p_size") == 7, float("nan")).otherwise(
+        F.col("p_retailprice") / F.col("p_size")).alias("v"))
+    return preprocess.Impute(median=["v"]).fit(p).transform(p).select("p_partkey", _r(F.col("v")).alias("v"))
+
+
+def q_csv_types(spark, d):
+    """Text cells with null tokens, written as CSV and read back with types."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark)}/csv-types-{uuid.uuid4().hex}.csv"
+    size, token = F.col("p_size"), F.element_at(F.array(F.lit("None"), F.lit("null"), F.lit("NaN"), F.lit("NA")),
+                                                F.pmod(F.col("p_size"), F.lit(4)) + 1)
+    p = _t(spark, d, "part").select(
+        F.col("p_partkey").alias("k"), F.when(size % 5 == 0, token).otherwise(size.cast("string")).alias("n"),
+        F.when(size % 7 == 0, token).otherwise((size / 4).cast("string")).alias("x"),
+        F.when(size % 3 == 0, F.lit(" NA ")).otherwise(F.col("p_type")).alias("s"))
+    p.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return io.read_table(spark, [path])
+
+
 def q_loo_summary(spark, d):
     p = _part_xy(spark, d)
     g = linear.gram(p, ["p_size"], "p_retailprice")
@@ -460,6 +509,11 @@ QUERIES = {
     "ridge_path": q_ridge_path,
     "loo": q_loo,
     "loo_summary": q_loo_summary,
+    "loo_no_intercept": q_loo_no_intercept,
+    "select_refit": q_select_refit,
+    "scaled_polynomial": q_scaled_polynomial,
+    "impute_nan": q_impute_nan,
+    "csv_types": q_csv_types,
     "lasso_1d": q_lasso_1d,
     "elastic_net_1d": q_elastic_net_1d,
     "bayes_ridge": q_bayes_ridge,

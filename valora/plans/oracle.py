@@ -140,7 +140,7 @@ ORACLE = {
     "preview": """SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
         ORDER BY l_orderkey, l_linenumber, l_extendedprice LIMIT 5""",
     "normalize_nulls": """SELECT conv_id, turn, role,
-        CASE WHEN text IS NULL OR trim(text) IN ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN',
+        CASE WHEN text IS NULL OR text IN ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN',
           '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a',
           'nan', 'null') THEN 1 ELSE 0 END AS text_is_null FROM conversations""",
     "zero_fill": f"SELECT doc_id, coalesce(quality, 0) AS quality, coalesce(toxic, 0) AS toxic FROM {DOCS} j",
@@ -225,6 +225,31 @@ ORACLE = {
         m AS (SELECT n, mx, sxx, sxy / (sxx + 10.0) AS b, my - sxy / (sxx + 10.0) * mx AS a FROM s)
         SELECT p_partkey, {_r('(p_retailprice - a - b * p_size) / (1 - 1.0 / n - (p_size - mx) ^ 2 / (sxx + 10.0))')}
             AS loo_residual FROM part, m""",
+    "loo_no_intercept": f"""WITH s AS (SELECT sum(p_size * p_size) AS sxx, sum(p_size * p_retailprice) AS sxy FROM part),
+        m AS (SELECT sxx + 10.0 AS a, sxy / (sxx + 10.0) AS b FROM s)
+        SELECT p_partkey, {_r('(p_retailprice - b * p_size) / (1 - p_size * p_size / a)')} AS loo_residual FROM part, m""",
+    "scaled_polynomial": f"""WITH s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq,
+            avg(l_discount) AS md, stddev_pop(l_discount) AS sd FROM lineitem),
+        z AS (SELECT l_orderkey, l_linenumber, (l_quantity - mq) / sq AS q, (l_discount - md) / sd AS d FROM lineitem, s)
+        SELECT l_orderkey, l_linenumber, {_r('q')} AS l_quantity, {_r('d')} AS l_discount, {_r('q * q')} AS l_quantity_pow2,
+               {_r('q * d')} AS l_quantity_x_l_discount, {_r('d * d')} AS l_discount_pow2 FROM z""",
+    "impute_nan": f"""WITH x AS (SELECT p_partkey, CASE WHEN p_size = 7 THEN NULL ELSE p_retailprice / p_size END AS v FROM part)
+        SELECT p_partkey, {_r('coalesce(v, (SELECT median(v) FROM x))')} AS v FROM x""",
+    "csv_types": """SELECT p_partkey AS k, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size END::BIGINT AS n,
+        CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size / 4.0 END::DOUBLE AS x,
+        CASE WHEN p_size % 3 = 0 THEN ' NA ' ELSE p_type END AS s FROM part""",
+    "select_refit": f"""WITH x AS (SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice AS y,
+            {_h('p_partkey', 10000, 43)} < 1500 AS val FROM part),
+        c(model, alpha) AS (VALUES ('baseline', 0.0::DOUBLE), ('ridge_100', 100.0), ('ridge_100000', 100000.0)),
+        s AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS sxx,
+                     covar_pop(x, y) * count(*) AS sxy FROM x WHERE NOT val),
+        f AS (SELECT model, alpha, sxy / (sxx + alpha) AS b, my - sxy / (sxx + alpha) * mx AS a FROM c, s),
+        v AS (SELECT model, alpha, sqrt(avg((y - a - b * x) ^ 2)) AS rmse FROM f, x WHERE val GROUP BY model, alpha),
+        r AS (SELECT *, row_number() OVER (ORDER BY rmse, alpha) = 1 AS chosen FROM v),
+        t AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS sxx, covar_pop(x, y) * count(*) AS sxy FROM x)
+        SELECT model, {_r('rmse', 4)} AS val_rmse, chosen,
+               CASE WHEN chosen THEN {_r('sxy / (sxx + alpha)')} END AS refit_coef,
+               CASE WHEN chosen THEN {_r('my - sxy / (sxx + alpha) * mx', 4)} END AS refit_intercept FROM r, t""",
     "loo_summary": f"""WITH s AS (SELECT count(*) AS n, avg(p_size) AS mx, avg(p_retailprice) AS my,
             var_pop(p_size) * count(*) AS sxx, covar_pop(p_size, p_retailprice) * count(*) AS sxy FROM part),
         m AS (SELECT n, mx, sxx, sxy / (sxx + 10.0) AS b, my - sxy / (sxx + 10.0) * mx AS a FROM s),

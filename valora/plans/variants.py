@@ -36,7 +36,7 @@ VARIANTS = {
     "NB_K4": {"rule": "a", "features": {"log_list": "L1"}, "model": "ridge_search", "n_iter": 20, "k": 4},
     "NB_K6": {"rule": "a", "features": {"log_list": "L1"}, "model": "ridge_search", "n_iter": 20, "k": 6},
     # neighbours on principal components
-    "KNN": {"rule": "b", "features": {"log_list": "L2"}, "model": "knn", "pca": 0.95},
+    "KNN": {"rule": "b", "features": {"log_list": "L2"}, "model": "knn", "pca": [0.95, 0.99]},
     # trees on ordinal codes, unscaled
     "RFG": {"rule": "b", "features": {"log_list": "L1", "tree_extra_maps": True}, "encoder": "ordinal",
             "model": "forest_grid"},
@@ -118,11 +118,11 @@ def run_variant(train: DataFrame, score: DataFrame, cfg: dict | str, key: str =
         report.update(best=best, train_rmse=tr)
     elif model == "loo":
         best, _, _ = search.search(cv, maps.RIDGE_SPACE, n_iter=30, rounds=2, seed=seed)
-        a = float(best["alpha"])
-        tuned = linear.fit_ridge(g, a, True, mask)
+        a, icept = float(best["alpha"]), bool(best["fit_intercept"])
+        tuned = linear.fit_ridge(g, a, icept, mask)
         loo = {}
-        for name, m, alpha in (("baseline", base, 0.0), ("tuned", tuned, a)):
-            r = linear.loo_residuals(ytr, g, m, "__y", key, alpha=alpha, scale_mask=mask)
+        for name, m, alpha, i in (("baseline", base, 0.0, True), ("tuned", tuned, a, icept)):
+            r = linear.loo_residuals(ytr, g, m, "__y", key, alpha=alpha, scale_mask=mask, intercept=i)
             loo[name] = linear.loo_summary(r).first()["loo_mae"]
         final = tuned if _choose(loo) == "tuned" else base
         report.update(best=best, loo_mae=loo)
@@ -153,13 +153,27 @@ def _run_ml(train, score, cfg, key, target, seed):
     report = {"variant": cfg, "n_features": len(feats)}
     inv = features.target_inverse
     if model == "knn":
-        pca = preprocess.Pca("features", float(cfg.get("pca", 0.95)), output_col="__pc").fit(ytr)
-        base = pca.transform(ytr)
-        q = pca.transform(sc)
-        # k, weights and metric chosen on a 15% hold-out of the training rows
-        vb = folds.split(base, key, 0.15, seed, out="__val")
-        grid = knn.knn_grid(vb.where("__val = 1"), vb.where("__val = 0"), key, "__pc", "__y", "__y")
-        best = grid.orderBy("rmse", "metric", "k", "weights").first()
+        # components x k x weights x metric by the mean RMSE over shuffled folds of
+        # the training rows; the folds' seed is their own, not that of a hold-out
+        ytr = ytr.withColumn("__f", hash_bucket(key, int(cfg.get("k", 5)), seed + 1))
+        rows, fitted = [], {}
+        for n in cfg.get("pca", [0.95]):
+            pca = fitted[n] = preprocess.Pca("features", n, output_col="__pc").fit(ytr)
+            full = pca.transform(ytr)
+            for f in range(int(cfg.get("k", 5))):
+                got = knn.knn_grid(full.where(F.col("__f") == f), full.where(F.col("__f") != f), key, "__pc", "__y", "__y",
+                                   ks=maps.KNN_NEIGHBORS)
+                rows += [(n, r["metric"], r["k"], r["weights"], r["rmse"]) for r in got.collect()]
+        if any(r[-1] is None for r in rows):
+            raise ValueError("a fold without rows: no score to choose by")
+        mean: dict = {}
+        for n, m, kk, w, rmse in rows:
+            mean.setdefault((n, m, kk, w), []).append(rmse)
+        chosen = min(mean, key=lambda c: (sum(mean[c]) / len(mean[c]), str(c)))
+        best = dict(zip(("n", "metric", "k", "weights"), chosen))
+        pca = fitted[best["n"]]
+        base, q = pca.transform(ytr), pca.transform(sc)
+        report.update(cv_rmse={str(c): sum(v) / len(v) for c, v in mean.items()})
         pred = knn.knn_regress(q, base, key, "__pc", "__y", best["k"], best["weights"], best["metric"])
         report.update(k=best["k"], weights=best["weights"], metric=best["metric"], n_components=pca.k)
         out = pred.select(key, F.greatest(inv("prediction", kind), F.lit(0.0)).alias(target))

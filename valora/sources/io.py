@@ -6,10 +6,10 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import types as T
 
 # The text tokens pandas' CSV reader turns into a missing value
-# (its default na_values list), matched after trimming.
+# (its default na_values list), matched as they stand.
 NULL_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
@@ -35,22 +35,45 @@ def read_table(spark: SparkSession, paths: str | Sequence[str], schema=None,
         kind = fmt or ("csv" if p.endswith(".csv") else "parquet" if p.endswith(".parquet")
                        else "json" if p.endswith(".json") else "orc" if p.endswith(".orc") else "parquet")
         if kind == "csv":
-            reader = spark.read.option("header", True).option("nullValue", "NA")
-            reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-            return normalize_nulls(reader.csv(p), null_tokens)
+            text = normalize_nulls(spark.read.option("header", True).csv(p), null_tokens)
+            return _typed(text, schema)
         reader = spark.read.schema(schema) if schema is not None else spark.read
         return reader.format(kind).load(p)
     raise FileNotFoundError(f"none of {paths} exists")
 
 
+def _typed(text: DataFrame, schema=None) -> DataFrame:
+    """Cast a table of strings, its null tokens gone already.  With ``schema``
+    (names and types) columns are cast to it by place; else a column is a bigint
+    or a double where all its cells are such numbers (one aggregate decides for
+    all columns), or a string."""
+    if schema is not None:
+        want = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        return text.select(*[F.col(f"`{c}`").try_cast(f.dataType).alias(f.name)
+                             for c, f in zip(text.columns, want.fields, strict=True)])
+    cells = [F.col(f"`{c}`") for c in text.columns]
+    counts = text.agg(*[F.count(e).alias(f"n{i}") for i, e in enumerate(cells)],
+                      *[F.count(e.try_cast(k)).alias(f"{k}{i}") for i, e in enumerate(cells)
+                        for k in ("bigint", "double")]).first()
+    out = []
+    for i, (c, e) in enumerate(zip(text.columns, cells)):
+        numbers = [k for k in ("bigint", "double") if counts[f"n{i}"] and counts[f"{k}{i}"] == counts[f"n{i}"]]
+        kind = numbers[0] if numbers else "string"
+        out.append(e.cast(kind).alias(c))
+    return text.select(*out)
+
+
 def normalize_nulls(df: DataFrame, tokens: Iterable[str] = NULL_TOKENS) -> DataFrame:
-    """String cells whose trimmed text is a null token become null."""
+    """String cells that are a null token become null, and so do NaN cells of
+    number columns (S2)."""
     tokens = list(tokens)
     out = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, StringType):
-            out.append(F.when(F.trim(F.col(f.name)).isin(tokens), F.lit(None).cast("string"))
+        if isinstance(f.dataType, T.StringType):
+            out.append(F.when(F.col(f.name).isin(tokens), F.lit(None).cast("string"))
                        .otherwise(F.col(f.name)).alias(f.name))
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            out.append(F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType)).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)
