@@ -52,9 +52,7 @@ def knn_neighbours(query: DataFrame, base: DataFrame, key: str, vec: str, label:
     files from storage (never through the driver) and keeps a running top-k
     per query.  One pass over the queries, memory = one chunk + the task's
     queries, no pair table."""
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
+    from ..session import owned_path
     base_key = base_key or key
     spark = query.sparkSession
     q = ensure_parallelism(_vectors(query.select(key, vec), vec))
@@ -63,7 +61,7 @@ def knn_neighbours(query: DataFrame, base: DataFrame, key: str, vec: str, label:
     if not stats["n"]:
         raise ValueError("empty base table")
     n_chunks = max(1, int(np.ceil(stats["n"] * 8 * (int(stats["d"]) + 2) / chunk_bytes)))
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/knn-base-{uuid.uuid4().hex}"
+    path = owned_path(spark, "knn-base")
     (b.repartition(n_chunks, hash_bucket("__bk", n_chunks, 7)).write.mode("error")
      .option("maxRecordsPerFile", max(1, chunk_bytes // (8 * (int(stats["d"]) + 2)))).parquet(path))
     files = _list_parquet(spark, path)  # file names only

@@ -351,10 +351,8 @@ def q_impute_nan(spark, d):
 
 def q_csv_types(spark, d):
     """Text cells with null tokens, written as CSV and read back with types."""
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
-    path = f"{ensure_checkpoint_dir(spark)}/csv-types-{uuid.uuid4().hex}.csv"
+    from ..session import owned_path
+    path = f"{owned_path(spark, 'csv-types')}/cells.csv"
     size, token = F.col("p_size"), F.element_at(F.array(F.lit("None"), F.lit("null"), F.lit("NaN"), F.lit("NA")),
                                                 F.pmod(F.col("p_size"), F.lit(4)) + 1)
     p = _t(spark, d, "part").select(
@@ -764,9 +762,8 @@ def q_read_fallback(spark, d):
 def q_write_predictions(spark, d):
     """S3: predictions written as CSV with a header to the shared folder and
     read back with an explicit schema (no inference pass)."""
-    import uuid
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/predictions-{uuid.uuid4().hex}"
+    from ..session import owned_path
+    path = owned_path(spark, "predictions")
     io.write_predictions(q_score_table(spark, d), path, key="p_partkey", target="prediction")
     return io.read_table(spark, [path], schema="p_partkey long, prediction double", fmt="csv")
 

@@ -8,7 +8,9 @@ only when the setting is unset *and* the master is local (tests, bench).
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -63,22 +65,46 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
+_OWNED: dict[str, list[str]] = {}  # application id -> folders that this process wrote
+
+
+def owned_path(spark: SparkSession, prefix: str) -> str:
+    """A fresh folder below the shared checkpoint folder.  It belongs to this
+    application: :func:`release` removes it, at the latest when the driver
+    process ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+    own = _OWNED.setdefault(spark.sparkContext.applicationId, [])
+    if not own:
+        atexit.register(release, spark)
+    own.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the folders of :func:`owned_path`; frames that read them end."""
+    sc = spark.sparkContext
+    if sc._jsc is None:  # stopped: the folders went or stay with their cluster
+        return
+    for path in _OWNED.pop(sc.applicationId, []):
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stage_table(df, prefix: str = "stage"):
     """Write ``df`` once as parquet under the shared checkpoint folder and read
     it back: later passes (quantiles, statistics, fits) scan only the columns
     they need instead of recomputing the upstream joins, and the data survive
     executor loss."""
-    import uuid
-    root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{root}/{prefix}-{uuid.uuid4().hex}"
+    path = owned_path(df.sparkSession, prefix)
     df.write.mode("error").parquet(path)
     out = df.sparkSession.read.parquet(path)
     want = df.sparkSession.sparkContext.defaultParallelism
     if out.rdd.getNumPartitions() < want:
         # too few files/row groups to keep every core busy: write once more,
         # spread (small data only; large inputs already have many splits)
-        out.repartition(want).write.mode("error").parquet(path + "-spread")
-        out = df.sparkSession.read.parquet(path + "-spread")
+        wide = owned_path(df.sparkSession, prefix)
+        out.repartition(want).write.mode("error").parquet(wide)
+        out = df.sparkSession.read.parquet(wide)
     return out
 
 

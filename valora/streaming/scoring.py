@@ -4,11 +4,10 @@ checkpoint folder (never a driver-memory sink)."""
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame
 
-from ..session import ensure_checkpoint_dir
+from ..session import owned_path
 
 
 def score_stream(stream: DataFrame, scorer, out_dir: str | None = None,
@@ -17,12 +16,10 @@ def score_stream(stream: DataFrame, scorer, out_dir: str | None = None,
     a streaming source, run until the available input is processed, and
     return the written table as a batch DataFrame."""
     spark = stream.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    run = uuid.uuid4().hex
-    out_dir = out_dir or f"{root}/stream-out-{run}"
+    out_dir = out_dir or owned_path(spark, "stream-out")
     q = (scorer(stream).writeStream.format("parquet")
          .option("path", out_dir)
-         .option("checkpointLocation", f"{root}/stream-ckpt-{run}")
+         .option("checkpointLocation", owned_path(spark, "stream-ckpt"))
          .outputMode("append")
          .trigger(availableNow=True)
          .start())
