@@ -3,7 +3,6 @@ data-parallel training rounds."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valora.session import ensure_checkpoint_dir
+from valora.session import ensure_checkpoint_dir, owned_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +24,9 @@ def raw(col: str):
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared checkpoint folder, removed with the
+    application."""
+    return owned_path(spark, name)
 
 
 def cut(df: DataFrame) -> DataFrame:
