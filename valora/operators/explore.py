@@ -14,6 +14,10 @@ from ..functions.quantiles import exact_quantiles
 _REL_CONST = 1e-13  # sd / |mean| below this: numerically constant column
 
 
+def _number(c: str):
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str], upper_only: bool = False,
                 wide_from: int = 24) -> DataFrame:
     """A1: Pearson correlation of every column pair, long form ``(a, b, r)``.
@@ -25,6 +29,8 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], upper_only: bool = False,
     since thousands of aggregate expressions would not compile well.  Either
     way a single scan serves the whole matrix."""
     cols = list(cols)
+    # a NaN is a missing value, like null
+    df = df.select(*[_number(c).alias(c) for c in dict.fromkeys(cols)])
     if len(cols) > wide_from:
         return _corr_wide(df, cols, upper_only)
     # cheap first pass: which columns hold nulls.  Pairs of null-free columns
@@ -120,8 +126,20 @@ def _corr_wide(df: DataFrame, cols: list, upper_only: bool) -> DataFrame:
 def corr_rank(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
     """A2: correlation of each column with ``target``, ranked by |r| desc (ties
     by name), nulls dropped.  ``rank`` 0 is the target itself."""
-    cols = [c for c in cols if c != target]
-    m = corr_matrix(df, [target] + cols).where((F.col("a") == target) & F.col("r").isNotNull())
+    cols = [target] + [c for c in cols if c != target]
+    aggs, entries = [], []
+    y = _number(target)
+    for i, c in enumerate(cols):  # the target's row of the matrix only, in one aggregate
+        x = _number(c)
+        xm, ym = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        aggs += [F.covar_pop(xm, ym).alias(f"c{i}")]
+        for n, v in (("x", xm), ("y", ym)):
+            aggs += [F.stddev_pop(v).alias(f"s{n}{i}"), F.avg(v).alias(f"m{n}{i}")]
+        flat = (F.col(f"sx{i}") <= _REL_CONST * F.abs(f"mx{i}")) | (F.col(f"sy{i}") <= _REL_CONST * F.abs(f"my{i}"))
+        r = F.when(~flat, F.try_divide(F.col(f"c{i}"), F.nullif(F.col(f"sx{i}") * F.col(f"sy{i}"), F.lit(0.0))))
+        r = F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
+        entries.append(F.struct(F.lit(c).alias("b"), r.alias("r")))
+    m = df.agg(*aggs).select(F.explode(F.array(*entries)).alias("e")).select("e.b", "e.r").where("r is not null")
     w = Window.orderBy(F.abs("r").desc(), F.when(F.col("feature") == target, 0).otherwise(1), F.col("feature"))
     return m.select(F.col("b").alias("feature"), "r").withColumn("rank", F.row_number().over(w) - 1)
 
@@ -182,18 +200,22 @@ def group_median(df: DataFrame, by: str, y: str) -> DataFrame:
     return q.select(by, F.col("quantile").alias("median")).orderBy("median", by)
 
 
+def _quartiles(df: DataFrame, by: Sequence[str], y: str) -> DataFrame:
+    q = exact_quantiles(df, y, [0.25, 0.5, 0.75], by=by)
+    wide = q.groupBy(*by).agg(
+        F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("q1"),
+        F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))).alias("median"),
+        F.max(F.when(F.col("prob") == 0.75, F.col("quantile"))).alias("q3"))
+    return wide.withColumn("iqr", F.col("q3") - F.col("q1"))
+
+
 def box_stats(df: DataFrame, by, y: str, whisker: float = 1.5) -> DataFrame:
     """Per group quartiles, IQR, whiskers (furthest point within
     ``whisker`` IQR of the box) and the flier count.  ``by`` is a column name
     or a list of them (e.g. ``["column", "level"]`` over an unpivoted table, so
     one run serves every categorical column)."""
     by = [by] if isinstance(by, str) else list(by)
-    q = exact_quantiles(df, y, [0.25, 0.5, 0.75], by=by)
-    wide = q.groupBy(*by).agg(
-        F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("q1"),
-        F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))).alias("median"),
-        F.max(F.when(F.col("prob") == 0.75, F.col("quantile"))).alias("q3"))
-    wide = wide.withColumn("iqr", F.col("q3") - F.col("q1"))
+    wide = _quartiles(df, by, y)
     lo = F.col("q1") - F.lit(whisker) * F.col("iqr")
     hi = F.col("q3") + F.lit(whisker) * F.col("iqr")
     v = F.col(y).cast("double")
@@ -221,7 +243,7 @@ def box_stats_by_columns(df: DataFrame, cols, y: str, whisker: float = 1.5) -> D
 
 def fliers(df: DataFrame, by: str, y: str, key: str, whisker: float = 1.5) -> DataFrame:
     """The flier rows themselves (rows outside the whiskers)."""
-    s = box_stats(df, by, y, whisker).select(by, "q1", "q3", "iqr")
+    s = _quartiles(df, [by], y).select(by, "q1", "q3", "iqr")
     v = F.col(y).cast("double")
     return (df.select(key, by, y).join(s, by)
             .where(~v.between(F.col("q1") - whisker * F.col("iqr"), F.col("q3") + whisker * F.col("iqr")))

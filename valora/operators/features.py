@@ -143,7 +143,8 @@ def engineer(df: DataFrame, config: Mapping | None = None) -> DataFrame:
     computed here, so nothing leaks between them."""
     cfg = dict(DEFAULT_CONFIG, **(config or {}))
     sfx = cfg["suffix"]
-    if cfg["basement_merge"] and _has(df, "BasementFacilitySF1", "BasementFacilitySF2"):
+    if cfg["basement_merge"] and _has(df, "BasementFacilitySF1", "BasementFacilitySF2",
+                                       "BasementFacilityType1", "BasementFacilityType2"):
         df = zero_fill(df, ["BasementFacilitySF1", "BasementFacilitySF2"])
         t1 = ordinal_expr("BasementFacilityType1", maps.BASEMENT_TYPE_MAP)
         t2 = ordinal_expr("BasementFacilityType2", maps.BASEMENT_TYPE_MAP)
@@ -156,7 +157,7 @@ def engineer(df: DataFrame, config: Mapping | None = None) -> DataFrame:
         if not sfx:
             df = df.drop("BasementFacilityType1", "BasementFacilityType2",
                          "BasementFacilitySF1", "BasementFacilitySF2")
-    if cfg["pool"] and _has(df, "SwimmingPoolArea"):
+    if cfg["pool"] and _has(df, "SwimmingPoolArea", "PoolQuality"):
         area = F.coalesce(F.col("SwimmingPoolArea"), F.lit(0))
         df = df.withColumn("TotalPoolScore", ordinal_expr("PoolQuality", maps.POOL_QUALITY_MAP) * area)
         if not sfx:

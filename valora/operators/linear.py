@@ -318,11 +318,12 @@ def fit_elastic_net(g: Gram, alpha: float, l1_ratio: float = 1.0, scale_mask=Non
     return m
 
 
-def _solve_paths(payload: dict, max_iter: int, tol: float, spark=None) -> dict:
+def _solve_paths(folds: dict, payload: dict, max_iter: int, tol: float, spark=None) -> dict:
     """Warm-started coordinate-descent paths, one per key of ``payload``
-    ({key: (G, c, alphas, l1_ratio)}).  The paths are independent, so with a
-    session they run as parallel Spark tasks (the p x p inputs travel in a
-    broadcast; only coefficient vectors come back); without one, locally."""
+    ({key: (fold, alphas, l1_ratio)}) over the folds' (G, c).  The paths are
+    independent, so with a session they run as parallel Spark tasks (each fold's
+    p x p input travels once, in one broadcast; only coefficient vectors come
+    back); without one, locally."""
 
     def one(G, c, alphas, r):
         w, out = None, []
@@ -333,14 +334,15 @@ def _solve_paths(payload: dict, max_iter: int, tol: float, spark=None) -> dict:
 
     keys = sorted(payload)
     if spark is None or len(keys) == 1:
-        return {k: one(*payload[k]) for k in keys}
-    bc = spark.sparkContext.broadcast(payload)
+        return {k: one(*folds[payload[k][0]], *payload[k][1:]) for k in keys}
+    bc = spark.sparkContext.broadcast((folds, payload))
 
     def run(batches):
         for pdf in batches:
             for k in pdf["k"]:
-                G, c, alphas, r = bc.value[int(k)]
-                ws = one(G, c, alphas, r)
+                all_folds, points = bc.value
+                f, alphas, r = points[int(k)]
+                ws = one(*all_folds[f], alphas, r)
                 yield pd.DataFrame({"k": np.full(len(ws), k, dtype=np.int32),
                                     "i": np.arange(len(ws), dtype=np.int32), "w": [list(x) for x in ws]})
 
@@ -364,11 +366,12 @@ def elastic_net_path(g: Gram, l1_ratios=(1.0,), n_alphas=100, eps=1e-3, scale_ma
     from pyspark.sql import SparkSession
     spark = spark or SparkSession.getActiveSession()
     combos = [(r, f) for r in l1_ratios for f in g.fold_ids()]
-    designs = [_design(g.train(f), g, True, scale_mask) for _, f in combos]
+    by_fold = {f: _design(g.train(f), g, True, scale_mask) for f in g.fold_ids()}
+    designs = [by_fold[f] for _, f in combos]
     grids = {r: alpha_grid(g, r, n_alphas, eps, scale_mask) for r in l1_ratios}
-    payload = {b: (designs[b][0] / g.train(f).n, designs[b][1] / g.train(f).n, grids[r], float(r))
-               for b, (r, f) in enumerate(combos)}
-    paths = _solve_paths(payload, max_iter, tol, spark)
+    inputs = {f: (x[0] / g.train(f).n, x[1] / g.train(f).n) for f, x in by_fold.items()}
+    payload = {b: (f, grids[r], float(r)) for b, (r, f) in enumerate(combos)}
+    paths = _solve_paths(inputs, payload, max_iter, tol, spark)
     rows = []
     for b, (r, f) in enumerate(combos):
         _, _, d, centre = designs[b]
