@@ -349,7 +349,7 @@ def _solve_paths(folds: dict, payload: dict, max_iter: int, tol: float, spark=No
     # exactly one path per task
     jobs = spark.range(0, len(keys), 1, numPartitions=len(keys)).select(
         F.element_at(F.array(*[F.lit(int(k)) for k in keys]), (F.col("id") + 1).cast("int")).alias("k"))
-    got: dict = {k: [None] * len(payload[k][2]) for k in keys}
+    got: dict = {k: [None] * len(payload[k][1]) for k in keys}
     for row in jobs.mapInPandas(run, "k int, i int, w array<double>").collect():  # paths x alphas x p
         got[row["k"]][row["i"]] = np.array(row["w"])
     bc.unpersist()
