@@ -180,9 +180,7 @@ def _match_shard(test: TestItems, parts: list[tuple[int, int, np.ndarray]], foun
     for b, e, p in zip(begins.tolist(), ends.tolist(), (np.searchsorted(edges, begins, "right") - 1).tolist(), strict=True):
         doc, first, _ = parts[p]
         found[doc]["runs"].append((b - edges[p] + first, e - edges[p] + first))
-    reach = np.zeros(len(hit), np.int64)
-    np.maximum.at(reach, np.arange(len(hit)), longest[start])
-    # the longest match of a document: extend each located window, once for each place
+    # the longest match of a document: each located window, extended
     for p in np.unique(part).tolist():
         own = part == p
         common = array.lcp(test.ids, start[which[own]], test.rest[start[which[own]]], at[own])

@@ -108,11 +108,13 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sizes
         total = np.zeros((len(languages), buckets))
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = total[place[lang]]
                 for piece in _pieces(text.as_py() or b""):
-                    total[place[lang]] += np.bincount(grams(piece, sizes, buckets), minlength=buckets) if len(
-                        piece) > buckets // 8 else 0
-                    if len(piece) <= buckets // 8:
-                        np.add.at(total[place[lang]], grams(piece, sizes, buckets), 1)
+                    ids = grams(piece, sizes, buckets)
+                    if len(ids) * 2 > buckets:
+                        own += np.bincount(ids, minlength=buckets)
+                    else:
+                        np.add.at(own, ids, 1)
         return {"n": total}
 
     got = sum_arrays(spread(known.select(F.col(f"`{lang_col}`").alias("l"), raw(text_col).alias("t"))), count)

@@ -118,8 +118,8 @@ def scan_words(ids: np.ndarray, t: Templates, threshold: float, first: int, foun
         sums = np.concatenate([[0], np.cumsum(t.member[name][ids])])
         starts = np.arange(0, max(1, len(ids) - n + 1), n)
         ends = np.minimum(starts + 2 * n, len(ids))
-        for b, e in zip(starts[sums[ends] - sums[starts] >= threshold * n].tolist(),
-                        ends[sums[ends] - sums[starts] >= threshold * n].tolist(), strict=True):
+        enough = sums[ends] - sums[starts] >= threshold * n
+        for b, e in zip(starts[enough].tolist(), ends[enough].tolist(), strict=True):
             matched = best_window(align(ids[b:e].tolist(), words), n + n // 4 + 1)
             if len(matched) >= threshold * n:
                 key = (name, first + b + matched[0][0])
