@@ -66,6 +66,11 @@ FOREST_GRID = {"numTrees": [100, 200], "maxDepth": [None, 20], "minInstancesPerN
 FOREST_SAMPLED_SPACE = {"numTrees": ("int", 100, 500), "maxDepth": ("int", 10, 50),
                         "minInstancesPerNode": ("int", 1, 10),
                         "featureSubsetStrategy": ("uniform", 0.1, 1.0)}
+FOREST_BASELINE = {"numTrees": 100, "maxDepth": None, "minInstancesPerNode": 1}
+BOOSTED_SPACE = {"n_estimators": ("int", 100, 1000), "learning_rate": ("log-uniform", 0.01, 0.3),
+                 "max_depth": ("int", 3, 10), "subsample": ("uniform", 0.7, 1.0), "colsample": ("uniform", 0.7, 1.0)}
+BOOSTED_BASELINE = {"n_estimators": 100, "learning_rate": 0.3, "max_depth": 6, "subsample": 1.0, "colsample": None}
+ADABOOST_BASELINE = {"n_estimators": 50, "learning_rate": 1.0, "loss": "linear", "max_depth": 3}
 ADABOOST_SPACE = {"n_estimators": ("int", 50, 500), "learning_rate": ("log-uniform", 1e-3, 1.0),
                   "loss": ("choice", ["linear", "square", "exponential"]),
                   "max_depth": ("int", 2, 8)}

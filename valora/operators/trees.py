@@ -17,7 +17,7 @@ from ..session import cut_lineage, ensure_parallelism
 MAX_SPARK_DEPTH = 30
 
 
-def _depth(d) -> int:
+def spark_depth(d) -> int:
     """``None`` (unlimited) and depths above MLlib's limit map to 30."""
     return MAX_SPARK_DEPTH if d is None else int(min(int(d), MAX_SPARK_DEPTH))
 
@@ -40,7 +40,7 @@ def forest(features_col: str = "features", label: str = "label", n_trees: int =
     if min_split:
         leaf = max(leaf, math.ceil(int(min_split) / 2))
     return RandomForestRegressor(featuresCol=features_col, labelCol=label, numTrees=int(n_trees),
-                                 maxDepth=_depth(max_depth), minInstancesPerNode=leaf,
+                                 maxDepth=spark_depth(max_depth), minInstancesPerNode=leaf,
                                  featureSubsetStrategy=_subset(max_features), seed=seed,
                                  maxBins=max_bins, subsamplingRate=1.0, bootstrap=True)
 
@@ -52,7 +52,7 @@ def boosted(features_col: str = "features", label: str = "label", n_trees: int =
     """M8/M9 (squared error).  L1/L2 leaf penalties and leaf-count limits have
     no MLlib parameter and are not offered."""
     kw = dict(featuresCol=features_col, labelCol=label, maxIter=int(n_trees), stepSize=float(learning_rate),
-              maxDepth=_depth(max_depth), subsamplingRate=float(subsample),
+              maxDepth=spark_depth(max_depth), subsamplingRate=float(subsample),
               minInstancesPerNode=int(min_child), minInfoGain=float(gamma),
               featureSubsetStrategy=_subset(colsample), seed=seed, maxBins=max_bins, lossType="squared")
     if validation_col:
@@ -133,7 +133,7 @@ def adaboost_r2(df: DataFrame, features_col: str, label: str, n_estimators: int
     trees, weights = [], []
     for it in range(n_estimators):
         dt = DecisionTreeRegressor(featuresCol=features_col, labelCol=label, weightCol="__w",
-                                   maxDepth=_depth(max_depth), seed=seed + it, maxBins=max_bins,
+                                   maxDepth=spark_depth(max_depth), seed=seed + it, maxBins=max_bins,
                                    predictionCol="__p")
         m = dt.fit(cur)
         scored = m.transform(cur).withColumn("__e", F.abs(F.col("__p") - F.col(label)))

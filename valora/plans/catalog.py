@@ -627,21 +627,21 @@ def _tree_out(model, t):
 def q_random_forest(spark, d):
     from ..operators import trees
     t = _ml_frame(spark, d)
-    m = trees.forest(label="y", n_trees=20, max_depth=8, min_leaf=3).fit(_fit_input(t))
+    m = trees.forest(label="y").fit(_fit_input(t))
     return _tree_out(m, t)
 
 
 def q_gbt(spark, d):
     from ..operators import trees
     t = _ml_frame(spark, d)
-    m = trees.boosted(label="y", n_trees=20, learning_rate=0.1, max_depth=4).fit(_fit_input(t))
+    m = trees.boosted(label="y", n_trees=100, learning_rate=0.3, max_depth=6).fit(_fit_input(t))
     return _tree_out(m, t)
 
 
 def q_adaboost_r2(spark, d):
     from ..operators import trees
     t = _ml_frame(spark, d)
-    m = trees.adaboost_r2(t.where("is_test = 0"), "features", "y", n_estimators=8, max_depth=3)
+    m = trees.adaboost_r2(t.where("is_test = 0"), "features", "y", n_estimators=50, max_depth=3)
     return _tree_out(m, t)
 
 
@@ -650,15 +650,18 @@ def q_forest_grid(spark, d):
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
     from ..operators import trees
+    from ..operators.maps import FOREST_GRID
     t = folds.assign_folds(_fit_input(_ml_frame(spark, d)), "Id", 3)
-    rf = trees.forest(label="y", n_trees=10, max_depth=6)
-    grid = ParamGridBuilder().addGrid(rf.numTrees, [10, 20]).addGrid(rf.minInstancesPerNode, [1, 3]).build()
+    rf = trees.forest(label="y")
+    grid = (ParamGridBuilder().addGrid(rf.numTrees, FOREST_GRID["numTrees"])
+            .addGrid(rf.maxDepth, [trees.spark_depth(x) for x in FOREST_GRID["maxDepth"]])
+            .addGrid(rf.minInstancesPerNode, FOREST_GRID["minInstancesPerNode"]).build())
     cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, foldCol="fold", parallelism=4,
                         evaluator=RegressionEvaluator(labelCol="y", metricName="rmse"))
     m = cv.fit(t)
-    rows = [(int(pm[rf.numTrees]), int(pm[rf.minInstancesPerNode]), float(s))
+    rows = [(int(pm[rf.numTrees]), int(pm[rf.maxDepth]), int(pm[rf.minInstancesPerNode]), float(s))
             for pm, s in zip(grid, m.avgMetrics)]
-    return spark.createDataFrame(rows, "num_trees int, min_leaf int, cv_rmse double")
+    return spark.createDataFrame(rows, "num_trees int, max_depth int, min_leaf int, cv_rmse double")
 
 
 def q_ridge_search(spark, d):
@@ -692,10 +695,11 @@ def q_lasso_cv(spark, d):
 
 
 def q_elastic_net_cv(spark, d):
+    from ..operators.maps import LASSO_EPS, LASSO_N_ALPHAS
     p = folds.block_folds(_t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), "p_partkey", 5)
     g = linear.gram(p, ["p_size"], "p_retailprice", fold_col="fold")
-    path, best = linear.elastic_net_path(g, [0.1, 0.5, 0.7, 0.9, 0.95, 0.99, 1.0], n_alphas=20,
-                                         scale_mask=[True])
+    path, best = linear.elastic_net_path(g, [0.1, 0.5, 0.7, 0.9, 0.95, 0.99, 1.0], n_alphas=LASSO_N_ALPHAS,
+                                         eps=LASSO_EPS, scale_mask=[True])
     df = spark.createDataFrame(path.astype({"alpha_idx": "int32", "fold": "int32"}))
     return df.select("l1_ratio", "alpha_idx", _r(F.col("alpha")).alias("alpha"), "fold",
                      _r(F.col("mse")).alias("mse"))

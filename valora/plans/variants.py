@@ -8,12 +8,14 @@ model family with its search, and how the winner is chosen."""
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_bucket
-from ..operators import clean, features, folds, linear, maps, metrics, preprocess, search
+from ..operators import clean, features, folds, linear, maps, metrics, preprocess, search, selection, trees
 from ..session import ensure_parallelism
 
 _L1_EXTRA = {"log_list": "L1", "interaction": True, "bath_count": True}
@@ -36,16 +38,16 @@ VARIANTS = {
     "NB_K4": {"rule": "a", "features": {"log_list": "L1"}, "model": "ridge_search", "n_iter": 20, "k": 4},
     "NB_K6": {"rule": "a", "features": {"log_list": "L1"}, "model": "ridge_search", "n_iter": 20, "k": 6},
     # neighbours on principal components
-    "KNN": {"rule": "b", "features": {"log_list": "L2"}, "model": "knn", "pca": [0.95, 0.99]},
+    "KNN": {"rule": "b", "features": {"log_list": "L2"}, "model": "knn", "pca": maps.KNN_PCA_COMPONENTS},
     # trees on ordinal codes, unscaled
     "RFG": {"rule": "b", "features": {"log_list": "L1", "tree_extra_maps": True}, "encoder": "ordinal",
             "model": "forest_grid"},
     "RFB": {"rule": "b", "features": {"log_list": "L1", "tree_extra_maps": True}, "encoder": "ordinal",
-            "model": "forest_search"},
+            "model": "forest_search", "n_iter": 20},
     "XGA": {"rule": "b", "features": {"log_list": "L1", "tree_extra_maps": True}, "encoder": "ordinal",
-            "model": "gbt"},
+            "model": "gbt_search", "n_iter": 30, "k": 3},
     "ADA": {"rule": "c", "features": {"log_list": "L2"}, "encoder": "ordinal", "scale": True,
-            "model": "adaboost"},
+            "model": "adaboost_search", "n_iter": 30, "k": 5},
 }
 
 
@@ -90,7 +92,7 @@ def run_variant(train: DataFrame, score: DataFrame, cfg: dict | str, key: str =
     """Run one config row; returns (predictions ``key, target``, report)."""
     cfg = VARIANTS[cfg] if isinstance(cfg, str) else cfg
     model = cfg["model"]
-    if model in ("knn", "forest_grid", "forest_search", "gbt", "adaboost"):
+    if model in ("knn", "forest_grid", "forest_search", "gbt_search", "adaboost_search"):
         return _run_ml(train, score, cfg, key, target, seed)
     ytr, sc, feats, mask, kind = _prepare(train, score, cfg, key, target)
     g = linear.gram(ytr, feats, "__y", fold_col="__fold")
@@ -142,10 +144,7 @@ def run_variant(train: DataFrame, score: DataFrame, cfg: dict | str, key: str =
 
 
 def _run_ml(train, score, cfg, key, target, seed):
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    from ..operators import knn, trees
+    from ..operators import knn
     ytr, sc, feats, _, kind = _prepare(train, score, cfg, key, target)
     ytr = ensure_parallelism(preprocess.assemble(ytr, feats)).cache()
     sc = preprocess.assemble(sc, feats)
@@ -157,7 +156,9 @@ def _run_ml(train, score, cfg, key, target, seed):
         # the training rows; the folds' seed is their own, not that of a hold-out
         ytr = ytr.withColumn("__f", hash_bucket(key, int(cfg.get("k", 5)), seed + 1))
         rows, fitted = [], {}
-        for n in cfg.get("pca", [0.95]):
+        for n in cfg["pca"]:
+            if n > len(feats):  # more components than features: no such point
+                continue
             pca = fitted[n] = preprocess.Pca("features", n, output_col="__pc").fit(ytr)
             full = pca.transform(ytr)
             for f in range(int(cfg.get("k", 5))):
@@ -178,26 +179,99 @@ def _run_ml(train, score, cfg, key, target, seed):
         report.update(k=best["k"], weights=best["weights"], metric=best["metric"], n_components=pca.k)
         out = pred.select(key, F.greatest(inv("prediction", kind), F.lit(0.0)).alias(target))
         return out, report
-    if model in ("forest_grid", "forest_search"):
-        est = trees.forest(label="__y", n_trees=20, max_depth=8, seed=seed)
-        if model == "forest_grid":
-            pm = (ParamGridBuilder().addGrid(est.numTrees, [20, 40])
-                  .addGrid(est.minInstancesPerNode, [1, 3]).build())
-        else:
-            draws = search.sample({"numTrees": ("int", 10, 50), "maxDepth": ("int", 4, 12),
-                                   "minInstancesPerNode": ("int", 1, 10)}, 4, seed)
-            pm = [{est.numTrees: d["numTrees"], est.maxDepth: d["maxDepth"],
-                   est.minInstancesPerNode: d["minInstancesPerNode"]} for d in draws]
-        cvm = CrossValidator(estimator=est, estimatorParamMaps=pm, numFolds=3, parallelism=4, seed=seed,
-                             evaluator=RegressionEvaluator(labelCol="__y", metricName="rmse"),
-                             foldCol="__fold").fit(ytr.withColumn("__fold", hash_bucket(key, 3, seed)))
-        fitted = cvm.bestModel
-        report.update(cv_rmse=list(cvm.avgMetrics))
-    elif model == "gbt":
-        fitted = trees.boosted(label="__y", n_trees=30, learning_rate=0.1, max_depth=4, seed=seed).fit(ytr)
-    elif model == "adaboost":
-        fitted = trees.adaboost_r2(ytr, "features", "__y", n_estimators=10, max_depth=3, seed=seed)
-    else:
+    if model not in _TREES:
         raise ValueError(model)
-    out = fitted.transform(sc).select(key, F.greatest(inv("prediction", kind), F.lit(0.0)).alias(target))
+    family = _TREES[model]
+    # the forests choose on validation rows and refit on all; the others choose on the training rows
+    held = selection.is_validation(key)
+    by_valid = model in ("forest_grid", "forest_search")
+    part, judge = (ytr.where(~held).cache(), ytr.where(held)) if by_valid else (ytr, ytr)
+    folded = part.withColumn("__fold", hash_bucket(key, int(cfg.get("k", 3)), seed)).cache()
+    evaluate = family["cv"](folded, family["make"], int(cfg.get("k", 3)), seed)
+    if "grid" in family:
+        cands = search.grid(family["grid"])
+        scores = evaluate(cands)
+        best = cands[int(np.argmin(scores))]
+        history = list(zip(cands, scores))
+    else:
+        best, _, rounds = search.search(evaluate, family["space"], int(cfg["n_iter"]), rounds=2, seed=seed)
+        history = [(c, s) for _, c, s in rounds]
+    make = family["make"]
+    fitted = {"baseline": make(family["base"], seed).fit(part), "tuned": make(best, seed).fit(part)}
+    scores = {n: _tree_rmse(m.transform(judge), target, kind) for n, m in fitted.items()}
+    name = selection.choose(scores)
+    final = make({"baseline": family["base"], "tuned": best}[name], seed).fit(ytr) if by_valid else fitted[name]
+    report.update(best=best, cv_rmse=history, chosen=name, **{"valid_rmse" if by_valid else "train_rmse": scores})
+    out = final.transform(sc).select(key, F.greatest(inv("prediction", kind), F.lit(0.0)).alias(target))
     return out, report
+
+
+def _tree_rmse(scored: DataFrame, target: str, kind: str):
+    """Original-scale RMSE of a transformed frame."""
+    p = F.greatest(features.target_inverse("prediction", kind), F.lit(0.0))
+    return metrics.regression_metrics(scored.select(target, p.alias("p")), target, "p").first()["rmse"]
+
+
+def _forest(c: dict, seed: int):
+    return trees.forest(label="__y", n_trees=c["numTrees"], max_depth=c["maxDepth"], min_leaf=c["minInstancesPerNode"],
+                        max_features=c.get("featureSubsetStrategy"), seed=seed)
+
+
+def _boosted(c: dict, seed: int):
+    return trees.boosted(label="__y", n_trees=c["n_estimators"], learning_rate=c["learning_rate"],
+                         max_depth=c["max_depth"], subsample=c["subsample"], colsample=c["colsample"], seed=seed)
+
+
+class _AdaBoost:
+    """AdaBoost.R2 with the fit method of an MLlib estimator."""
+
+    def __init__(self, c: dict, seed: int):
+        self.c, self.seed = c, seed
+
+    def fit(self, df: DataFrame):
+        return trees.adaboost_r2(df, "features", "__y", seed=self.seed, **self.c)
+
+
+def _cross_validated(df: DataFrame, make, k: int, seed: int):
+    """Mean RMSE over ``k`` folds of each candidate by MLlib's CrossValidator."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.tuning import CrossValidator
+
+    def evaluate(cands: list[dict]) -> list[float]:
+        est = make(cands[0], seed)
+        skip = {"foldCol"}
+        maps_ = [{est.getParam(p.name): v for p, v in make(c, seed).extractParamMap().items() if p.name not in skip}
+                 for c in cands]
+        cv = CrossValidator(estimator=est, estimatorParamMaps=maps_, numFolds=k, parallelism=4, seed=seed,
+                            evaluator=RegressionEvaluator(labelCol="__y", metricName="rmse"), foldCol="__fold")
+        return list(cv.fit(df).avgMetrics)
+    return evaluate
+
+
+def _fold_by_fold(df: DataFrame, make, k: int, seed: int):
+    """The same for models that aren't MLlib estimators."""
+    from pyspark import inheritable_thread_target
+
+    def one(job: tuple[dict, int]) -> float:
+        c, f = job
+        scored = make(c, seed).fit(df.where(F.col("__fold") != f)).transform(df.where(F.col("__fold") == f))
+        return metrics.regression_metrics(scored.select("__y", "prediction"), "__y", "prediction").first()["rmse"]
+
+    def evaluate(cands: list[dict]) -> list[float]:
+        jobs = [(c, f) for c in cands for f in range(k)]
+        with ThreadPool(4) as pool:
+            got = pool.map(inheritable_thread_target(df.sparkSession)(one), jobs, chunksize=1)
+        if any(s is None for s in got):
+            raise ValueError("a fold without rows: no score to choose by")
+        return [float(np.mean(got[i:i + k])) for i in range(0, len(got), k)]
+    return evaluate
+
+
+_TREES = {
+    "forest_grid": {"cv": _cross_validated, "make": _forest, "base": maps.FOREST_BASELINE, "grid": maps.FOREST_GRID},
+    "forest_search": {"cv": _cross_validated, "make": _forest, "base": maps.FOREST_BASELINE,
+                      "space": maps.FOREST_SAMPLED_SPACE},
+    "gbt_search": {"cv": _cross_validated, "make": _boosted, "base": maps.BOOSTED_BASELINE, "space": maps.BOOSTED_SPACE},
+    "adaboost_search": {"cv": _fold_by_fold, "make": _AdaBoost, "base": maps.ADABOOST_BASELINE,
+                        "space": maps.ADABOOST_SPACE},
+}
