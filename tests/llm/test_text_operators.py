@@ -289,6 +289,23 @@ def test_lm_scores_against_brute_force(spark):
     assert got[101]["mean_log_prob"] is None
 
 
+def test_rare_words_have_their_own_probability(spark):
+    texts = ["the a " * 20, "the a rose", "the a rose", "the a rose", "the a lilac", "the a Iris iris"]
+    rows = [*enumerate(texts), (10, "the a unseen"), (10, "the a unseen"), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    shape = lm_score.Shape(classes=3, members=1, hashed=1, window=1, hidden=4)  # two frequent words, one number for all others
+    net = lm_score.train(d, shape=shape, rounds=1)
+    assert net.frequent == [b"a", b"the"] and net.rare == [3 + 1 + 2 + 2]
+    got = [(r["doc_id"], r["n_tokens"], r["log_prob"]) for r in lm_score.score_documents(d, net).collect()]
+    assert sorted(i for i, _, _ in got if i is not None) == [0, 1, 2, 3, 4, 5, 10, 10] and (None, 0, 0.0) in got
+    p = {i: x for i, _, x in got}
+    assert abs(p[1] - p[4] - np.log(3)) < 1e-6
+    assert abs(p[10] - p[4] - np.log(2)) < 1e-6
+    other = spark.createDataFrame([(1, "the a rose"), (2, "the a nowhere")], "doc_id long, text string")
+    q = {r["doc_id"]: r["log_prob"] for r in lm_score.score_documents(other, net).collect()}
+    assert abs(q[1] - p[1]) < 1e-6 and abs(q[2] - (p[4])) < 1e-6  # a word that the corpus doesn't hold counts as one
+
+
 def test_digests_in_the_query(spark, tmp_path):
     from valora.llm import queries
     for name, rows, schema in (("documents", [(1, "A b c"), (2, None)], "doc_id long, text string"),

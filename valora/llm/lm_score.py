@@ -6,8 +6,11 @@ tanh, and a two-level softmax (class, then member of the class) gives the
 token's probability.  A document's score is the sum of its tokens' conditional
 log-probabilities, each token masked in turn.
 
-Words are counted over all documents; the most frequent have a number each, the
-rest share hashed numbers.  Training is data-parallel: in each round every task
+Words are counted over all documents, and the counts are a table of the shared
+folder.  The most frequent words have a number of the network each, the rest share
+hashed numbers: a rare word's probability is that of its number in its context
+times its share of the counts of all words with that number, by a join on the
+word, and all words that the corpus doesn't hold share one count.  Training is data-parallel: in each round every task
 trains on masked places of all its documents, starting from the common network,
 and the next network is the average over tasks, weighted by tokens.  Counts and
 gradients gathered thus grow with the corpus; the network doesn't.
@@ -22,10 +25,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from valora.llm.common import padded, raw, spread, sum_arrays, word_chunks
+from valora.llm.common import padded, raw, scratch_path, spread, sum_arrays, word_chunks
 
 
 @dataclass(frozen=True)
@@ -71,6 +75,8 @@ class Network:
     low: np.ndarray  # classes x hidden x members
     low_bias: np.ndarray
     frequent: list[bytes] = field(default_factory=list)
+    words: str | None = None  # path of the counts (word, n)
+    rare: list[int] = field(default_factory=list)  # counts of rare words by hashed number
 
     @classmethod
     def start(cls, shape: Shape, frequent: list[bytes]) -> Network:
@@ -165,8 +171,8 @@ def token_blocks(texts: Iterator[bytes | None], numbers: Numbers, size: int) ->
         yield np.concatenate(rows), np.concatenate(targets), np.concatenate(nears)
 
 
-def frequent_words(docs: DataFrame, text_col: str, count: int) -> list[bytes]:
-    """The ``count`` most frequent words of all documents (ties by the word)."""
+def count_words(docs: DataFrame, text_col: str) -> str:
+    """The path of a table of all words of all documents: ``word``, ``n``."""
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
@@ -185,8 +191,29 @@ def frequent_words(docs: DataFrame, text_col: str, count: int) -> list[bytes]:
             yield out()
 
     counted = spread(docs.select(raw(text_col).alias("t"))).mapInArrow(tally, "word binary, n long")
-    best = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(count).collect()
-    return [bytes(r["word"]) for r in best]
+    path = scratch_path(docs.sparkSession, "lm-words")
+    counted.groupBy("word").agg(F.sum("n").alias("n")).write.parquet(path)
+    return path
+
+
+def hashed_number(shape: Shape):
+    """Which of the hashed numbers the column ``word`` has."""
+    return F.crc32("word") % shape.hashed
+
+
+def vocabulary(spark, path: str, shape: Shape) -> tuple[list[bytes], list[int]]:
+    """The most frequent words (ties by the word), and how often the other words
+    of each hashed number occur."""
+    counts = spark.read.parquet(path)
+    best = counts.orderBy(F.desc("n"), "word").limit(shape.tokens - shape.hashed).collect()
+    frequent = [bytes(r["word"]) for r in best]
+    totals = [0] * shape.hashed
+    # frequent words are few: their counts are taken off the sums
+    for r in counts.groupBy(hashed_number(shape).alias("at")).agg(F.sum("n").alias("n")).collect():
+        totals[r["at"]] = r["n"]
+    for r in best:
+        totals[zlib.crc32(bytes(r["word"])) % shape.hashed] -= r["n"]
+    return frequent, totals
 
 
 def train(docs: DataFrame, text_col: str = "text", shape: Shape = Shape(), rounds: int = 2, masked: float = 0.15,
@@ -194,7 +221,9 @@ def train(docs: DataFrame, text_col: str = "text", shape: Shape = Shape(), round
     """The network after ``rounds`` over all documents.  Of each document a share
     ``masked`` of the places, another one each round, is predicted in training.
     Without words it stays as it began."""
-    net = Network.start(shape, frequent_words(docs, text_col, shape.tokens - shape.hashed))
+    words = count_words(docs, text_col)
+    frequent, rare = vocabulary(docs.sparkSession, words, shape)
+    net = Network.start(shape, frequent)
     texts = spread(docs.select(raw(text_col).alias("t")))
     sc = docs.sparkSession.sparkContext
     for turn in range(rounds):
@@ -225,16 +254,19 @@ def train(docs: DataFrame, text_col: str = "text", shape: Shape = Shape(), round
             break
         net = Network(shape, **{n: (padded(got, n, a.shape) / seen).astype(np.float32) for n, a in net.arrays().items()},
                       frequent=net.frequent)
+    net.words, net.rare = words, rare
     return net
 
 
-_SCORE = pa.struct([("n_tokens", pa.int64()), ("log_prob", pa.float64())])
+_SCORE = pa.struct([("n_tokens", pa.int64()), ("log_prob", pa.float64()), ("rare", pa.binary())])
 
 
 def score_udf(net: Network, spark):
+    """Column function: text to its tokens, the sum over their numbers, and its
+    rare words with blanks between."""
     sent = spark.sparkContext.broadcast(net)
 
-    @F.arrow_udf("struct<n_tokens:long,log_prob:double>")
+    @F.arrow_udf("struct<n_tokens:long,log_prob:double,rare:binary>")
     def score(texts: pa.Array) -> pa.Array:
         own = sent.value
         numbers = Numbers(own.frequent, own.shape)
@@ -243,16 +275,48 @@ def score_udf(net: Network, spark):
         for rows, target, near in token_blocks((t.as_py() for t in texts), numbers, 1 << 15):
             n += np.bincount(rows, minlength=len(texts))
             total += np.bincount(rows, own.log_prob(near, target), len(texts))
-        return pa.StructArray.from_arrays([pa.array(n), pa.array(total)], fields=list(_SCORE))
+        known = set(own.frequent)
+        rare = pa.array([b" ".join(w for words in word_chunks(t.as_py().lower(), 0) for w in words if w not in known)
+                         if t.is_valid else b"" for t in texts], pa.binary())
+        return pa.StructArray.from_arrays([pa.array(n), pa.array(total), rare], fields=list(_SCORE))
     return score
 
 
+def _rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            part = batch.slice(at, 256)
+            lists = pc.split_pattern(part.column(1), b" ")
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pc.list_parent_indices(lists)), pc.list_flatten(lists)],
+                                             ["row", "word"])
+
+
+def rare_shares(scored: DataFrame, net: Network) -> DataFrame:
+    """``row`` and ``share``: the sum over a row's rare words of the logarithm of
+    each one's share among the words of its hashed number."""
+    tokens = scored.filter(F.length("rare") > 0).select("row", "rare").mapInArrow(_rare_words, "row long, word binary")
+    counts = scored.sparkSession.read.parquet(net.words)
+    total = F.element_at(F.array(*[F.lit(float(n)) for n in net.rare]), (hashed_number(net.shape) + 1).cast("int"))
+    # one more count for all words that the corpus doesn't hold
+    share = F.log(F.coalesce(F.col("n"), F.lit(1)) / (total + 1))
+    return tokens.join(counts, "word", "left").groupBy("row").agg(F.sum(share).alias("share"))
+
+
 def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_tokens``, ``log_prob`` (sum over the text's tokens) and
     ``mean_log_prob``.  Null and blank texts: 0 tokens, sum 0, mean null.  Repeated
     rows keep one row each; a null id stays null; other columns aren't read; an
     empty table gives no rows."""
-    found = score_udf(net, docs.sparkSession)(raw(text_col))
-    return docs.select(F.col(f"`{id_col}`"), found.alias("f")).select(
-        F.col(f"`{id_col}`"), F.col("f.n_tokens").alias("n_tokens"), F.col("f.log_prob").alias("log_prob"),
-        F.when(F.col("f.n_tokens") > 0, F.col("f.log_prob") / F.col("f.n_tokens")).alias("mean_log_prob"))
+    spark = docs.sparkSession
+    path = scratch_path(spark, "lm-scores")
+    found = score_udf(net, spark)(raw(text_col))
+    docs.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), found.alias("f")).select(
+        "id", "row", "f.*").write.parquet(path)
+    out = spark.read.parquet(path)
+    log_prob = F.col("log_prob")
+    if net.words:
+        out = out.join(rare_shares(out, net), "row", "left")
+        log_prob = log_prob + F.coalesce("share", F.lit(0.0))
+    return out.select(
+        F.col("id").alias(id_col), "n_tokens", log_prob.alias("log_prob"),
+        F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens")).alias("mean_log_prob"))
