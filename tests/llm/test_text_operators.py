@@ -289,6 +289,24 @@ def test_lm_scores_against_brute_force(spark):
     assert got[101]["mean_log_prob"] is None
 
 
+@pytest.mark.parametrize("rounds, masked, times", [(2, 0.15, 1), (3, 0.15, 1), (6, 0.5, 3), (1, 0.15, 1), (2, 1.0, 2)])
+def test_every_token_is_a_target(rounds, masked, times):
+    texts = [b"a b c " * 50, b"", b"d " * 700, b"e f"]
+    numbers = lm_score.Numbers([b"a"], lm_score.Shape())
+    for size in (7, 1 << 16):
+        begun = np.zeros(len(texts), np.int64)
+        seen: dict = {}
+        for row, target, _ in lm_score.token_blocks(iter(texts), numbers, size):
+            place = lm_score.places_of(row, begun)
+            for turn in range(rounds):
+                on = lm_score.round_places(row.astype(np.uint64), place, turn, rounds, masked)
+                if size > 7:
+                    assert abs(on.mean() - times / rounds) < 0.06
+                for key in zip(row[on].tolist(), place[on].tolist(), strict=True):
+                    seen[key] = seen.get(key, 0) + 1
+        assert seen == {(i, k): times for i, t in enumerate(texts) for k in range(len(t.split()))}
+
+
 def test_rare_words_have_their_own_probability(spark):
     texts = ["the a " * 20, "the a rose", "the a rose", "the a rose", "the a lilac", "the a Iris iris"]
     rows = [*enumerate(texts), (10, "the a unseen"), (10, "the a unseen"), (None, None)]

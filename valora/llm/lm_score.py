@@ -10,8 +10,9 @@ Words are counted over all documents, and the counts are a table of the shared
 folder.  The most frequent words have a number of the network each, the rest share
 hashed numbers: a rare word's probability is that of its number in its context
 times its share of the counts of all words with that number, by a join on the
-word, and all words that the corpus doesn't hold share one count.  Training is data-parallel: in each round every task
-trains on masked places of all its documents, starting from the common network,
+word, and all words that the corpus doesn't hold share one count.  Training is data-parallel: a hash of text and place deals all
+places to the rounds, so every token is a target; in each round every task trains
+on the round's places of all its documents, starting from the common network,
 and the next network is the average over tasks, weighted by tokens.  Counts and
 gradients gathered thus grow with the corpus; the network doesn't.
 """
@@ -134,7 +135,11 @@ class Network:
         g["bias"] = back.sum(axis=0)
         g["tables"] = np.zeros_like(self.tables)
         for k in range(self.shape.places):
-            np.add.at(g["tables"][k], near[:, k], back)
+            # sums by number: sorted runs, much faster than np.add.at
+            order = np.argsort(near[:, k], kind="stable")
+            ids = near[order, k]
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            g["tables"][k][ids[first]] = np.add.reduceat(back[order], first, axis=0)
         return g
 
 
@@ -216,10 +221,32 @@ def vocabulary(spark, path: str, shape: Shape) -> tuple[list[bytes], list[int]]:
     return frequent, totals
 
 
+def places_of(row: np.ndarray, begun: np.ndarray) -> np.ndarray:
+    """The place in its text of each token of a block, whose rows rise; ``begun``
+    has the tokens of the blocks before and is brought forward."""
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    n = np.diff(np.append(first, len(row)))
+    out = np.arange(len(row)) - np.repeat(first, n) + begun[row]
+    begun[row[first]] += n
+    return out
+
+
+def round_places(texts: np.ndarray, places: np.ndarray, turn: int, rounds: int, masked: float) -> np.ndarray:
+    """Which places are targets in round ``turn``: hashes of (text, place) deal
+    them to the rounds, each to one, or to so many that a share ``masked`` of
+    them is in a round."""
+    h = texts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + places.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    own = ((h ^ (h >> np.uint64(31))) % np.uint64(rounds)).astype(np.int64)
+    return (own - turn) % rounds < min(rounds, max(1, round(masked * rounds)))
+
+
 def train(docs: DataFrame, text_col: str = "text", shape: Shape = Shape(), rounds: int = 2, masked: float = 0.15,
           batch: int = 4096, rate: float = 0.1) -> Network:
-    """The network after ``rounds`` over all documents.  Of each document a share
-    ``masked`` of the places, another one each round, is predicted in training.
+    """The network after ``rounds`` over all documents.  In a round a share
+    ``masked`` of the places, at least 1 / ``rounds``, is predicted, so that over
+    the rounds every place is, and equally often.
     Without words it stays as it began."""
     words = count_words(docs, text_col)
     frequent, rare = vocabulary(docs.sparkSession, words, shape)
@@ -237,10 +264,13 @@ def train(docs: DataFrame, text_col: str = "text", shape: Shape = Shape(), round
             rng = np.random.default_rng(turn)
             seen = 0
             for b in batches:
-                for _, target, near in token_blocks((t.as_py() for t in b.column(0)), numbers, 1 << 16):
+                texts = [t.as_py() for t in b.column(0)]
+                hashes = np.fromiter((zlib.crc32(t or b"") for t in texts), np.uint64, len(texts))
+                begun = np.zeros(len(texts), np.int64)  # tokens of each text in the blocks before
+                for row, target, near in token_blocks(iter(texts), numbers, 1 << 16):
                     seen += len(target)
-                    pick = np.flatnonzero(rng.random(len(target)) < masked)
-                    pick = rng.permutation(pick)
+                    place = places_of(row, begun)
+                    pick = rng.permutation(np.flatnonzero(round_places(hashes[row], place, turn, rounds, masked)))
                     for i in range(0, len(pick), batch):
                         at = pick[i:i + batch]
                         for name, g in own.gradients(near[at], target[at]).items():
