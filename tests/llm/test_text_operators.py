@@ -333,3 +333,12 @@ def test_digests_in_the_query(spark, tmp_path):
     assert got[1]["items_sha256"] == hashlib.sha256(b"10,9").hexdigest()
     assert (got[1]["n_words"], got[1]["n_hit"], got[1]["n_items"], got[1]["contaminated"]) == (3, 3, 2, True)
     assert got[2]["items_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("name", ["pass_phrase", "pass-phrase", "pass_word", "PASS_WD", "private__key", "my.s-e_c.ret", "auth"])
+def test_separators_in_names_hide_nothing(name):
+    line = f'{name} = "zK8#qLw93Tbx0PvR"'
+    assert secret_scan.name_weight(name) > 0 and secret_scan.may_score("é" + line)
+    alone = secret_scan.literal_spans(line, 0.45)
+    assert alone and alone == secret_scan.literal_spans(line + "\nauthor", 0.45)
+    assert "zK8#" not in secret_scan.mask(line)

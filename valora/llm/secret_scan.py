@@ -110,7 +110,7 @@ def assignments(text: str) -> list[tuple[str, list[tuple[int, int]], list[str]]]
 
 def literal_spans(text: str, threshold: float) -> list[tuple[int, int]]:
     """Literals that reach a sensitive name, itself or through constants."""
-    if not _SENSITIVE_HINT.search(text):
+    if not may_score(text):
         return []
     constants: dict[str, list[tuple[int, int]]] = {}
     found: set[tuple[int, int]] = set()
@@ -126,10 +126,14 @@ def literal_spans(text: str, threshold: float) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-#: Some sensitive name, with separators between its words: else nothing scores.
-_SENSITIVE_HINT = re.compile(
-    "|".join("[-_.]?".join(n) if n.endswith("key") or n == "connectionstring" else n for n in sorted(_NAMES)),
-    re.I | re.A)
+_SENSITIVE_BYTES = re.compile(_SENSITIVE.pattern.encode())
+_SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
+
+
+def may_score(text: str) -> bool:
+    """False only where no name weighs anything: names are ASCII and weigh
+    without separators, so a sensitive one stands in the text without them too."""
+    return bool(_SENSITIVE_BYTES.search(text.encode("ascii", "ignore").lower().translate(None, _SEPARATORS)))
 
 
 def scan(text: str | None, threshold: float = 0.45) -> list[tuple[int, int, int]]:
