@@ -342,3 +342,18 @@ def test_separators_in_names_hide_nothing(name):
     alone = secret_scan.literal_spans(line, 0.45)
     assert alone and alone == secret_scan.literal_spans(line + "\nauthor", 0.45)
     assert "zK8#" not in secret_scan.mask(line)
+
+
+def test_secrets_without_caps():
+    key = "spring.security.oauth2.client.registration.keycloak.client-credentials"
+    line = f"{key} = zK8qLw93Tbx0PvR"
+    assert len(key) == 70 and secret_scan.literal_spans(line, 0.45) == [(len(key) + 3, len(line))]
+    parts = [f"p{i}Kq7x" for i in range(100)]
+    text = "joined = " + " + ".join(f'"{x}"' for x in parts) + "\npassword = joined"
+    assert len(secret_scan.literal_spans(text, 0.45)) == 100
+    assert not any(x in secret_scan.mask(text) for x in parts)
+    mixed = "".join(chr(33 + i % 90) for i in range(4096)).replace('"', "x").replace("\\", "y")
+    dull = "a" * 4096 + mixed * 4
+    assert secret_scan.literal_weight(dull) > 0.9
+    many = 'a = "zK8qLw93Tbx0PvR"\n' + "a = a + a\n" * 200 + "password = a"
+    assert secret_scan.literal_spans(many, 0.45) == [(5, 20)]

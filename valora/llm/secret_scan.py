@@ -42,7 +42,7 @@ _PLACEHOLDER = re.compile(
 
 #: Target name, operator and the right side up to the end of its line.
 _PAIR = re.compile(
-    r"""(?<![\w$.-])["']?([A-Za-z_][\w.-]{0,63})["']?[ \t]*(?:=>|:=|[:=](?![=:]))[ \t]*(?=["'$\w+/-])""", re.A)
+    r"""(?<![\w$.-])["']?([A-Za-z_][\w.-]*+)["']?[ \t]*(?:=>|:=|[:=](?![=:]))[ \t]*(?=["'$\w+/-])""", re.A)
 _PART = re.compile(
     r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|\$\{?([A-Za-z_]\w*)\}?|([A-Za-z0-9+/_.=-]+))""", re.A)
 _PLUS = re.compile(r"[ \t]*\+(?=[ \t]*[\"'$A-Za-z_])")
@@ -60,10 +60,10 @@ def literal_weight(value: str) -> float:
     kinds of characters; placeholders and plain words are low."""
     if len(value) < 8 or _PLACEHOLDER.match(value) or value.count(" ") > 2:
         return 0.0
-    counts = Counter(value[:4096])
+    counts = Counter(value)
     n = sum(counts.values())
     bits = -sum(c / n * math.log2(c / n) for c in counts.values())
-    kinds = sum(bool(re.search(k, value[:4096])) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9 ]"))
+    kinds = sum(bool(re.search(k, value)) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9 ]"))
     return min(1.0, bits / 4) * (0.5, 0.5, 0.8, 1.0, 1.0)[kinds]
 
 
@@ -116,13 +116,14 @@ def literal_spans(text: str, threshold: float) -> list[tuple[int, int]]:
     found: set[tuple[int, int]] = set()
     for name, literals, names in assignments(text):
         own = [x for x in literals if text[x[0]:x[1]] not in constants]
-        reach = own + [x for n in names for x in constants.get(n, ())]
+        # each literal once, or a = a + a doubles
+        reach = list(dict.fromkeys(own + [x for n in names for x in constants.get(n, ())]))
         weight = name_weight(name)
         if weight:
             # the parts of a joined value score as the whole
             if weight * literal_weight("".join(text[b:e] for b, e in reach)) >= threshold:
                 found.update(reach)
-        constants[name] = reach[:64]
+        constants[name] = reach
     return sorted(found)
 
 
