@@ -357,3 +357,29 @@ def test_secrets_without_caps():
     assert secret_scan.literal_weight(dull) > 0.9
     many = 'a = "zK8qLw93Tbx0PvR"\n' + "a = a + a\n" * 200 + "password = a"
     assert secret_scan.literal_spans(many, 0.45) == [(5, 20)]
+
+
+def test_license_copies_in_a_row():
+    t = license_scan.Templates(license_scan.TEMPLATES)
+    for name, copies in (("CC-BY-NC", 9), ("MIT", 6), ("BSD", 4), ("Apache-2.0-notice", 3)):
+        n = len(t.words[name])
+        for before in range(3):
+            text = "word " * before + (license_scan.TEMPLATES[name] + " ") * copies + "end"
+            got = license_scan.scan(text.encode(), t, 0.8)
+            assert [(x["license"], x["start"], x["end"], x["coverage"]) for x in got] == [
+                (name, before + i * n, before + (i + 1) * n, 1.0) for i in range(copies)]
+
+
+@pytest.mark.parametrize("name", ["GPL", "MIT-grant", "Apache-2.0-notice"])
+def test_worn_license_is_the_same_at_every_offset(name):
+    t = license_scan.Templates({name: license_scan.TEMPLATES[name]})
+    words = license_scan.TEMPLATES[name].split()
+    n = len(t.words[name])
+    worn = words[:2] + ["zzz"] * (n // 4) + words[2:4] + words[5:]  # the longest admitted, with a word gone
+    ids = [t.vocab.get(w, 0) for w in " ".join(worn).encode().translate(license_scan._TABLE).split()]
+    span = n + n // 4 + 1
+    best = max(len(license_scan.best_window(license_scan.align(ids[b:b + span], t.words[name]), span)) for b in range(len(ids)))
+    assert best == n - 1
+    for before in range(0, 2 * n + 3):
+        got = license_scan.scan(" ".join(["qq"] * before + worn + ["qq"] * 40).encode(), t, 0.8)
+        assert [(x["start"], x["end"], x["coverage"]) for x in got] == [(before, before + len(ids), best / n)]

@@ -5,15 +5,17 @@ both are anchors; the longest increasing subsequence of them is kept, and the
 gaps between kept anchors are aligned in the same way.  The coverage of a
 template is the share of its words that align.
 
-A text is cut into overlapping blocks of twice a template's length, so an
-occurrence lies in one of them whole and its words are rarely repeated there.
-The number of template words in a block bounds its coverage: blocks below the
-threshold by that count are skipped, which drops nothing.
+A window of the longest admitted occurrence starts at every word, so what is found
+doesn't depend on where in the text an occurrence stands, and copies in a row are
+found one by one.  The number of template words in a window, with and without
+repeats, bounds its coverage: windows below the threshold by that count are
+skipped, which drops nothing.
 """
 
 from __future__ import annotations
 
 import bisect
+from collections import Counter
 from itertools import repeat
 
 import numpy as np
@@ -96,6 +98,7 @@ class Templates:
             for name, text in templates.items()}
         self.words = {n: w for n, w in self.words.items() if w}
         self.member = {n: np.isin(np.arange(len(self.vocab) + 1), w) for n, w in self.words.items()}
+        self.counts = {n: Counter(w) for n, w in self.words.items()}
         self.longest = max(map(len, self.words.values()), default=1)
 
 
@@ -115,12 +118,16 @@ def scan_words(ids: np.ndarray, t: Templates, threshold: float, first: int, foun
     """Occurrences in one run of words, by (template, start): (end, coverage)."""
     for name, words in t.words.items():
         n = len(words)
+        span = n + n // 4 + 1
         sums = np.concatenate([[0], np.cumsum(t.member[name][ids])])
-        starts = np.arange(0, max(1, len(ids) - n + 1), n)
-        ends = np.minimum(starts + 2 * n, len(ids))
-        enough = sums[ends] - sums[starts] >= threshold * n
-        for b, e in zip(starts[enough].tolist(), ends[enough].tolist(), strict=True):
-            matched = best_window(align(ids[b:e].tolist(), words), n + n // 4 + 1)
+        ends = np.minimum(np.arange(len(ids)) + span, len(ids))
+        starts = np.flatnonzero((sums[ends] - sums[:-1] >= threshold * n) & t.member[name][ids])
+        for b in starts.tolist():
+            part = ids[b:b + span].tolist()
+            if (Counter(part) & t.counts[name]).total() < threshold * n:
+                continue
+            # one occurrence without its neighbours' words, where those leave too few unique
+            matched = max(best_window(align(part, words), span), align(part[:n], words), key=len)
             if len(matched) >= threshold * n:
                 key = (name, first + b + matched[0][0])
                 value = (first + b + matched[-1][0] + 1, len(matched) / n)
