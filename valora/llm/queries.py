@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valora.llm import decontam, langid, license_scan, lm_score, packing, quality, secret_scan, simhash, topk, warc
+from valora.llm import (
+    decontam, langid, license_scan, lm_score, mixing, packing, quality, secret_scan, simhash, topk, warc,
+)
 from valora.llm.common import scratch_path, table
 
 #: Scores below this are rejected.
@@ -103,10 +105,15 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(shown(F.col("spans")), ",").alias("spans"))
 
 
+def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2)
+    return mixed.taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontaminate, op2_topk, op3_licenses, op4_langid, op5_quality, op6_warc, op7_pack, op8_simhash,
-        op9_lm_score, op10_secrets)
+        op9_lm_score, op10_secrets, op12_mix)
 }
 
 ORACLE: dict[str, str] = {
@@ -159,5 +166,31 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND lead <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 100 AND lead <> page_id THEN lead END AS refers_to
 FROM f
+""",
+    "op12_mix": r"""
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+           md5(coalesce(doc_id::VARCHAR, '') || ':42') AS ord
+    FROM documents),
+s AS (
+    SELECT source, sum(size)::BIGINT AS size, [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS w
+    FROM d GROUP BY source),
+r AS (
+    SELECT 1.5::DOUBLE * sum(size) OVER () AS total, sum(w) OVER () AS all_w,
+           coalesce(sum(2 * size) OVER (ORDER BY 2 * size / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+           coalesce(sum(w) OVER (ORDER BY 2 * size / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held_w
+    FROM s),
+t AS (
+    SELECT source, size, least(2.0::DOUBLE * size, w * (SELECT max((total - held) / (all_w - held_w)::DOUBLE) FROM r)) AS target
+    FROM s),
+o AS (
+    SELECT d.*, t.size AS source_size, t.target, floor(t.target)::BIGINT AS take,
+           coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY ord, doc_id, d.size
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (greatest(0, least(pos + size, take) - pos)
+        + greatest(0, least(source_size + pos + size, take) - (source_size + pos)))::BIGINT AS taken
+FROM o
 """,
 }
