@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from valora.llm import (
-    decontam, langid, license_scan, lm_score, mixing, packing, quality, secret_scan, simhash, topk, warc,
+    decontam, langid, license_scan, lm_score, mixing, packing, quality, secret_scan, simhash, spelling, topk, warc,
 )
 from valora.llm.common import scratch_path, table
 
@@ -105,6 +105,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(shown(F.col("spans")), ",").alias("spans"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), every=199, least=6, times=5, ratio=5)
+
+
 def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2)
     return mixed.taken().select("doc_id", "size", "source_size", "target", "taken")
@@ -113,7 +117,7 @@ def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontaminate, op2_topk, op3_licenses, op4_langid, op5_quality, op6_warc, op7_pack, op8_simhash,
-        op9_lm_score, op10_secrets, op12_mix)
+        op9_lm_score, op10_secrets, op11_spelling, op12_mix)
 }
 
 ORACLE: dict[str, str] = {
