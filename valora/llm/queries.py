@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from valora.llm import (
-    decontam, langid, license_scan, lm_score, mixing, packing, quality, secret_scan, simhash, spelling, topk, warc,
+    alignment, decontam, langid, license_scan, lm_score, mixing, packing, quality, secret_scan, simhash, spelling, topk, warc,
 )
 from valora.llm.common import scratch_path, table
 
 #: Scores below this are rejected.
 QUALITY_THRESHOLD = 0.3
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+ALIGNED = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def fold(col: str, folds: int):
@@ -114,10 +115,14 @@ def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.taken().select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), *ALIGNED).documents
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontaminate, op2_topk, op3_licenses, op4_langid, op5_quality, op6_warc, op7_pack, op8_simhash,
-        op9_lm_score, op10_secrets, op11_spelling, op12_mix)
+        op9_lm_score, op10_secrets, op11_spelling, op12_mix, op13_align)
 }
 
 ORACLE: dict[str, str] = {
