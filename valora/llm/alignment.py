@@ -29,6 +29,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,17 @@ def byte_of_letter() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(rest)}}
 
 
+def _flat(ids: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(ids), np.int64)
+
+
+def _by_text(values: np.ndarray, ids: list[list[int]]) -> np.ndarray:
+    """Sums of the values of each text's tokens."""
+    ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+    upto = np.concatenate([[0], np.cumsum(values)])
+    return np.diff(upto[np.concatenate([[0], ends])])
+
+
 @dataclass
 class Aligned:
     """Alignment of a list of texts.  ``links`` are pair keys of text ``i`` from
@@ -98,8 +110,7 @@ class Aligner:
         self.by_word = not any("▁" in p.lstrip("▁") or set(p) & set(" \n\t") for p in own)
         self._size_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self._size_b = np.array([len(x) for x in self.bytes_b], np.int64)
-        self._text_a = [str(i) for i in range(len(self.bytes_a))]
-        self._text_b = [str(i) for i in range(len(self.bytes_b))]
+        self._shown = [f"{i}{mark}" for mark in ",|;\n" for ids in (self.bytes_a, self.bytes_b) for i in range(len(ids))]
         self.forget()
 
     def forget(self) -> None:
@@ -124,18 +135,25 @@ class Aligner:
                 out[i] = out[i][1:] if out[i][:1] == [self._blank] else []
         return out
 
+    def _joined(self, texts: list[str], a: list[list[int]], b: list[list[int]]) -> np.ndarray:
+        """Of which texts both tokenizers' bytes are the text's."""
+        sizes = np.array([len(t.encode()) for t in texts], np.int64)
+        data = "".join(texts).encode()
+        if all(b"".join(map(table.__getitem__, chain.from_iterable(ids))) == data
+               and (_by_text(size[_flat(ids)], ids) == sizes).all()
+               for ids, table, size in ((a, self.bytes_a, self._size_a), (b, self.bytes_b, self._size_b))):
+            return np.ones(len(texts), bool)
+        return np.array([b"".join(map(self.bytes_a.__getitem__, x)) == t.encode() == b"".join(map(self.bytes_b.__getitem__, y))
+                         for t, x, y in zip(texts, a, b, strict=True)])
+
     def align(self, texts: list[str]) -> Aligned:
-        a = [e.ids for e in self._a.encode_batch(texts, add_special_tokens=False)]
+        a = [e.ids for e in self._a.encode_batch_fast(texts, add_special_tokens=False)]
         b = self._encode_b(texts)
-        good = np.zeros(len(texts), bool)
-        for i, t in enumerate(texts):
-            data = t.encode()
-            good[i] = (b"".join(map(self.bytes_a.__getitem__, a[i])) == data
-                       and b"".join(map(self.bytes_b.__getitem__, b[i])) == data)
-            if not good[i]:
-                a[i], b[i] = [], []
+        good = self._joined(texts, a, b)
+        for i in np.flatnonzero(~good):
+            a[i], b[i] = [], []
         n_a, n_b = (np.fromiter(map(len, x), np.int64, len(texts)) for x in (a, b))
-        ids_a, ids_b = (np.fromiter((i for x in y for i in x), np.int64) for y in (a, b))
+        ids_a, ids_b = _flat(a), _flat(b)
         # all texts end to end: both tokenizers reach the same offset at each text's end
         end_a, end_b = np.cumsum(self._size_a[ids_a]), np.cumsum(self._size_b[ids_b])
         start_a, start_b = end_a - self._size_a[ids_a], end_b - self._size_b[ids_b]
@@ -148,26 +166,22 @@ class Aligner:
         upto = np.concatenate([[0], np.cumsum(each)])
         ends = np.concatenate([[0], np.cumsum(n_a)])
         first_group = np.concatenate([group_a, [len(common)]])[ends]
-        return Aligned(good, n_a, n_b, np.diff(first_group), self._group_texts(a, b, n_a, n_b, group_a, group_b),
-                       upto[ends], links)
-
-    def _group_texts(self, a, b, n_a, n_b, group_a, group_b) -> list[bytes]:
-        out = []
-        i = j = 0
-        shown_a, shown_b = self._text_a.__getitem__, self._text_b.__getitem__
-        for x, y, n, m in zip(a, b, n_a.tolist(), n_b.tolist(), strict=True):
-            if n and group_a[i] == group_a[i + n - 1]:  # one group
-                out.append((",".join(map(shown_a, x)) + "|" + ",".join(map(shown_b, y))).encode())
-            elif n:
-                cut_a = [0, *(np.flatnonzero(np.diff(group_a[i:i + n])) + 1).tolist(), n]
-                cut_b = [0, *(np.flatnonzero(np.diff(group_b[j:j + m])) + 1).tolist(), m]
-                out.append(";".join(
-                    ",".join(map(shown_a, x[p:q])) + "|" + ",".join(map(shown_b, y[r:s]))
-                    for p, q, r, s in zip(cut_a, cut_a[1:], cut_b, cut_b[1:], strict=False)).encode())
-            else:
-                out.append(b"")
-            i, j = i + n, j + m
-        return out
+        shown = self._group_texts(ids_a, ids_b, n_a, n_b, group_a, group_b)
+        return Aligned(good, n_a, n_b, np.diff(first_group), shown, upto[ends], links)
+
+    def _group_texts(self, ids_a, ids_b, n_a, n_b, group_a, group_b) -> list[bytes]:
+        """Per text its groups, written out: the tokens by group, A before B, each
+        with the mark that stands between it and the next."""
+        text = np.concatenate([np.repeat(np.arange(len(n)), n) for n in (n_a, n_b)])
+        side = np.repeat([0, 1], [len(ids_a), len(ids_b)])
+        group = np.concatenate([group_a, group_b])
+        order = np.lexsort((side, group))
+        text, side, group = text[order], side[order], group[order]
+        mark = np.full(len(order), 3)
+        mark[:-1] = np.select([text[1:] != text[:-1], group[1:] != group[:-1], side[1:] != side[:-1]], [3, 2, 1], 0)
+        ids = np.concatenate([ids_a, ids_b + len(self.bytes_a)])[order]
+        rows = iter("".join(map(self._shown.__getitem__, (mark * (len(self._shown) // 4) + ids).tolist())).encode().split(b"\n"))
+        return [next(rows) if n else b"" for n in n_a.tolist()]
 
     def learn(self, texts: list[str]) -> None:
         """Align texts and remember them."""
