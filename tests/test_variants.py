@@ -66,13 +66,17 @@ def test_searches_use_the_reference_spaces(split, monkeypatch):
 def test_tree_cross_validation_scores_each_candidate(split):
     from valora.plans import variants
     ytr, _, feats, _, _ = variants._prepare(*split, VARIANTS["RFB"], "Id", "HotelValue")
-    df = variants.preprocess.assemble(ytr, feats).withColumn("__fold", variants.hash_bucket("Id", 2)).cache()
+    df = (variants.preprocess.assemble(ytr, feats).withColumn("__fold", variants.hash_bucket("Id", 2))
+          .withColumn("__key", variants.F.col("Id")).cache())
     forests = [{"numTrees": 2, "maxDepth": d, "minInstancesPerNode": 1, "featureSubsetStrategy": 0.5} for d in (1, 6)]
-    a, b = variants._cross_validated(df, variants._forest, 2, 42)(forests)
+    a, b = variants._forest_cv(df, None, 2, 42)(forests)
     assert a > 0 and b > 0 and a != b
     boosts = [{"n_estimators": n, "max_depth": 2} for n in (1, 3)]
-    got = variants._fold_by_fold(df, variants._AdaBoost, 2, 42)(boosts)
+    got = variants._adaboosted_cv(df, None, 2, 42)(boosts)
     assert len(got) == 2 and all(x > 0 for x in got)
+    more = [{"n_estimators": n, "learning_rate": 0.3, "max_depth": 2, "subsample": 0.8, "colsample": 0.8, "l1": 0.1, "l2": 1.0} for n in (1, 9)]
+    got = variants._boosted_cv(df, None, 2, 42)(more)
+    assert got[1] < got[0]
 
 
 def test_elastic_net_path_has_100_alphas(spark):

@@ -68,7 +68,15 @@ FOREST_SAMPLED_SPACE = {"numTrees": ("int", 100, 500), "maxDepth": ("int", 10, 5
                         "featureSubsetStrategy": ("uniform", 0.1, 1.0)}
 FOREST_BASELINE = {"numTrees": 100, "maxDepth": None, "minInstancesPerNode": 1}
 BOOSTED_SPACE = {"n_estimators": ("int", 100, 1000), "learning_rate": ("log-uniform", 0.01, 0.3),
-                 "max_depth": ("int", 3, 10), "subsample": ("uniform", 0.7, 1.0), "colsample": ("uniform", 0.7, 1.0)}
+                 "max_depth": ("int", 3, 10), "subsample": ("uniform", 0.7, 1.0), "colsample": ("uniform", 0.7, 1.0),
+                 "l1": ("log-uniform", 0.01, 10.0), "l2": ("log-uniform", 0.01, 10.0)}
+EARLY_STOPPED = {"n_estimators": 1000, "learning_rate": 0.05, "max_depth": 4, "patience": 50}
+EARLY_STOPPED_REGULARIZED = {"n_estimators": 2000, "learning_rate": 0.01, "max_depth": 3, "min_child": 5, "gamma": 0.1,
+                             "l1": 0.1, "l2": 1.0, "patience": 100}
+LEAFWISE_SPACE = {"num_leaves": ("int", 20, 100), "max_depth": ("int", 3, 10), "learning_rate": ("log-uniform", 0.01, 0.2),
+                  "n_estimators": ("int", 200, 800), "min_child": ("int", 5, 50), "subsample": ("uniform", 0.6, 1.0),
+                  "colsample": ("uniform", 0.6, 1.0), "l1": ("log-uniform", 1e-4, 1.0), "l2": ("log-uniform", 1e-4, 1.0)}
+LEAFWISE_BASELINE = {"n_estimators": 100, "learning_rate": 0.1, "num_leaves": 31, "min_child": 20, "l1": 0.0, "l2": 0.0}
 BOOSTED_BASELINE = {"n_estimators": 100, "learning_rate": 0.3, "max_depth": 6, "subsample": 1.0, "colsample": None}
 ADABOOST_BASELINE = {"n_estimators": 50, "learning_rate": 1.0, "loss": "linear", "max_depth": 3}
 ADABOOST_SPACE = {"n_estimators": ("int", 50, 500), "learning_rate": ("log-uniform", 1e-3, 1.0),

@@ -625,45 +625,70 @@ def _tree_out(model, t):
 
 
 def q_random_forest(spark, d):
-    from ..operators import trees
+    from ..operators import forest
     t = _ml_frame(spark, d)
-    m = trees.forest(label="y").fit(_fit_input(t))
-    return _tree_out(m, t)
+    return _tree_out(forest.fit_forest(t.where("is_test = 0"), label="y", key="Id", n_trees=100), t)
 
 
 def q_gbt(spark, d):
-    from ..operators import trees
+    from ..operators import boosting
     t = _ml_frame(spark, d)
-    m = trees.boosted(label="y", n_trees=100, learning_rate=0.3, max_depth=6).fit(_fit_input(t))
-    return _tree_out(m, t)
+    return _tree_out(boosting.fit_boosted(t.where("is_test = 0"), boosting.Boost(100, 0.3, 6), label="y", key="Id"), t)
+
+
+def q_leafwise_boost(spark, d):
+    """M9: trees that grow leaf by leaf."""
+    from ..operators import boosting
+    from ..operators.maps import LEAFWISE_BASELINE as c
+    t = _ml_frame(spark, d)
+    b = boosting.Boost(c["n_estimators"], c["learning_rate"], None, c["num_leaves"], l2=c["l2"], min_child=c["min_child"])
+    return _tree_out(boosting.fit_boosted(t.where("is_test = 0"), b, label="y", key="Id"), t)
 
 
 def q_adaboost_r2(spark, d):
-    from ..operators import trees
+    from ..operators import adaboost
     t = _ml_frame(spark, d)
-    m = trees.adaboost_r2(t.where("is_test = 0"), "features", "y", n_estimators=50, max_depth=3)
-    return _tree_out(m, t)
+    return _tree_out(adaboost.fit_adaboost(t.where("is_test = 0"), adaboost.Ada(50), label="y", key="Id"), t)
 
 
 def q_forest_grid(spark, d):
-    """H1 on trees: MLlib CrossValidator over a fold column (k=3)."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-    from ..operators import trees
+    """H1 on trees: the whole grid over a fold column (k=3); a null depth is no limit."""
+    from ..operators import forest, search
     from ..operators.maps import FOREST_GRID
-    t = folds.assign_folds(_fit_input(_ml_frame(spark, d)), "Id", 3)
-    rf = trees.forest(label="y")
-    grid = (ParamGridBuilder().addGrid(rf.numTrees, FOREST_GRID["numTrees"])
-            .addGrid(rf.maxDepth, [trees.spark_depth(x) for x in FOREST_GRID["maxDepth"]])
-            .addGrid(rf.minInstancesPerNode, FOREST_GRID["minInstancesPerNode"]).build())
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, foldCol="fold", parallelism=4,
-                        evaluator=RegressionEvaluator(labelCol="y", metricName="rmse"))
-    m = cv.fit(t)
-    rows = [(int(pm[rf.numTrees]), int(pm[rf.maxDepth]), int(pm[rf.minInstancesPerNode]), float(s))
-            for pm, s in zip(grid, m.avgMetrics)]
+    t = folds.assign_folds(_ml_frame(spark, d).where("is_test = 0"), "Id", 3)
+    points = search.grid(FOREST_GRID)
+    cands = [forest.Candidate(c["numTrees"], forest.Growth(c["maxDepth"], c["minInstancesPerNode"])) for c in points]
+    scores = forest.cross_validate(t, cands, "fold", 3, label="y", key="Id")
+    rows = [(c["numTrees"], c["maxDepth"], c["minInstancesPerNode"], s) for c, s in zip(points, scores)]
     return spark.createDataFrame(rows, "num_trees int, max_depth int, min_leaf int, cv_rmse double")
 
 
+def _stump_frame(spark, d):
+    """Three numbers of few distinct values each."""
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    return preprocess.assemble(li.withColumn("y", F.col("l_extendedprice").cast("double") / 1000.0), ["l_quantity", "l_discount", "l_tax"])
+
+
+def _counted(model, t):
+    return (model.transform(t).groupBy(_r(F.col("prediction"), 6).alias("prediction"))
+            .agg(F.count("*").alias("n"), _r(F.avg("y"), 6).alias("mean_y")))
+
+
+def q_tree_stump(spark, d):
+    """M7: one tree of depth one, without resampling."""
+    from ..operators import forest
+    t = _stump_frame(spark, d)
+    return _counted(forest.fit_forest(t, label="y", n_trees=1, limits=forest.Growth(1, resample=False)), t)
+
+
+def q_boost_stump(spark, d):
+    """M8: one boosted tree of depth one with both penalties and a least gain."""
+    from ..operators import boosting
+    t = _stump_frame(spark, d)
+    b = boosting.Boost(1, 0.3, 1, l1=1000.0, l2=500.0, gamma=10.0, min_child=50)
+    return _counted(boosting.fit_boosted(t, b, label="y", bins=256), t)
+
+
 def q_ridge_search(spark, d):
     """H2 on the linear family: sampled candidates, all folds from one pass."""
     from ..operators import search
@@ -728,7 +753,8 @@ def q_score_stream(spark, d):
 QUERIES.update({
     "fliers": q_fliers, "prune_correlated": q_prune_correlated, "feature_names": q_feature_names,
     "pca_share": q_pca_share, "pca_project": q_pca_project, "knn_grid": q_knn_grid,
-    "random_forest": q_random_forest, "gbt": q_gbt, "adaboost_r2": q_adaboost_r2,
+    "random_forest": q_random_forest, "gbt": q_gbt, "adaboost_r2": q_adaboost_r2, "leafwise_boost": q_leafwise_boost,
+    "tree_stump": q_tree_stump, "boost_stump": q_boost_stump,
     "forest_grid": q_forest_grid, "ridge_search": q_ridge_search, "lasso_cv": q_lasso_cv,
     "elastic_net_cv": q_elastic_net_cv, "train_tune_score": q_train_tune_score,
     "score_stream": q_score_stream,
@@ -777,19 +803,27 @@ def q_corr_submatrix(spark, d):
     return m.select("a", "b", _r(F.col("r")).alias("r"))
 
 
-def q_gbt_early_stop(spark, d):
-    """K5 + M8: boosting with a 10% validation part; the tree count with the
-    lowest validation loss is kept (patience semantics), then refit."""
-    from ..operators import trees
+def _early_stopped(spark, d, c):
+    """K5 + M8: one fit with a 10% validation part that stops after ``patience`` trees
+    without a lower validation error; the trees up to the lowest are kept."""
+    from ..operators import boosting
     t = _ml_frame(spark, d)
     # nested split: its own seed, or it would select a subset of the test rows
-    tr = folds.split(_fit_input(t), "Id", 0.10, seed=43, out="is_valid")
-    fit = tr.where("is_valid = 0").cache()
-    m = trees.boosted(label="y", n_trees=30, learning_rate=0.1, max_depth=3).fit(fit)
-    k = trees.best_iteration(m, tr.where("is_valid = 1"), "y")
-    # same seed, no subsampling: the first k trees of a refit are the same trees
-    m = trees.boosted(label="y", n_trees=k, learning_rate=0.1, max_depth=3).fit(fit)
-    return _tree_out(m, t).withColumn("n_trees", F.lit(k))
+    tr = folds.split(t.where("is_test = 0"), "Id", 0.10, seed=43, out="is_valid")
+    b = boosting.Boost(c["n_estimators"], c["learning_rate"], c["max_depth"], l1=c.get("l1", 0.0), l2=c.get("l2", 1.0),
+                       gamma=c.get("gamma", 0.0), min_child=c.get("min_child", 1.0), patience=c["patience"])
+    m = boosting.fit_boosted(tr, b, label="y", key="Id", valid_col="is_valid")
+    return _tree_out(m.first(m.best_iteration), t).withColumn("n_trees", F.lit(m.best_iteration))
+
+
+def q_gbt_early_stop(spark, d):
+    from ..operators.maps import EARLY_STOPPED
+    return _early_stopped(spark, d, EARLY_STOPPED)
+
+
+def q_gbt_early_stop_regularized(spark, d):
+    from ..operators.maps import EARLY_STOPPED_REGULARIZED
+    return _early_stopped(spark, d, EARLY_STOPPED_REGULARIZED)
 
 
 def q_fit_report(spark, d):
@@ -814,6 +848,7 @@ def q_train_tune_score_all_scope(spark, d):
 
 QUERIES.update({"read_fallback": q_read_fallback, "write_predictions": q_write_predictions,
                 "corr_submatrix": q_corr_submatrix, "gbt_early_stop": q_gbt_early_stop,
+                "gbt_early_stop_regularized": q_gbt_early_stop_regularized,
                 "fit_report": q_fit_report, "train_tune_score_all_scope": q_train_tune_score_all_scope})
 
 

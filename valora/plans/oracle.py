@@ -358,8 +358,8 @@ f AS (SELECT DISTINCT fold FROM d),
 s AS (SELECT f.fold, covar_pop(x, y) / stddev_pop(x) AS c, stddev_pop(x) AS sd, avg(x) AS mx, avg(y) AS my
       FROM d JOIN f ON d.fold <> f.fold GROUP BY f.fold),
 r AS (SELECT unnest([0.1, 0.5, 0.7, 0.9, 0.95, 0.99, 1.0]::DOUBLE[]) AS l1_ratio),
-a AS (SELECT r.l1_ratio, t.i, abs(g.c) / r.l1_ratio * pow(10.0, -3.0 * t.i / 19.0) AS alpha
-      FROM (SELECT covar_pop(x, y) / stddev_pop(x) AS c FROM d) g, r, range(20) t(i)),
+a AS (SELECT r.l1_ratio, t.i, abs(g.c) / r.l1_ratio * pow(10.0, -3.0 * t.i / 99.0) AS alpha
+      FROM (SELECT covar_pop(x, y) / stddev_pop(x) AS c FROM d) g, r, range(100) t(i)),
 m AS (SELECT a.l1_ratio, a.i, a.alpha, s.fold, s.mx, s.my,
              sign(s.c) * greatest(abs(s.c) - a.alpha * a.l1_ratio, 0.0) / (1.0 + a.alpha * (1.0 - a.l1_ratio))
              / s.sd AS coef FROM a, s),
@@ -446,3 +446,27 @@ ORACLE["fit_report"] = _BAYES_CTE + """SELECT 'alpha_' AS param, (round(al, 6) +
     UNION ALL SELECT 'n_iter', CAST(k AS DOUBLE) FROM fin
     UNION ALL SELECT 'intercept', (round(my - coef * mx, 6) + 0.0) FROM fin
     UNION ALL SELECT 'p_size', (round(coef, 6) + 0.0) FROM fin"""
+
+
+# One split over every distinct value of three columns: the largest decrease of the
+# squared error (tree), or of the penalised second-order objective (boosting).
+_STUMP = """
+WITH d AS (SELECT l_quantity::DOUBLE AS a, l_discount::DOUBLE AS b, l_tax::DOUBLE AS c, l_extendedprice::DOUBLE / 1000.0 AS y FROM lineitem),
+m AS (SELECT avg(y) AS my, count(*) AS n, sum(y) AS sy FROM d),
+u AS (SELECT f, x, count(*) AS k, sum(y) AS s FROM (
+          SELECT 1 AS f, a AS x, y FROM d UNION ALL SELECT 2, b, y FROM d UNION ALL SELECT 3, c, y FROM d) GROUP BY f, x),
+l AS (SELECT f, x, sum(k) OVER w AS nl, sum(s) OVER w AS sl FROM u WINDOW w AS (PARTITION BY f ORDER BY x)),
+g AS (SELECT f, x, nl, n - nl AS nr, sl - nl * my AS gl, (sy - sl) - (n - nl) * my AS gr, my, n FROM l, m WHERE nl < n),
+"""
+ORACLE["tree_stump"] = _STUMP + """
+v AS (SELECT *, my + gl / nl AS pl, my + gr / nr AS pr FROM g ORDER BY gl * gl / nl + gr * gr / nr DESC, f, x LIMIT 1),
+p AS (SELECT CASE WHEN (CASE v.f WHEN 1 THEN a WHEN 2 THEN b ELSE c END) <= v.x THEN pl ELSE pr END AS p, y FROM d, v)
+SELECT (round(p, 6) + 0.0) AS prediction, count(*) AS n, (round(avg(y), 6) + 0.0) AS mean_y FROM p GROUP BY 1"""
+ORACLE["boost_stump"] = _STUMP + """
+t AS (SELECT *, sign(gl) * greatest(abs(gl) - 1000.0, 0.0) AS tl, sign(gr) * greatest(abs(gr) - 1000.0, 0.0) AS tr
+      FROM g WHERE nl >= 50 AND nr >= 50),
+v AS (SELECT *, tl * tl / (nl + 500.0) + tr * tr / (nr + 500.0) AS gain FROM t ORDER BY gain DESC, f, x LIMIT 1),
+p AS (SELECT v.my + CASE WHEN v.gain <= 10.0 THEN 0.0
+                         WHEN (CASE v.f WHEN 1 THEN a WHEN 2 THEN b ELSE c END) <= v.x THEN 0.3 * tl / (nl + 500.0)
+                         ELSE 0.3 * tr / (nr + 500.0) END AS p, y FROM d, v)
+SELECT (round(p, 6) + 0.0) AS prediction, count(*) AS n, (round(avg(y), 6) + 0.0) AS mean_y FROM p GROUP BY 1"""

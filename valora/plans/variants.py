@@ -8,14 +8,14 @@ model family with its search, and how the winner is chosen."""
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_bucket
-from ..operators import clean, features, folds, linear, maps, metrics, preprocess, search, selection, trees
+from ..operators import (
+    adaboost, boosting, clean, features, folds, forest, linear, maps, metrics, preprocess, search, selection,
+)
 from ..session import ensure_parallelism
 
 _L1_EXTRA = {"log_list": "L1", "interaction": True, "bath_count": True}
@@ -146,7 +146,7 @@ def run_variant(train: DataFrame, score: DataFrame, cfg: dict | str, key: str =
 def _run_ml(train, score, cfg, key, target, seed):
     from ..operators import knn
     ytr, sc, feats, _, kind = _prepare(train, score, cfg, key, target)
-    ytr = ensure_parallelism(preprocess.assemble(ytr, feats)).cache()
+    ytr = ensure_parallelism(preprocess.assemble(ytr, feats).withColumn("__key", F.col(key))).cache()
     sc = preprocess.assemble(sc, feats)
     model = cfg["model"]
     report = {"variant": cfg, "n_features": len(feats)}
@@ -212,66 +212,51 @@ def _tree_rmse(scored: DataFrame, target: str, kind: str):
     return metrics.regression_metrics(scored.select(target, p.alias("p")), target, "p").first()["rmse"]
 
 
-def _forest(c: dict, seed: int):
-    return trees.forest(label="__y", n_trees=c["numTrees"], max_depth=c["maxDepth"], min_leaf=c["minInstancesPerNode"],
-                        max_features=c.get("featureSubsetStrategy"), seed=seed)
+def _growth(c: dict) -> forest.Growth:
+    return forest.Growth(c["maxDepth"], c["minInstancesPerNode"], max_features=c.get("featureSubsetStrategy"))
 
 
-def _boosted(c: dict, seed: int):
-    return trees.boosted(label="__y", n_trees=c["n_estimators"], learning_rate=c["learning_rate"],
-                         max_depth=c["max_depth"], subsample=c["subsample"], colsample=c["colsample"], seed=seed)
+def _boost(c: dict, seed: int) -> boosting.Boost:
+    return boosting.Boost(c["n_estimators"], c["learning_rate"], c["max_depth"], c.get("num_leaves"), c["subsample"],
+                          c["colsample"] or 1.0, c.get("l1", 0.0), c.get("l2", 1.0), min_child=c.get("min_child", 1.0), seed=seed)
 
 
-class _AdaBoost:
-    """AdaBoost.R2 with the fit method of an MLlib estimator."""
+class _Fit:
+    """A model of a family with given parameters, to be fitted on the rows of
+    ``_run_ml`` (``features``, ``__y``, ``__key``)."""
 
-    def __init__(self, c: dict, seed: int):
-        self.c, self.seed = c, seed
+    def __init__(self, fit):
+        self.fit = fit
 
-    def fit(self, df: DataFrame):
-        return trees.adaboost_r2(df, "features", "__y", seed=self.seed, **self.c)
 
+def _forest(c: dict, seed: int) -> _Fit:
+    return _Fit(lambda df: forest.fit_forest(df, label="__y", key="__key", n_trees=c["numTrees"], limits=_growth(c), seed=seed))
 
-def _cross_validated(df: DataFrame, make, k: int, seed: int):
-    """Mean RMSE over ``k`` folds of each candidate by MLlib's CrossValidator."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.tuning import CrossValidator
 
-    def evaluate(cands: list[dict]) -> list[float]:
-        est = make(cands[0], seed)
-        skip = {"foldCol"}
-        maps_ = [{est.getParam(p.name): v for p, v in make(c, seed).extractParamMap().items() if p.name not in skip}
-                 for c in cands]
-        cv = CrossValidator(estimator=est, estimatorParamMaps=maps_, numFolds=k, parallelism=4, seed=seed,
-                            evaluator=RegressionEvaluator(labelCol="__y", metricName="rmse"), foldCol="__fold")
-        return list(cv.fit(df).avgMetrics)
-    return evaluate
+def _boosted(c: dict, seed: int) -> _Fit:
+    return _Fit(lambda df: boosting.fit_boosted(df, _boost(c, seed), label="__y", key="__key"))
 
 
-def _fold_by_fold(df: DataFrame, make, k: int, seed: int):
-    """The same for models that aren't MLlib estimators."""
-    from pyspark import inheritable_thread_target
+def _adaboosted(c: dict, seed: int) -> _Fit:
+    return _Fit(lambda df: adaboost.fit_adaboost(df, adaboost.Ada(**c), label="__y", key="__key"))
 
-    def one(job: tuple[dict, int]) -> float:
-        c, f = job
-        scored = make(c, seed).fit(df.where(F.col("__fold") != f)).transform(df.where(F.col("__fold") == f))
-        return metrics.regression_metrics(scored.select("__y", "prediction"), "__y", "prediction").first()["rmse"]
 
-    def evaluate(cands: list[dict]) -> list[float]:
-        jobs = [(c, f) for c in cands for f in range(k)]
-        with ThreadPool(4) as pool:
-            got = pool.map(inheritable_thread_target(df.sparkSession)(one), jobs, chunksize=1)
-        if any(s is None for s in got):
-            raise ValueError("a fold without rows: no score to choose by")
-        return [float(np.mean(got[i:i + k])) for i in range(0, len(got), k)]
-    return evaluate
+def _forest_cv(df: DataFrame, make, k: int, seed: int):
+    return lambda cands: forest.cross_validate(df, [forest.Candidate(c["numTrees"], _growth(c)) for c in cands], "__fold", k,
+                                               label="__y", key="__key", seed=seed)
+
+
+def _boosted_cv(df: DataFrame, make, k: int, seed: int):
+    return lambda cands: boosting.cross_validate(df, [_boost(c, seed) for c in cands], "__fold", k, label="__y", key="__key")
+
+
+def _adaboosted_cv(df: DataFrame, make, k: int, seed: int):
+    return lambda cands: adaboost.cross_validate(df, [adaboost.Ada(**c) for c in cands], "__fold", k, label="__y", key="__key")
 
 
 _TREES = {
-    "forest_grid": {"cv": _cross_validated, "make": _forest, "base": maps.FOREST_BASELINE, "grid": maps.FOREST_GRID},
-    "forest_search": {"cv": _cross_validated, "make": _forest, "base": maps.FOREST_BASELINE,
-                      "space": maps.FOREST_SAMPLED_SPACE},
-    "gbt_search": {"cv": _cross_validated, "make": _boosted, "base": maps.BOOSTED_BASELINE, "space": maps.BOOSTED_SPACE},
-    "adaboost_search": {"cv": _fold_by_fold, "make": _AdaBoost, "base": maps.ADABOOST_BASELINE,
-                        "space": maps.ADABOOST_SPACE},
+    "forest_grid": {"cv": _forest_cv, "make": _forest, "base": maps.FOREST_BASELINE, "grid": maps.FOREST_GRID},
+    "forest_search": {"cv": _forest_cv, "make": _forest, "base": maps.FOREST_BASELINE, "space": maps.FOREST_SAMPLED_SPACE},
+    "gbt_search": {"cv": _boosted_cv, "make": _boosted, "base": maps.BOOSTED_BASELINE, "space": maps.BOOSTED_SPACE},
+    "adaboost_search": {"cv": _adaboosted_cv, "make": _adaboosted, "base": maps.ADABOOST_BASELINE, "space": maps.ADABOOST_SPACE},
 }
