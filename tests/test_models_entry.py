@@ -87,3 +87,21 @@ def test_gbt_validation_curve(spark):
     curve = trees.validation_curve(m, df, "y")
     assert len(curve) == 4 and curve[-1] < curve[0]
     assert trees.best_iteration(m, df, "y") == int(np.argmin(curve)) + 1
+
+
+def test_knn_blocks_settle_ties_and_skip_far_blocks(spark):
+    """Many equal distances, several blocks, both metrics, string keys."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.integers(0, 4, (300, 3)), rng.integers(0, 4, (60, 3)) + 1000]).astype(float)
+    rows = [(f"k{i:04d}", [float(v) for v in r], float(i % 7)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id string, v array<double>, y double")
+    for metric in ("euclidean", "manhattan"):
+        got = knn.knn_neighbours(df, df, "id", "v", "y", 6, metric, chunk_bytes=40 * 40)
+        have = {}
+        for r in got.collect():
+            have.setdefault(r["id"], []).append((r["nb_rank"], r["nb_key"], r["dist"], r["nb_label"]))
+        for i, (name, v, _) in enumerate(rows):
+            diff = x - np.array(v)
+            dist = np.abs(diff).sum(axis=1) if metric == "manhattan" else np.sqrt((diff ** 2).sum(axis=1))
+            want = sorted((d, rows[j][0], rows[j][2]) for j, d in enumerate(dist))[:6]
+            assert [(d, k, y) for _, k, d, y in sorted(have[name])] == want

@@ -1,21 +1,28 @@
 """k-nearest-neighbour regression (M11), exact.
 
-No pair table is ever materialised and nothing passes through the driver:
-the base (reference) rows are written once to the shared checkpoint folder
-as files of bounded size; every query task streams those files, scores its
-rows in vectorised numpy and keeps a running top-k per query.  Work is the
-inherent n x m x d of exact search, spread over all query partitions; memory
-per task is one chunk plus the task's queries."""
+Both sides are packed by Spark into matrices of bounded size, of rows that lie
+close along one direction, and met block by block; no row pair is ever a row of
+a table, and nothing passes through the driver.  For a pair of blocks one matrix
+product gives all squared distances; the rows that can be among the nearest,
+with a margin for rounding, are measured again exactly, so zeros and ties at the
+k-th distance are settled as by plain subtraction.  A block whose centre is
+farther from a query than its radius plus the query's k-th distance so far is
+skipped (triangle inequality).  A task keeps a running top-k of the queries in
+hand and sends on at most k rows a query."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import hash_bucket
-from ..session import ensure_parallelism
+from ..session import cut_lineage, ensure_parallelism
+
+#: Cells of a distance matrix held at a time, and rows of a block.
+_CELLS, _BLOCK_ROWS = 4 << 20, 8192
 
 
 def _vectors(df: DataFrame, vec: str) -> DataFrame:
@@ -26,98 +33,136 @@ def _vectors(df: DataFrame, vec: str) -> DataFrame:
     return df.withColumn(vec, F.col(vec).cast("array<double>"))
 
 
-def _list_parquet(spark, path: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    jp = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(str(st.getPath().toString()) for st in fs.listStatus(jp)
-                  if st.getPath().getName().endswith(".parquet"))
-
-
-def _read_chunk(uri: str):
-    import pyarrow.fs as pafs
-    import pyarrow.parquet as pq
-    fs, path = pafs.FileSystem.from_uri(uri)
-    return pq.read_table(path, filesystem=fs)
+def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Row by row."""
+    return np.abs(a - b).sum(axis=1) if metric == "manhattan" else np.sqrt(((a - b) ** 2).sum(axis=1))
+
+
+def _packed(rows: DataFrame, d: int, block_rows: int, metric: str) -> DataFrame:
+    """Rows (key, x array, y double) as blocks (id, keys, x, y, centre, radius), the
+    matrices as bytes; rows are dealt by range along one direction."""
+    spark = rows.sparkSession
+    key = rows.schema["key"].dataType.simpleString()
+    # the direction (1, 1/2, 1/3, ...): any would do
+    along = F.aggregate(F.transform("x", lambda v, i: v / (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.withColumn("__along", along).repartitionByRange(parts, "__along", "key").sortWithinPartitions("__along", "key").drop("__along")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for at in range(0, batch.num_rows, block_rows):
+                part = batch.slice(at, block_rows)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, d)
+                centre = x.mean(axis=0)
+                far = _distances(x, centre[None, :], metric).max()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number]), pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0)),
+                     pa.array([x.tobytes()]), pa.array([part.column(2).to_numpy(zero_copy_only=False).astype(np.float64).tobytes()]),
+                     pa.array([centre.tobytes()]), pa.array([float(far)])], ["id", "keys", "x", "y", "centre", "radius"])
+                number += 1
+
+    return cut_lineage(dealt.mapInArrow(pack, f"id long, keys array<{key}>, x binary, y binary, centre binary, radius double"))
+
+
+def _sortable(values: pa.Array) -> np.ndarray:
+    out = values.to_numpy(zero_copy_only=False)
+    return out.astype(str) if out.dtype == object else out
+
+
+class _Nearest:
+    """Running top-k of the queries of a block."""
+
+    def __init__(self, keys: pa.Array, x: np.ndarray, k: int, metric: str):
+        self.keys, self.x, self.k, self.metric = keys, x, k, metric
+        self.kth = np.full(len(x), np.inf)
+        self.row = np.zeros(0, np.int64)  # query, distance, base key, label of what is kept
+        self.dist, self.base, self.label = np.zeros(0), None, np.zeros(0)
+        self.norm = (x * x).sum(axis=1)
+
+    def meet(self, keys: np.ndarray, b: np.ndarray, y: np.ndarray, centre: np.ndarray, radius: float) -> None:
+        reach = _distances(self.x, centre[None, :], self.metric) - radius
+        # a little slack for rounding, and ties at the k-th distance stay in; NaN never is skipped
+        want = np.flatnonzero(~(reach * (1 - 1e-9) - 1e-12 > self.kth))
+        found = [self._candidates(want[i:i + s], b) for s in [max(1, _CELLS // len(b))] for i in range(0, len(want), s)]
+        if not found:
+            return
+        i, j = (np.concatenate(v) for v in zip(*found, strict=True))
+        step = max(1, _CELLS // max(1, b.shape[1]))
+        dist = np.concatenate([_distances(self.x[i[q:q + step]], b[j[q:q + step]], self.metric) for q in range(0, len(i), step)] or [np.zeros(0)])
+        row, dist = np.concatenate([self.row, i]), np.concatenate([self.dist, dist])
+        base = keys[j] if self.base is None else np.concatenate([self.base, keys[j]])
+        label = np.concatenate([self.label, y[j]])
+        order = np.lexsort((base, dist, row))
+        row = row[order]
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+        rank = np.arange(len(row)) - np.repeat(starts, np.diff(np.r_[starts, len(row)]))
+        keep = rank < self.k
+        self.row, order = row[keep], order[keep]
+        self.dist, self.base, self.label = dist[order], base[order], label[order]
+        last = rank[keep] == self.k - 1
+        self.kth[self.row[last]] = self.dist[last]
+
+    def _candidates(self, rows: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, base row) of all that may be among the nearest."""
+        x, k = self.x[rows], min(self.k, len(b))
+        if self.metric == "manhattan":
+            near = np.zeros((len(x), len(b)))
+            for f in range(b.shape[1]):
+                near += np.abs(x[:, f, None] - b[None, :, f])
+            bound, slack = self.kth[rows], 1e-9 * (1 + np.abs(x).sum(axis=1) + np.abs(b).sum(axis=1).max())
+        else:
+            norm = (b * b).sum(axis=1)
+            near = self.norm[rows, None] + norm[None, :] - 2 * (x @ b.T)
+            bound, slack = self.kth[rows] ** 2, 1e-9 * (1 + self.norm[rows] + norm.max())
+        kth = np.partition(near, k - 1, axis=1)[:, k - 1]
+        at = np.flatnonzero(near <= (np.minimum(kth, bound) + slack)[:, None])
+        i, j = np.divmod(at, len(b))
+        return rows[i], j
+
+    def batch(self) -> pa.RecordBatch:
+        base = self.base if self.base is not None else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays(
+            [self.keys.take(pa.array(self.row)), pa.array(base), pa.array(self.label), pa.array(self.dist)], ["key", "nb_key", "nb_label", "dist"])
 
 
 def knn_neighbours(query: DataFrame, base: DataFrame, key: str, vec: str, label: str,
-                   k: int = 10, metric: str = "euclidean", chunk_bytes: int = 64 << 20,
+                   k: int = 10, metric: str = "euclidean", chunk_bytes: int = 1 << 20,
                    base_key: str | None = None) -> DataFrame:
     """Top-``k`` base rows per query row: ``(key, nb_key, nb_label, dist, nb_rank)``,
-    ties broken by the base key (deterministic).
-
-    The base side is written once to the shared checkpoint folder as files
-    of at most ``chunk_bytes`` of vectors; every query task streams those
-    files from storage (never through the driver) and keeps a running top-k
-    per query.  One pass over the queries, memory = one chunk + the task's
-    queries, no pair table."""
-    from ..session import owned_path
+    ties broken by the base key (deterministic).  A block holds at most
+    ``chunk_bytes`` of vectors; a task one block of either side and the top-k."""
     base_key = base_key or key
-    spark = query.sparkSession
-    q = ensure_parallelism(_vectors(query.select(key, vec), vec))
-    b = _vectors(base.select(F.col(base_key).alias("__bk"), vec, F.col(label).cast("double").alias("__bl")), vec)
-    stats = b.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    q = _vectors(query.select(F.col(key).alias("key"), F.col(vec).alias("x")), "x").withColumn("y", F.lit(0.0))
+    b = _vectors(base.select(F.col(base_key).alias("key"), F.col(vec).alias("x"), F.col(label).cast("double").alias("y")), "x")
+    stats = b.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).first()
     if not stats["n"]:
         raise ValueError("empty base table")
-    n_chunks = max(1, int(np.ceil(stats["n"] * 8 * (int(stats["d"]) + 2) / chunk_bytes)))
-    path = owned_path(spark, "knn-base")
-    (b.repartition(n_chunks, hash_bucket("__bk", n_chunks, 7)).write.mode("error")
-     .option("maxRecordsPerFile", max(1, chunk_bytes // (8 * (int(stats["d"]) + 2)))).parquet(path))
-    files = _list_parquet(spark, path)  # file names only
-    key_type = query.schema[key].dataType.simpleString()
-    bk_type = base.schema[base_key].dataType.simpleString()
-    out_schema = f"{key} {key_type}, nb_key {bk_type}, nb_label double, dist double"
-    nb = q.mapInPandas(_scorer(files, key, vec, k, metric), out_schema)
-    w = Window.partitionBy(key).orderBy("dist", "nb_key")  # <= k rows per key
-    return nb.withColumn("nb_rank", F.row_number().over(w))
-
-
-def _scorer(files, key, vec, k, metric):
-    def run(batches):
-        pdfs = [p for p in batches if not p.empty]
-        if not pdfs:
-            return
-        keys = np.concatenate([p[key].to_numpy() for p in pdfs])
-        Q = np.stack(np.concatenate([p[vec].to_numpy() for p in pdfs])).astype(np.float64)
-        nq = len(Q)
-        best_d = np.full((nq, 0), np.inf)
-        best_id = np.empty((nq, 0), dtype=object)
-        best_l = np.empty((nq, 0))
-        for f in files:
-            t = _read_chunk(f)
-            if t.num_rows == 0:
-                continue
-            bv = np.stack(t.column(vec).to_numpy(zero_copy_only=False)).astype(np.float64)
-            bid = np.asarray(t.column("__bk").to_pylist(), dtype=object)
-            bl = t.column("__bl").to_numpy(zero_copy_only=False).astype(np.float64)
-            step = max(1, int(8_000_000 // max(len(bid) * bv.shape[1], 1)))  # bounded scratch
-            nd, ni, nl = [], [], []
-            for s in range(0, nq, step):
-                Qs = Q[s:s + step]
-                if metric == "manhattan":
-                    D = np.abs(Qs[:, None, :] - bv[None, :, :]).sum(axis=2)
-                else:
-                    D = np.sqrt(((Qs[:, None, :] - bv[None, :, :]) ** 2).sum(axis=2))
-                D = np.concatenate([best_d[s:s + step], D], axis=1)
-                I = np.concatenate([best_id[s:s + step], np.tile(bid, (len(Qs), 1))], axis=1)
-                L = np.concatenate([best_l[s:s + step], np.tile(bl, (len(Qs), 1))], axis=1)
-                kk = min(k, D.shape[1])
-                rd, ri, rl = np.empty((len(Qs), kk)), np.empty((len(Qs), kk), dtype=object), np.empty((len(Qs), kk))
-                for i in range(len(Qs)):
-                    # the k smallest by (distance, base key); ties at the k-th distance kept exact
-                    kth = np.partition(D[i], kk - 1)[kk - 1] if kk < D.shape[1] else np.inf
-                    cand = np.nonzero(D[i] <= kth)[0]
-                    order = sorted(cand, key=lambda c: (D[i, c], I[i, c]))[:kk]
-                    rd[i], ri[i], rl[i] = D[i, order], I[i, order], L[i, order]
-                nd.append(rd)
-                ni.append(ri)
-                nl.append(rl)
-            best_d, best_id, best_l = np.concatenate(nd), np.concatenate(ni), np.concatenate(nl)
-        kk = best_d.shape[1]
-        yield pd.DataFrame({key: np.repeat(keys, kk), "nb_key": best_id.ravel().tolist(),
-                            "nb_label": best_l.ravel(), "dist": best_d.ravel()})
-    return run
+    d = int(stats["d"])
+    rows = max(1, min(_BLOCK_ROWS, chunk_bytes // (8 * (d + 2))))
+    key_type, bk_type = (f.schema["key"].dataType.simpleString() for f in (q, b))
+    queries = ensure_parallelism(_packed(q, d, rows, metric).select("id", F.col("keys").alias("q_keys"), F.col("x").alias("q_x")))
+    blocks = _packed(b, d, rows, metric).select("keys", "x", "y", "centre", "radius")
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        for batch in batches:
+            for number, q_keys, q_x, keys, x, y, centre, radius in zip(*batch.columns, strict=True):
+                if number.as_py() != at:
+                    if held is not None:
+                        yield held.batch()
+                    at, held = number.as_py(), _Nearest(q_keys.values, np.frombuffer(q_x.as_buffer()).reshape(-1, d), k, metric)
+                held.meet(_sortable(keys.values), np.frombuffer(x.as_buffer()).reshape(-1, d), np.frombuffer(y.as_buffer()),
+                          np.frombuffer(centre.as_buffer()), radius.as_py())
+        if held is not None:
+            yield held.batch()
+
+    # a query block meets every base block: blocks, not rows
+    found = queries.crossJoin(blocks).mapInArrow(nearest, f"key {key_type}, nb_key {bk_type}, nb_label double, dist double")
+    w = Window.partitionBy("key").orderBy("dist", "nb_key")  # at most k rows a key and task
+    return (found.withColumn("nb_rank", F.row_number().over(w)).where(F.col("nb_rank") <= k)
+            .withColumnRenamed("key", key))
 
 
 def _predictions(k: int, weights: str):
