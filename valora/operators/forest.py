@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_parallelism, owned_path, stage_table
 
 #: A node of at most so many rows is finished by one task.
-NODE_ROWS = 200_000
+NODE_ROWS = 1 << 19
 #: Bytes of a table, or of trees, that one broadcast may hold.
 BROADCAST_BYTES = 64 << 20
 #: Histogram cells (8 bytes, three sums) that a task holds at a time.
@@ -156,7 +156,7 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, limits: Growth, path: int,
     cols = np.ascontiguousarray(x.T)
     centre = float(np.average(y, weights=w)) if n else 0.0
     wy = w * (y - centre)
-    order = np.argsort(cols, axis=1, kind="stable")
+    order = np.argsort(cols, axis=1, kind="stable").astype(np.int32)
     starts = np.array([0, n])
     subset = limits.subset(p)
     paths = np.array([path], np.uint64)

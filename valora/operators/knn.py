@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, ensure_parallelism
+from ..session import ensure_parallelism, owned_path
 
 #: Cells of a distance matrix held at a time, and rows of a block.
 _CELLS, _BLOCK_ROWS = 4 << 20, 8192
@@ -63,7 +63,9 @@ def _packed(rows: DataFrame, d: int, block_rows: int, metric: str) -> DataFrame:
                      pa.array([centre.tobytes()]), pa.array([float(far)])], ["id", "keys", "x", "y", "centre", "radius"])
                 number += 1
 
-    return cut_lineage(dealt.mapInArrow(pack, f"id long, keys array<{key}>, x binary, y binary, centre binary, radius double"))
+    path = owned_path(spark, "knn-blocks")
+    dealt.mapInArrow(pack, f"id long, keys array<{key}>, x binary, y binary, centre binary, radius double").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _sortable(values: pa.Array) -> np.ndarray:

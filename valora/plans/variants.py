@@ -8,7 +8,10 @@ model family with its search, and how the winner is chosen."""
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,16 +158,20 @@ def _run_ml(train, score, cfg, key, target, seed):
         # components x k x weights x metric by the mean RMSE over shuffled folds of
         # the training rows; the folds' seed is their own, not that of a hold-out
         ytr = ytr.withColumn("__f", hash_bucket(key, int(cfg.get("k", 5)), seed + 1))
-        rows, fitted = [], {}
-        for n in cfg["pca"]:
-            if n > len(feats):  # more components than features: no such point
-                continue
-            pca = fitted[n] = preprocess.Pca("features", n, output_col="__pc").fit(ytr)
-            full = pca.transform(ytr)
-            for f in range(int(cfg.get("k", 5))):
-                got = knn.knn_grid(full.where(F.col("__f") == f), full.where(F.col("__f") != f), key, "__pc", "__y", "__y",
-                                   ks=maps.KNN_NEIGHBORS)
-                rows += [(n, r["metric"], r["k"], r["weights"], r["rmse"]) for r in got.collect()]
+        sizes = [n for n in cfg["pca"] if n <= len(feats)]  # more components than features: no such point
+        fitted = {n: preprocess.Pca("features", n, output_col="__pc").fit(ytr) for n in sizes}
+
+        def points(job: tuple) -> list:
+            n, f = job
+            full = fitted[n].transform(ytr)
+            got = knn.knn_grid(full.where(F.col("__f") == f), full.where(F.col("__f") != f), key, "__pc", "__y", "__y",
+                               ks=maps.KNN_NEIGHBORS)
+            return [(n, r["metric"], r["k"], r["weights"], r["rmse"]) for r in got.collect()]
+
+        # the folds' searches are small jobs of their own: several at a time
+        with ThreadPool(4) as pool:
+            run = inheritable_thread_target(ytr.sparkSession)(points)
+            rows = [r for got in pool.map(run, [(n, f) for n in sizes for f in range(int(cfg.get("k", 5)))], chunksize=1) for r in got]
         if any(r[-1] is None for r in rows):
             raise ValueError("a fold without rows: no score to choose by")
         mean: dict = {}
