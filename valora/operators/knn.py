@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_parallelism, owned_path
 
 #: Cells of a distance matrix held at a time, and rows of a block.
-_CELLS, _BLOCK_ROWS = 4 << 20, 8192
+_CELLS, _BLOCK_ROWS = 1 << 17, 8192
 
 
 def _vectors(df: DataFrame, vec: str) -> DataFrame:
@@ -87,11 +87,14 @@ class _Nearest:
         reach = _distances(self.x, centre[None, :], self.metric) - radius
         # a little slack for rounding, and ties at the k-th distance stay in; NaN never is skipped
         want = np.flatnonzero(~(reach * (1 - 1e-9) - 1e-12 > self.kth))
-        found = [self._candidates(want[i:i + s], b) for s in [max(1, _CELLS // len(b))] for i in range(0, len(want), s)]
+        columns = np.ascontiguousarray(b.T)
+        norm = np.abs(b).sum(axis=1) if self.metric == "manhattan" else (b * b).sum(axis=1)
+        tile = max(1, _CELLS // len(b))
+        found = [self._candidates(want[at:at + tile], b, columns, norm) for at in range(0, len(want), tile)]
         if not found:
             return
         i, j = (np.concatenate(v) for v in zip(*found, strict=True))
-        step = max(1, _CELLS // max(1, b.shape[1]))
+        step = max(1, 8 * _CELLS // max(1, b.shape[1]))
         dist = np.concatenate([_distances(self.x[i[q:q + step]], b[j[q:q + step]], self.metric) for q in range(0, len(i), step)] or [np.zeros(0)])
         row, dist = np.concatenate([self.row, i]), np.concatenate([self.dist, dist])
         base = keys[j] if self.base is None else np.concatenate([self.base, keys[j]])
@@ -106,17 +109,21 @@ class _Nearest:
         last = rank[keep] == self.k - 1
         self.kth[self.row[last]] = self.dist[last]
 
-    def _candidates(self, rows: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, base row) of all that may be among the nearest."""
+    def _candidates(self, rows: np.ndarray, b: np.ndarray, columns: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, base row) of all that may be among the nearest; ``norm`` by base row:
+        its squared length, or its length in the metric."""
         x, k = self.x[rows], min(self.k, len(b))
         if self.metric == "manhattan":
-            near = np.zeros((len(x), len(b)))
-            for f in range(b.shape[1]):
-                near += np.abs(x[:, f, None] - b[None, :, f])
-            bound, slack = self.kth[rows], 1e-9 * (1 + np.abs(x).sum(axis=1) + np.abs(b).sum(axis=1).max())
+            near, one = np.zeros((len(x), len(b))), np.empty((len(x), len(b)))
+            for f in range(b.shape[1]):  # tiles that stay in a core's cache
+                np.subtract(x[:, f, None], columns[f][None, :], out=one)
+                np.abs(one, out=one)
+                near += one
+            bound, slack = self.kth[rows], 1e-9 * (1 + np.abs(x).sum(axis=1) + norm.max())
         else:
-            norm = (b * b).sum(axis=1)
-            near = self.norm[rows, None] + norm[None, :] - 2 * (x @ b.T)
+            near = (-2.0 * x) @ columns
+            near += self.norm[rows, None]
+            near += norm[None, :]
             bound, slack = self.kth[rows] ** 2, 1e-9 * (1 + self.norm[rows] + norm.max())
         kth = np.partition(near, k - 1, axis=1)[:, k - 1]
         at = np.flatnonzero(near <= (np.minimum(kth, bound) + slack)[:, None])
