@@ -878,3 +878,38 @@ def q_outlier_eda(spark, d):
 
 
 QUERIES.update({"correlation_eda": q_correlation_eda, "outlier_eda": q_outlier_eda})
+
+
+# ------------------------------------------------------------------ wide sparse designs
+def q_sparse_ridge(spark, d):
+    """T5 + M2: one-hot of every part number, ridge by conjugate gradients."""
+    from ..operators import sparse
+    li = _t(spark, d, "lineitem").select("l_partkey", (F.col("l_extendedprice") / 1000.0).alias("y"))
+    design = sparse.fit_design(li, categorical=["l_partkey"])
+    m, = sparse.fit_sparse_ridge(sparse.stage_rows(li, design, "y"), design, [5.0])
+    return m.level_effects().select(F.col("level").cast("long").alias("l_partkey"), "n",
+                                    _r(F.col("coef"), 6).alias("coef"), _r(F.lit(m.intercept), 6).alias("intercept"))
+
+
+def q_sparse_ridge_search(spark, d):
+    """T5 + H1: the same design, penalties x 5 folds from shared passes."""
+    from ..operators import sparse
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey",
+                                         (F.col("l_extendedprice") / 1000.0).alias("y"))
+    li = li.withColumn("fold", hash_bucket(_li_key(), 5))
+    s = sparse.search_sparse_ridge(li, "y", "fold", [0.5, 5.0, 50.0, 500.0], categorical=["l_partkey"])
+    return s.select("alpha", "fold", "n", _r(F.col("rmse"), 6).alias("rmse"))
+
+
+def q_sparse_polynomial(spark, d):
+    """Degree 2 over numbers and one-hots together, terms made in the tasks."""
+    from ..operators import sparse
+    li = _t(spark, d, "lineitem").withColumn("fold", hash_bucket(_li_key(), 3)).withColumn(
+        "y", F.col("l_extendedprice") / 1000.0)
+    s = sparse.search_sparse_ridge(li, "y", "fold", [1.0, 100.0], numeric=["l_quantity", "l_discount", "l_tax"],
+                                   categorical=["l_returnflag", "l_linestatus"], degree=2, tol=1e-8)
+    return s.select("alpha", "fold", "n", _r(F.col("rmse"), 4).alias("rmse"))
+
+
+QUERIES.update({"sparse_ridge": q_sparse_ridge, "sparse_ridge_search": q_sparse_ridge_search,
+                "sparse_polynomial": q_sparse_polynomial})

@@ -470,3 +470,20 @@ p AS (SELECT v.my + CASE WHEN v.gain <= 10.0 THEN 0.0
                          WHEN (CASE v.f WHEN 1 THEN a WHEN 2 THEN b ELSE c END) <= v.x THEN 0.3 * tl / (nl + 500.0)
                          ELSE 0.3 * tr / (nr + 500.0) END AS p, y FROM d, v)
 SELECT (round(p, 6) + 0.0) AS prediction, count(*) AS n, (round(avg(y), 6) + 0.0) AS mean_y FROM p GROUP BY 1"""
+
+# Ridge on the one-hot of one column in closed form: with the intercept b free of penalty,
+# w_l = n_l (mean_l - b) / (n_l + a) and b balances n_l a / (n_l + a) (mean_l - b).
+ORACLE["sparse_ridge"] = f"""
+WITH g AS (SELECT l_partkey, count(*) AS n, avg(l_extendedprice / 1000.0) AS m FROM lineitem GROUP BY l_partkey),
+b AS (SELECT sum(n * 5.0 / (n + 5.0) * m) / sum(n * 5.0 / (n + 5.0)) AS b FROM g)
+SELECT l_partkey, n, {_r('n * (m - b) / (n + 5.0)')} AS coef, {_r('b')} AS intercept FROM g, b"""
+ORACLE["sparse_ridge_search"] = f"""
+WITH d AS (SELECT l_partkey, l_extendedprice / 1000.0 AS y, {_h('(l_orderkey * 8 + l_linenumber)', 5)} AS fold FROM lineitem),
+c AS (SELECT unnest([0.5, 5.0, 50.0, 500.0])::DOUBLE AS alpha),
+k AS (SELECT DISTINCT fold FROM d),
+g AS (SELECT k.fold, l_partkey, count(*) AS n, avg(y) AS m FROM d JOIN k ON d.fold <> k.fold GROUP BY k.fold, l_partkey),
+b AS (SELECT alpha, fold, sum(n * alpha / (n + alpha) * m) / sum(n * alpha / (n + alpha)) AS b FROM g, c GROUP BY alpha, fold)
+SELECT b.alpha, b.fold, count(*) AS n,
+       {_r('sqrt(avg(power(d.y - b.b - coalesce(g.n * (g.m - b.b) / (g.n + b.alpha), 0.0), 2)))')} AS rmse
+FROM d JOIN b ON d.fold = b.fold LEFT JOIN g ON g.fold = d.fold AND g.l_partkey = d.l_partkey
+GROUP BY b.alpha, b.fold"""
