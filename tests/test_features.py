@@ -102,3 +102,25 @@ def test_outlier_report_counts(spark):
     df = spark.createDataFrame([(1.0, 1), (5000.0, 2), (None, 9)], "UsableArea double, OverallQuality int")
     r = clean.outlier_report(df, {"cap": ~(F.col("UsableArea") < 4000), "rule": F.col("OverallQuality") < 3}).first()
     assert (r.n_rows, r.n_cap, r.n_rule, r.n_removed, r.n_kept) == (3, 1, 2, 2, 1)
+
+
+def test_keep_originals_leaves_every_column_as_it_was(spark):
+    df = spark.createDataFrame(
+        [(1, "Ex", 0, 1990, 2008, 5.0, None), (2, None, 2000, 1990, 2008, None, 3.0)],
+        "Id int, KitchenQuality string, RenovationYear int, ConstructionYear int, YearSold int, LandArea double, "
+        "ScreenPorchArea double")
+    out = features.engineer(df, {"suffix": "_New", "log_list": "L2", "interaction": True})
+    assert [tuple(r)[:7] for r in out.orderBy("Id").collect()] == [tuple(r) for r in df.orderBy("Id").collect()]
+    assert out.columns[7:] == ["TotalPorchArea_New", "KitchenQuality_Mapped", "HouseAge_New", "YearsSinceModification_New",
+                               "LandArea_Log"]
+    assert [(r.YearsSinceModification_New, r.TotalPorchArea_New) for r in out.orderBy("Id").collect()] == [(18, 0.0), (8, 3.0)]
+    none = features.engineer(df.drop("ScreenPorchArea"), {"suffix": "_New"})
+    assert "TotalPorchArea_New" not in none.columns  # no part, no constant column
+
+
+def test_options_without_repair_and_short_log_list(spark):
+    df = spark.createDataFrame([(1, 0, 1990, 2008, 5.0, 7.0)],
+                               "Id int, RenovationYear int, ConstructionYear int, YearSold int, LandArea double, ParkingArea double")
+    out = features.engineer(df, {"repair": False, "log_list": "L3", "porch": None}).first().asDict()
+    assert out == {"Id": 1, "HouseAge": 18, "YearsSinceModification": 18,
+                   "LandArea_Log": math.log1p(5.0), "ParkingArea_Log": math.log1p(7.0)}

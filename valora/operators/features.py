@@ -69,15 +69,17 @@ def safe_ratio(df: DataFrame, num: str, den: str, out: str, default: float = 0.0
 
 def age_features(df: DataFrame, sold: str = "YearSold", built: str = "ConstructionYear",
                  renovated: str = "RenovationYear", age_out: str = "HouseAge",
-                 since_out: str = "YearsSinceModification", repair: bool = True) -> DataFrame:
+                 since_out: str = "YearsSinceModification", repair: bool = True,
+                 keep_renovated: bool = False) -> DataFrame:
     """Age at sale; renovation year 0/missing -> construction year;
     years since the later of construction and renovation (``greatest`` skips
-    nulls like ``max(axis=1)``)."""
+    nulls like ``max(axis=1)``).  ``keep_renovated`` leaves the year as it was."""
     out = {age_out: F.col(sold) - F.col(built)}
     ren = F.col(renovated)
     if repair:
         ren = F.coalesce(F.nullif(ren, F.lit(0)), F.col(built))
-        out[renovated] = ren
+        if not keep_renovated:
+            out[renovated] = ren
     out[since_out] = F.col(sold) - F.greatest(F.col(built), ren)
     return df.withColumns(out)
 
@@ -125,46 +127,50 @@ DEFAULT_CONFIG = {
     "porch_drop": True,
     "parking_maps": True,        # E2 parking
     "quality_maps": True,        # E2 exterior/basement/kitchen/heating + functionality/exposure
-    "tree_extra_maps": False,    # E2x lounge/basement height
+    "tree_extra_maps": False,    # E2x: True for lounge and basement height, or a list of columns
     "quality_index": None,       # E16: None, "proper" or "upper_bug"
     "ages": True,                # E8-E10
+    "repair": True,              # E9 (not in every variant)
     "interaction": False,        # E11
     "bath_count": False,         # E12
-    "log_list": "L2",            # E13: "L1" (sources kept), "L2" (sources dropped) or None
+    "log_list": "L2",            # E13: "L1" (sources kept), "L2", "L3" (sources dropped) or None
     "drop_dates": True,          # E14
     "drop_list": [c for c in maps.DROP_LIST if c != "Id"],  # the key stays for scoring
-    "suffix": "",                # E17 keep-originals mode when not empty
+    "suffix": "",                # E17 keep-originals mode when not empty: nothing is dropped or overwritten
 }
 
 
 def engineer(df: DataFrame, config: Mapping | None = None) -> DataFrame:
     """The full property-table feature chain (E1-E17) for one config.
     Train and scoring tables go through the same function; no statistic is
-    computed here, so nothing leaks between them."""
+    computed here, so nothing leaks between them.
+
+    With a ``suffix`` (E17) every original column stays as it was: derived
+    columns end in the suffix, mapped ones in ``_Mapped``, and a log feature is
+    made where the original of that name exists."""
     cfg = dict(DEFAULT_CONFIG, **(config or {}))
     sfx = cfg["suffix"]
+    before = set(df.columns)
     if cfg["basement_merge"] and _has(df, "BasementFacilitySF1", "BasementFacilitySF2",
                                        "BasementFacilityType1", "BasementFacilityType2"):
-        df = zero_fill(df, ["BasementFacilitySF1", "BasementFacilitySF2"])
+        a1, a2 = (F.coalesce(F.col(c), F.lit(0)) for c in ("BasementFacilitySF1", "BasementFacilitySF2"))
         t1 = ordinal_expr("BasementFacilityType1", maps.BASEMENT_TYPE_MAP)
         t2 = ordinal_expr("BasementFacilityType2", maps.BASEMENT_TYPE_MAP)
-        df = df.withColumns({
-            "TotalBasementScore": t1 * F.col("BasementFacilitySF1") + t2 * F.col("BasementFacilitySF2"),
-            "BasementFinishedSF": F.col("BasementFacilitySF1") + F.col("BasementFacilitySF2"),
-        })
+        df = df.withColumns({"TotalBasementScore" + sfx: t1 * a1 + t2 * a2, "BasementFinishedSF" + sfx: a1 + a2})
         if cfg["basement_ratio"]:
-            df = safe_ratio(df, "TotalBasementScore", "BasementFinishedSF", "BasementAvgQuality")
+            df = safe_ratio(df, "TotalBasementScore" + sfx, "BasementFinishedSF" + sfx, "BasementAvgQuality" + sfx)
         if not sfx:
             df = df.drop("BasementFacilityType1", "BasementFacilityType2",
                          "BasementFacilitySF1", "BasementFacilitySF2")
     if cfg["pool"] and _has(df, "SwimmingPoolArea", "PoolQuality"):
         area = F.coalesce(F.col("SwimmingPoolArea"), F.lit(0))
-        df = df.withColumn("TotalPoolScore", ordinal_expr("PoolQuality", maps.POOL_QUALITY_MAP) * area)
+        df = df.withColumn("TotalPoolScore" + sfx, ordinal_expr("PoolQuality", maps.POOL_QUALITY_MAP) * area)
         if not sfx:
             df = df.drop("PoolQuality", "SwimmingPoolArea")
     if cfg["porch"]:
         parts = maps.PORCH_COLUMNS_4 if cfg["porch"] == "4" else maps.PORCH_COLUMNS_3
-        df = sum_columns(df, parts, "TotalPorchArea", drop=cfg["porch_drop"] and not sfx)
+        if not sfx or any(c in before for c in parts):
+            df = sum_columns(df, parts, "TotalPorchArea" + sfx, drop=cfg["porch_drop"] and not sfx)
     spec = {}
     if cfg["parking_maps"]:
         spec.update({c: maps.QUALITY_MAP_5PT for c in maps.PARKING_5PT_COLUMNS})
@@ -174,23 +180,27 @@ def engineer(df: DataFrame, config: Mapping | None = None) -> DataFrame:
         spec["PropertyFunctionality"] = maps.FUNCTIONALITY_MAP
         spec["BasementExposure"] = maps.EXPOSURE_MAP
     if cfg["tree_extra_maps"]:
-        spec.update({c: maps.QUALITY_MAP_5PT for c in maps.TREE_EXTRA_5PT_COLUMNS})
+        extra = maps.TREE_EXTRA_5PT_COLUMNS if cfg["tree_extra_maps"] is True else cfg["tree_extra_maps"]
+        spec.update({c: maps.QUALITY_MAP_5PT for c in extra})
+    if cfg["quality_index"]:
+        df = quality_index(df, out="TotalQualityScore" + sfx, case=cfg["quality_index"], drop=not sfx)
     if spec:
         df = ordinal_encode(df, spec, suffix=("_Mapped" if sfx else ""))
-    if cfg["quality_index"]:
-        df = quality_index(df, case=cfg["quality_index"], drop=not sfx)
     if cfg["ages"] and _has(df, "YearSold", "ConstructionYear", "RenovationYear"):
-        df = age_features(df)
+        df = age_features(df, age_out="HouseAge" + sfx, since_out="YearsSinceModification" + sfx,
+                          repair=cfg["repair"], keep_renovated=bool(sfx))
     if cfg["interaction"] and _has(df, "OverallQuality", "UsableArea"):
-        df = interaction(df, "OverallQuality", "UsableArea", "QualityArea")
+        df = interaction(df, "OverallQuality", "UsableArea", "QualityArea" + sfx)
     if cfg["bath_count"]:
-        df = weighted_count(df, {"FullBaths": 1.0, "HalfBaths": 0.5}, "TotalBathrooms")
-    if cfg["log_list"] == "L1":
-        df = log_features(df, maps.LOG_LIST_L1, keep=True)
-    elif cfg["log_list"] == "L2":
-        df = log_features(df, maps.LOG_LIST_L2, keep=bool(sfx))
-    if cfg["drop_dates"] and not sfx:
-        df = df.drop(*maps.DATE_SOURCE_COLUMNS)
-    if cfg["drop_list"]:
-        df = df.drop(*[c for c in cfg["drop_list"] if c in df.columns])
+        df = weighted_count(df, {"FullBaths": 1.0, "HalfBaths": 0.5}, "TotalBathrooms" + sfx)
+    if cfg["log_list"]:
+        logs = {"L1": maps.LOG_LIST_L1, "L2": maps.LOG_LIST_L2, "L3": maps.LOG_LIST_L3}[cfg["log_list"]]
+        if sfx:
+            logs = [c for c in logs if c in before]
+        df = log_features(df, logs, keep=bool(sfx) or cfg["log_list"] == "L1")
+    if not sfx:
+        if cfg["drop_dates"]:
+            df = df.drop(*maps.DATE_SOURCE_COLUMNS)
+        if cfg["drop_list"]:
+            df = df.drop(*[c for c in cfg["drop_list"] if c in df.columns])
     return df

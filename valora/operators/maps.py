@@ -31,6 +31,7 @@ PORCH_COLUMNS_3 = ["EnclosedVerandaArea", "SeasonalPorchArea", "ScreenPorchArea"
 LOG_LIST_L1 = ["RoadAccessLength", "LandArea", "FacadeArea", "BasementTotalSF", "ParkingArea"]
 LOG_LIST_L2 = ["ParkingConstructionYear", "BasementFinishedSF", "YearsSinceModification",
                "LandArea", "BasementTotalSF", "ParkingArea"]
+LOG_LIST_L3 = ["LandArea", "BasementTotalSF", "ParkingArea"]
 
 # ---- fixed values: drop lists -------------------------------------------------------
 # The reference list lacks a comma between 'PropertyClass' and 'BasementHalfBaths', so it
@@ -39,7 +40,7 @@ DROP_LIST = ["Id", "BoundaryFence", "ExtraFacility", "ServiceLaneType", "Propert
              "BasementHalfBaths", "LowQualityArea", "FacadeType"]
 DROP_LIST_PARITY = ["Id", "BoundaryFence", "ExtraFacility", "ServiceLaneType",
                     "PropertyClassBasementHalfBaths", "LowQualityArea", "FacadeType"]
-MULTICOLLINEAR_DROP = ["ParkingArea", "GroundFloorArea", "TotalRooms", "UpperFloorArea"]
+MULTICOLLINEAR_DROP = ["BasementFinishedSF", "UsableArea", "FullBaths", "RoadAccessLength"]
 DATE_SOURCE_COLUMNS = ["ConstructionYear", "RenovationYear", "YearSold", "MonthSold"]
 
 # ---- fixed values: targeted zero-impute list --------------------------------------

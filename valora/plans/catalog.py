@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_bucket, ordinal_expr
-from ..operators import clean, explore, features, folds, linear, metrics, preprocess
+from ..operators import clean, explore, features, folds, linear, maps, metrics, preprocess
 from ..session import ensure_checkpoint_dir
 from ..sources import io
 
@@ -853,12 +853,44 @@ QUERIES.update({"read_fallback": q_read_fallback, "write_predictions": q_write_p
 
 
 # ------------------------------------------------------------------ the two EDA workflows
+def _whole_chain(spark, d, config):
+    """Every feature operator at once, numbers rounded."""
+    from .workflow import wide_property_table
+    t = features.engineer(wide_property_table(spark, d), config)
+    return t.select(*[_r(F.col(f.name).cast("double")).alias(f.name) if f.dataType.typeName() != "string"
+                      else F.col(f.name) for f in t.schema])
+
+
+def q_engineer_default(spark, d):
+    """E1-E10, E13, E14 with the default config, the key's table in and out."""
+    return _whole_chain(spark, d, None)
+
+
+def q_engineer_options(spark, d):
+    """Three porch parts, no basement ratio, no renovation repair, L3, the
+    quality index, bath count, interaction; correlated columns pruned (P3)."""
+    t = _whole_chain(spark, d, {"porch": "3", "basement_ratio": False, "repair": False, "log_list": "L3",
+                                "quality_index": "proper", "interaction": True, "bath_count": True,
+                                "quality_maps": False, "parking_maps": False, "tree_extra_maps": ["BasementHeight"]})
+    return clean.drop_columns(t, maps.MULTICOLLINEAR_DROP)
+
+
+def q_engineer_keep_originals(spark, d):
+    """Derived columns beside untouched originals."""
+    return _whole_chain(spark, d, _KEEP_ORIGINALS)
+
+
+_KEEP_ORIGINALS = {"log_list": "L2", "tree_extra_maps": ["BasementHeight"], "suffix": "_New"}
+
+
 def q_correlation_eda(spark, d):
-    """Correlation workflow: features in keep-originals mode (E17), log
+    """Correlation workflow: rows trimmed by target quantiles, area and quality
+    (P5-P7), features in keep-originals mode (E17), log
     target, numeric columns only (A5), ranked by |r| with the target (A2)."""
-    from .workflow import property_table
-    t = property_table(spark, d)
-    t = features.engineer(t, {"log_list": "L1", "interaction": True, "suffix": "_New"})
+    from .workflow import wide_property_table
+    t = clean.clean_rows(wide_property_table(spark, d), "HotelValue", maps.TARGET_TRIM, "UsableArea",
+                         maps.USABLE_AREA_CAP, clean.exclusion_rule("c"))
+    t = features.engineer(t, _KEEP_ORIGINALS)
     t = t.withColumn("HotelValue_Log", features.target_forward("HotelValue")).drop("HotelValue")
     num, _ = clean.columns_by_role(t, exclude=["Id"])
     r = explore.corr_rank(t, num, "HotelValue_Log")
@@ -877,7 +909,9 @@ def q_outlier_eda(spark, d):
                                         ["q1", "median", "q3", "whisker_lo", "whisker_hi"]], "n", "n_fliers")
 
 
-QUERIES.update({"correlation_eda": q_correlation_eda, "outlier_eda": q_outlier_eda})
+QUERIES.update({"correlation_eda": q_correlation_eda, "outlier_eda": q_outlier_eda,
+                "engineer_default": q_engineer_default, "engineer_options": q_engineer_options,
+                "engineer_keep_originals": q_engineer_keep_originals})
 
 
 # ------------------------------------------------------------------ wide sparse designs

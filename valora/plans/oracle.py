@@ -392,28 +392,122 @@ UNION ALL
 SELECT metric, CAST(k AS INTEGER) AS k, 'distance' AS weights, {_r('sqrt(avg((pd - y) ^ 2))')} AS rmse
 FROM p GROUP BY metric, k"""
 
-# Correlation EDA: engineered property columns (keep-originals mode), log target.
-_CE_COLS = ["UsableArea", "Discount", "Tax", "LandArea", "OverallQuality", "YearSold", "ConstructionYear",
-            "RenovationYear", "TotalPorchArea", "HouseAge", "YearsSinceModification", "QualityArea",
-            "LandArea_Log"]
-_CE_BASE = """(SELECT *, YearSold - ConstructionYear AS HouseAge,
-       YearSold - greatest(ConstructionYear, RenovationYear) AS YearsSinceModification,
-       OverallQuality * UsableArea AS QualityArea, ln(1 + coalesce(LandArea, 0)) AS LandArea_Log,
-       0.0::DOUBLE AS TotalPorchArea
-  FROM (SELECT ln(1 + l.l_extendedprice) AS HotelValue_Log, l.l_quantity AS UsableArea,
-               l.l_discount AS Discount, l.l_tax AS Tax, p.p_size AS LandArea,
-               6 - CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) AS OverallQuality,
-               year(l.l_shipdate) AS YearSold, year(o.o_orderdate) AS ConstructionYear,
-               coalesce(nullif(CASE WHEN l.l_returnflag = 'R' THEN 0
-                                    WHEN l.l_returnflag = 'A' THEN year(l.l_shipdate) - 1 END, 0),
-                        year(o.o_orderdate)) AS RenovationYear
-        FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN orders o ON l.l_orderkey = o.o_orderkey))"""
-ORACLE["correlation_eda"] = f"""SELECT feature, {_r('r')} AS r, rank FROM (
-  SELECT feature, r, CAST(row_number() OVER (ORDER BY abs(r) DESC,
-         CASE WHEN feature = 'HotelValue_Log' THEN 0 ELSE 1 END, feature) - 1 AS INTEGER) AS rank
-  FROM ({' UNION ALL '.join(f"SELECT '{c}' AS feature, corr(HotelValue_Log, {c}) AS r FROM {_CE_BASE} t{i}"
-                              for i, c in enumerate(['HotelValue_Log'] + _CE_COLS))})
-  WHERE r IS NOT NULL AND NOT isnan(r))"""
+# The wide property table, and the feature chain written out column by column.
+_WIDE = """(
+  SELECT *, CASE WHEN a % 5 <> 0 THEN s * 10.0 END AS BasementFacilitySF1,
+         CASE WHEN s % 3 = 0 THEN 0.0 ELSE a * 2.0 END AS BasementFacilitySF2,
+         CASE WHEN a % 5 <> 0 THEN s * 10.0 + a END AS BasementTotalSF,
+         CASE WHEN s % 10 = 0 THEN a * 3.0 END AS SwimmingPoolArea,
+         CASE WHEN a % 4 <> 0 THEN a * 1.0 END AS OpenVerandaArea, (s % 11) * 1.0 AS EnclosedVerandaArea,
+         (a % 3) * 1.0 AS SeasonalPorchArea, CASE WHEN s % 2 = 1 THEN 5.0 + a % 7 END AS ScreenPorchArea,
+         s * 8.0 + a AS ParkingArea, CASE WHEN s % 9 <> 0 THEN ConstructionYear END AS ParkingConstructionYear,
+         CASE WHEN a % 6 <> 0 THEN (s % 13) * 1.0 END AS RoadAccessLength, (a * 4 + s % 4) * 1.0 AS FacadeArea,
+         a % 4 AS FullBaths, s % 2 AS HalfBaths, a % 12 + 1 AS MonthSold, Brand AS FacadeType,
+         (a * s % 17) * 1.0 AS LowQualityArea,
+         list_extract(['GLQ', 'ALQ', 'BLQ', 'Rec', 'LwQ', 'Unf', NULL], a % 7 + 1) AS BasementFacilityType1,
+         list_extract(['GLQ', 'ALQ', 'BLQ', 'Rec', 'LwQ', 'Unf', NULL], s % 7 + 1) AS BasementFacilityType2,
+         list_extract(['Ex', 'Gd', 'Fa', NULL], a % 4 + 1) AS PoolQuality,
+         list_extract(['Fin', 'RFn', 'Unf', NULL], a % 4 + 1) AS ParkingFinish,
+         list_extract(['Typ', 'Min1', 'Min2', 'Mod', 'Maj1', 'Maj2', 'Sev', NULL], (a + s) % 8 + 1) AS PropertyFunctionality,
+         list_extract(['Gd', 'Av', 'Mn', 'No', NULL], (a * s) % 5 + 1) AS BasementExposure,
+         """ + ", ".join(f"list_extract(['Ex', 'Gd', 'TA', 'Fa', 'Po', NULL, 'ZZ'], ({x}) % 7 + 1) AS {c}" for c, x in {
+             "ParkingQuality": "a", "ParkingCondition": "s", "ExteriorQuality": "a + 1", "ExteriorCondition": "s + 1",
+             "BasementCondition": "a + 2", "KitchenQuality": "s + 2", "HeatingQuality": "a + s",
+             "LoungeQuality": "a + s + 1", "BasementHeight": "a + s + 2"}.items()) + """
+  FROM (SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS Id, l_extendedprice AS HotelValue,
+               l_quantity AS UsableArea, l_discount AS Discount, l_tax AS Tax, p_size AS LandArea, p_type AS PropertyType,
+               p_brand AS Brand, l_returnflag AS ReturnFlag, o_orderpriority AS Priority,
+               6 - CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS OverallQuality, year(l_shipdate) AS YearSold,
+               year(o_orderdate) AS ConstructionYear,
+               CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN year(l_shipdate) - 1 END AS RenovationYear,
+               CAST(l_quantity AS INTEGER) AS a, p_size AS s
+        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey))"""
+_AS_IS = ["HotelValue", "UsableArea", "Discount", "Tax", "OverallQuality"]
+_TEXTS = ["Id", "PropertyType", "Brand", "ReturnFlag", "Priority"]
+
+
+def _five(c: str) -> str:
+    return f"CASE {c} WHEN 'Ex' THEN 5.0 WHEN 'Gd' THEN 4.0 WHEN 'TA' THEN 3.0 WHEN 'Fa' THEN 2.0 WHEN 'Po' THEN 1.0 ELSE 0.0 END"
+
+
+def _basement(c: str) -> str:
+    return (f"CASE {c} WHEN 'GLQ' THEN 5.0 WHEN 'ALQ' THEN 4.0 WHEN 'BLQ' THEN 3.0 WHEN 'Rec' THEN 3.0 "
+            "WHEN 'LwQ' THEN 2.0 WHEN 'Unf' THEN 1.0 ELSE 0.0 END")
+
+
+_SF = "(coalesce(BasementFacilitySF1, 0.0) + BasementFacilitySF2)"
+_SCORE = (f"({_basement('BasementFacilityType1')} * coalesce(BasementFacilitySF1, 0.0)"
+          f" + {_basement('BasementFacilityType2')} * BasementFacilitySF2)")
+_POOL = "CASE PoolQuality WHEN 'Ex' THEN 2.0 WHEN 'Fa' THEN 1.0 ELSE 0.0 END * coalesce(SwimmingPoolArea, 0.0)"
+_PORCH3 = "EnclosedVerandaArea + SeasonalPorchArea + coalesce(ScreenPorchArea, 0.0)"
+_PORCH4 = f"coalesce(OpenVerandaArea, 0.0) + {_PORCH3}"
+_REPAIRED = "coalesce(nullif(RenovationYear, 0), ConstructionYear)"
+_SINCE = f"(YearSold - greatest(ConstructionYear, {_REPAIRED}))"
+_FIVE = ["ParkingQuality", "ParkingCondition", "ExteriorQuality", "ExteriorCondition", "BasementCondition", "KitchenQuality",
+         "HeatingQuality"]
+_MAPPED = {**{c: _five(c) for c in _FIVE},
+           "ParkingFinish": "CASE ParkingFinish WHEN 'Fin' THEN 3.0 WHEN 'RFn' THEN 2.0 WHEN 'Unf' THEN 1.0 ELSE 0.0 END",
+           "BasementExposure": "CASE BasementExposure WHEN 'Gd' THEN 4.0 WHEN 'Av' THEN 3.0 WHEN 'Mn' THEN 2.0 "
+                               "WHEN 'No' THEN 1.0 ELSE 0.0 END",
+           "PropertyFunctionality": "CASE PropertyFunctionality WHEN 'Typ' THEN 7.0 WHEN 'Min1' THEN 6.0 WHEN 'Min2' THEN 5.0 "
+                                    "WHEN 'Mod' THEN 4.0 WHEN 'Maj1' THEN 3.0 WHEN 'Maj2' THEN 2.0 WHEN 'Sev' THEN 1.0 "
+                                    "ELSE 0.0 END"}
+
+
+def _ln(c: str) -> str:
+    return f"ln(1 + coalesce({c}, 0))"
+
+
+def _wide(numbers: dict, texts: list) -> str:
+    return (f"SELECT {', '.join(texts)}, "
+            + ", ".join(f"{_r(f'CAST({e} AS DOUBLE)')} AS {c}" for c, e in numbers.items()) + f" FROM {_WIDE}")
+
+
+_SAME = {c: c for c in _AS_IS}
+_DERIVED = {"TotalBasementScore": _SCORE, "BasementFinishedSF": _SF,
+            "BasementAvgQuality": f"CASE WHEN {_SF} > 0 THEN {_SCORE} / {_SF} ELSE 0.0 END", "TotalPoolScore": _POOL,
+            "TotalPorchArea": _PORCH4, "HouseAge": "YearSold - ConstructionYear", "YearsSinceModification": _SINCE}
+_DEFAULT = {**_SAME, **{c: e for c, e in _DERIVED.items() if c not in ("BasementFinishedSF", "YearsSinceModification")},
+            **_MAPPED, "RoadAccessLength": "RoadAccessLength", "FacadeArea": "FacadeArea", "FullBaths": "FullBaths",
+            "HalfBaths": "HalfBaths", "BasementFinishedSF_Log": _ln(_SF),
+            "YearsSinceModification_Log": f"CASE WHEN {_SINCE} > -1 THEN {_ln(f'greatest({_SINCE}, 0)')} END",
+            **{f"{c}_Log": _ln(c) for c in ("ParkingConstructionYear", "LandArea", "BasementTotalSF", "ParkingArea")}}
+ORACLE["engineer_default"] = _wide(_DEFAULT, [*_TEXTS, "LoungeQuality", "BasementHeight"])
+_INDEX = " + ".join(_five(c) for c in ["ExteriorQuality", "ExteriorCondition", "KitchenQuality", "HeatingQuality",
+                                       "BasementCondition", "LoungeQuality", "ParkingQuality"])
+ORACLE["engineer_options"] = _wide(
+    {**{c: c for c in _AS_IS if c != "UsableArea"}, "TotalBasementScore": _SCORE, "TotalPoolScore": _POOL,
+     "TotalPorchArea": _PORCH3, "OpenVerandaArea": "OpenVerandaArea", "BasementHeight": _five("BasementHeight"),
+     "TotalQualityScore": f"{_INDEX} + CASE BasementExposure WHEN 'Gd' THEN 4.0 ELSE 0.0 END",
+     "HouseAge": "YearSold - ConstructionYear",
+     "YearsSinceModification": "YearSold - greatest(ConstructionYear, RenovationYear)",
+     "QualityArea": "OverallQuality * UsableArea", "TotalBathrooms": "FullBaths + 0.5 * HalfBaths",
+     "HalfBaths": "HalfBaths", "FacadeArea": "FacadeArea", "ParkingConstructionYear": "ParkingConstructionYear",
+     **{f"{c}_Log": _ln(c) for c in ("LandArea", "BasementTotalSF", "ParkingArea")}},
+    [*_TEXTS, "ParkingCondition", "ParkingFinish", "PropertyFunctionality"])
+_KEPT = {**{c: c for c in [
+    *_AS_IS, "LandArea", "YearSold", "ConstructionYear", "RenovationYear", "BasementFacilitySF1", "BasementFacilitySF2",
+    "BasementTotalSF", "SwimmingPoolArea", "OpenVerandaArea", "EnclosedVerandaArea", "SeasonalPorchArea", "ScreenPorchArea",
+    "ParkingArea", "ParkingConstructionYear", "RoadAccessLength", "FacadeArea", "FullBaths", "HalfBaths", "MonthSold",
+    "LowQualityArea"]},
+    **{f"{c}_New": e for c, e in _DERIVED.items()}, **{f"{c}_Mapped": e for c, e in _MAPPED.items()},
+    "BasementHeight_Mapped": _five("BasementHeight"),
+    **{f"{c}_Log": _ln(c) for c in ("ParkingConstructionYear", "LandArea", "BasementTotalSF", "ParkingArea")}}
+ORACLE["engineer_keep_originals"] = _wide(_KEPT, [
+    *_TEXTS, "BasementFacilityType1", "BasementFacilityType2", "PoolQuality", "LoungeQuality", "BasementHeight", "FacadeType",
+    *_MAPPED])
+
+# Correlation workflow: trimmed rows, keep-originals features, log target.
+_CE = ["HotelValue_Log"] + [c for c in _KEPT if c != "HotelValue"]
+ORACLE["correlation_eda"] = f"""WITH w AS MATERIALIZED (SELECT * FROM {_WIDE}),
+e AS MATERIALIZED (
+  SELECT ln(1 + HotelValue) AS HotelValue_Log, {', '.join(f'({x})::DOUBLE AS {c}' for c, x in _KEPT.items() if c != 'HotelValue')}
+  FROM w, (SELECT quantile_cont(HotelValue, 0.001) AS lo, quantile_cont(HotelValue, 0.999) AS hi FROM w) b
+  WHERE HotelValue BETWEEN lo AND hi AND UsableArea < 4000 AND NOT coalesce(OverallQuality < 3, false)),
+u AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, corr(HotelValue_Log, {c}) AS r FROM e" for c in _CE)})
+SELECT feature, {_r('r')} AS r, CAST(row_number() OVER (ORDER BY abs(r) DESC,
+       CASE WHEN feature = 'HotelValue_Log' THEN 0 ELSE 1 END, feature) - 1 AS INTEGER) AS rank
+FROM u WHERE r IS NOT NULL AND NOT isnan(r)"""
 
 # Bayesian ridge (one standardised feature): the evidence iterations replayed
 # with a recursive CTE; stop when |w - w_prev| < 1e-3 after the first round.

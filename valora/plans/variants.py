@@ -26,7 +26,7 @@ _L1_EXTRA = {"log_list": "L1", "interaction": True, "bath_count": True}
 VARIANTS = {
     # linear family: one statistics pass, every candidate x fold from it
     "F1": {"rule": "b", "features": _L1_EXTRA, "model": "ridge_search", "n_iter": 30},
-    "F2": {"rule": "b", "features": {"log_list": "L2"}, "model": "ridge_search", "n_iter": 30},
+    "F2": {"rule": "b", "features": {"log_list": "L3"}, "model": "ridge_search", "n_iter": 30},
     "F3": {"rule": "c", "features": {"log_list": "L2"}, "model": "ridge_search", "n_iter": 30},
     "NOLOG": {"rule": "c", "features": {"log_list": "L2"}, "target": "identity", "model": "ridge_search"},
     "GRID": {"rule": "b", "features": _L1_EXTRA, "model": "ridge_grid"},

@@ -46,6 +46,41 @@ def property_table(spark: SparkSession, d: str) -> DataFrame:
          .when(F.col("l_returnflag") == "A", F.year("l_shipdate") - 1).alias("RenovationYear"))
 
 
+# ---- fixed values: codes dealt to the columns that the driver tables don't have ----
+_QUALITY = ["Ex", "Gd", "TA", "Fa", "Po", None, "ZZ"]
+_BASEMENT = ["GLQ", "ALQ", "BLQ", "Rec", "LwQ", "Unf", None]
+_FUNCTIONALITY = ["Typ", "Min1", "Min2", "Mod", "Maj1", "Maj2", "Sev", None]
+
+
+def wide_property_table(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`property_table` with a basement, pool, porches, parking, quality
+    codes (nulls and unknown codes among them), baths and dates as well, all
+    worked out from each row's quantity and part size."""
+    a, s = F.col("UsableArea").cast("int"), F.col("LandArea")
+
+    def code(values, at):
+        return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (at % F.lit(len(values))) + F.lit(1))
+
+    q = {"ParkingQuality": a, "ParkingCondition": s, "ExteriorQuality": a + 1, "ExteriorCondition": s + 1,
+         "BasementCondition": a + 2, "KitchenQuality": s + 2, "HeatingQuality": a + s, "LoungeQuality": a + s + 1,
+         "BasementHeight": a + s + 2}
+    sf1 = F.when(a % 5 != 0, s * F.lit(10.0))
+    return property_table(spark, d).withColumns({
+        **{c: code(_QUALITY, at) for c, at in q.items()},
+        "BasementFacilityType1": code(_BASEMENT, a), "BasementFacilityType2": code(_BASEMENT, s),
+        "BasementFacilitySF1": sf1, "BasementFacilitySF2": F.when(s % 3 == 0, F.lit(0.0)).otherwise(a * F.lit(2.0)),
+        "BasementTotalSF": sf1 + a,
+        "SwimmingPoolArea": F.when(s % 10 == 0, a * F.lit(3.0)), "PoolQuality": code(["Ex", "Gd", "Fa", None], a),
+        "OpenVerandaArea": F.when(a % 4 != 0, a.cast("double")), "EnclosedVerandaArea": (s % 11).cast("double"),
+        "SeasonalPorchArea": (a % 3).cast("double"), "ScreenPorchArea": F.when(s % 2 == 1, F.lit(5.0) + a % 7),
+        "ParkingFinish": code(["Fin", "RFn", "Unf", None], a), "ParkingArea": s * F.lit(8.0) + a,
+        "ParkingConstructionYear": F.when(s % 9 != 0, F.col("ConstructionYear")),
+        "PropertyFunctionality": code(_FUNCTIONALITY, a + s), "BasementExposure": code(["Gd", "Av", "Mn", "No", None], a * s),
+        "RoadAccessLength": F.when(a % 6 != 0, (s % 13).cast("double")), "FacadeArea": (a * 4 + s % 4).cast("double"),
+        "FullBaths": a % 4, "HalfBaths": s % 2, "MonthSold": a % 12 + 1, "FacadeType": F.col("Brand"),
+        "LowQualityArea": (a * s % 17).cast("double")})
+
+
 def train_tune_score(train: DataFrame, score: DataFrame, key: str = "Id", target: str = "HotelValue",
                      n_iter: int = 30, k: int = 5, seed: int = 42, target_kind: str = "log1p",
                      fit_scope: str = "train"):
