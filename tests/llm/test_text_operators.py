@@ -383,3 +383,48 @@ def test_worn_license_is_the_same_at_every_offset(name):
     for before in range(0, 2 * n + 3):
         got = license_scan.scan(" ".join(["qq"] * before + worn + ["qq"] * 40).encode(), t, 0.8)
         assert [(x["start"], x["end"], x["coverage"]) for x in got] == [(before, before + len(ids), best / n)]
+
+
+def _listed_spans(text, threshold):
+    """Brute force: every constant keeps the whole list of what it reaches."""
+    from valora.llm import secret_scan as S
+    constants, found = {}, set()
+    for name, literals, names in S.assignments(text):
+        own = [x for x in literals if text[x[0]:x[1]] not in constants]
+        reach = list(dict.fromkeys(own + [x for n in names for x in constants.get(n, ())]))
+        weight = S.name_weight(name)
+        if weight and weight * S.literal_weight("".join(text[b:e] for b, e in reach)) >= threshold:
+            found.update(reach)
+        constants[name] = reach
+    return sorted(found)
+
+
+def test_constants_as_a_graph_equal_whole_lists():
+    import random
+
+    from valora.llm import secret_scan as S
+    rng = random.Random(5)
+    some = 0
+    for _ in range(400):
+        lines = []
+        for _ in range(rng.randint(1, 25)):
+            parts = [rng.choice(['"k%x"' % rng.getrandbits(44), "a", "b", "c", "pwd", "'z'", "${a}"])
+                     for _ in range(rng.randint(1, 4))]
+            lines.append(f"{rng.choice(['a', 'b', 'c', 'd.e', 'pwd', 'my_secret'])} = {' + '.join(parts)}")
+        text = "\n".join(lines)
+        got = S.literal_spans(text, 0.45)
+        some += bool(got)
+        assert got == _listed_spans(text, 0.45)
+    assert some > 100
+
+
+def test_fifty_thousand_chained_constants_take_memory_by_the_text():
+    import tracemalloc
+
+    from valora.llm import secret_scan as S
+    text = "\n".join(['a0 = "s0"'] + [f'a{i} = a{i - 1} + "v{i}"' for i in range(1, 50_000)] + ["password = a49999"])
+    tracemalloc.start()
+    spans = S.literal_spans(text, 0.45)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(spans) == 50_000 and peak < 200 * len(text)

@@ -109,24 +109,44 @@ def assignments(text: str) -> list[tuple[str, list[tuple[int, int]], list[str]]]
 
 
 def literal_spans(text: str, threshold: float) -> list[tuple[int, int]]:
-    """Literals that reach a sensitive name, itself or through constants."""
+    """Literals that reach a sensitive name, itself or through constants.
+
+    Each assignment is a node with its own literals and the nodes of the
+    constants that it uses, so memory grows with the text; literals are gathered
+    from sensitive names alone, each node once a walk."""
     if not may_score(text):
         return []
-    constants: dict[str, list[tuple[int, int]]] = {}
+    constants: dict[str, int] = {}  # name: its latest node
+    own: list[list[tuple[int, int]]] = []
+    uses: list[list[int]] = []
     found: set[tuple[int, int]] = set()
-    for name, literals, names in assignments(text):
-        own = [x for x in literals if text[x[0]:x[1]] not in constants]
-        # each literal once, or a = a + a doubles
-        reach = list(dict.fromkeys(own + [x for n in names for x in constants.get(n, ())]))
+    for node, (name, literals, names) in enumerate(assignments(text)):
+        own.append([x for x in literals if text[x[0]:x[1]] not in constants])
+        uses.append(list(dict.fromkeys(constants[n] for n in names if n in constants)))
         weight = name_weight(name)
         if weight:
+            reach = _reach(node, own, uses)
             # the parts of a joined value score as the whole
             if weight * literal_weight("".join(text[b:e] for b, e in reach)) >= threshold:
                 found.update(reach)
-        constants[name] = reach
+        constants[name] = node
     return sorted(found)
 
 
+def _reach(node: int, own: list[list[tuple[int, int]]], uses: list[list[int]]) -> list[tuple[int, int]]:
+    """The literals of a node and of all it uses, each once, in reading order."""
+    out: dict[tuple[int, int], None] = {}
+    seen: set[int] = set()
+    todo = [node]
+    while todo:
+        at = todo.pop()
+        if at not in seen:
+            seen.add(at)
+            out.update(dict.fromkeys(own[at]))
+            todo += reversed(uses[at])
+    return list(out)
+
+
 _SENSITIVE_BYTES = re.compile(_SENSITIVE.pattern.encode())
 _SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
 
