@@ -2,9 +2,12 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from valora.llm import decontam, langid, license_scan, lm_score, quality, secret_scan
 
@@ -290,21 +293,91 @@ def test_lm_scores_against_brute_force(spark):
 
 
 @pytest.mark.parametrize("rounds, masked, times", [(2, 0.15, 1), (3, 0.15, 1), (6, 0.5, 3), (1, 0.15, 1), (2, 1.0, 2)])
-def test_every_token_is_a_target(rounds, masked, times):
-    texts = [b"a b c " * 50, b"", b"d " * 700, b"e f"]
-    numbers = lm_score.Numbers([b"a"], lm_score.Shape())
+def test_every_token_is_a_target(spark, monkeypatch, rounds, masked, times):
+    texts = ["a b c " * 50, "", "d " * 700, "e f", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shape = lm_score.Shape(classes=4, members=4, hashed=4, window=2, hidden=4)
+    vocab = lm_score.vocabulary(spark, lm_score.count_words(d, "text"), shape, 100)
+    seen: Counter = Counter()
     for size in (7, 1 << 16):
-        begun = np.zeros(len(texts), np.int64)
-        seen: dict = {}
-        for row, target, _ in lm_score.token_blocks(iter(texts), numbers, size):
-            place = lm_score.places_of(row, begun)
-            for turn in range(rounds):
-                on = lm_score.round_places(row.astype(np.uint64), place, turn, rounds, masked)
-                if size > 7:
-                    assert abs(on.mean() - times / rounds) < 0.06
-                for key in zip(row[on].tolist(), place[on].tolist(), strict=True):
-                    seen[key] = seen.get(key, 0) + 1
-        assert seen == {(i, k): times for i, t in enumerate(texts) for k in range(len(t.split()))}
+        path = lm_score.number_documents(d, vocab, "doc_id", "text", rounds, size)
+        numbered = lm_score.read_numbered(spark, path, d.schema["doc_id"].dataType)
+        n = {r["id"]: r["n"] for r in numbered.groupBy("id").agg(F.sum("n").alias("n")).collect()}
+        assert n == {i: len((t or "").split()) for i, t in enumerate(texts)}
+        if size == 7:
+            by_turn = {r["turn"]: r["n"] for r in numbered.groupBy("turn").agg(F.sum("n").alias("n")).collect()}
+            assert all(abs(by_turn[t] / 852 - 1 / rounds) < 0.12 for t in range(rounds))
+        seen.clear()
+        plain = lm_score.sum_vectors
+
+        def count(part, task, size, seen=seen, plain=plain):
+            got = plain(part, task, size)
+            seen["targets"] += got[-1]
+            return got
+
+        monkeypatch.setattr(lm_score, "sum_vectors", count)
+        lm_score.fit(numbered, vocab, rounds, masked)
+        monkeypatch.undo()
+        assert seen["targets"] == 852 * times
+
+
+def test_pieces_keep_their_neighbours():
+    shape = lm_score.Shape(classes=4, members=4, hashed=4, window=2, hidden=4)
+    words = [b"w%d" % (i % 9) for i in range(40)]
+    numbers, head = lm_score.Numbers(words[:8], shape), {w: i for i, w in enumerate(words[:8])}
+    whole = [16, 16, *(numbers[w] for w in words), 16, 16]
+    for size in (1, 7, 40, 100):
+        found = list(lm_score.pieces(b" ".join(words).upper(), head, numbers, size))
+        ids = pa.array([f[0].tobytes() for f in found], pa.binary())
+        got = [(t, tuple(n)) for _, token, near in lm_score.token_blocks(ids, 2, 11)
+               for t, n in zip(token.tolist(), near.tolist(), strict=True)]
+        assert got == [(whole[i], (whole[i - 2], whole[i - 1], whole[i + 1], whole[i + 2])) for i in range(2, 42)]
+        assert sum((f[2] for f in found), []) == [w for w in words if w == b"w8"]
+    assert [len(f[1]) for f in lm_score.pieces(None, head, numbers, 5)] == [0]
+
+
+def _corpus(n: int) -> list[tuple[int, str]]:
+    """Two languages of 2,000 words whose next word depends on the last."""
+    rng = random.Random(5)
+    follow = {(k, i): [rng.randrange(2000) ** 2 // 2000 for _ in range(4)] for k in range(2) for i in range(2000)}
+    out = []
+    for i in range(n):
+        k, at, words = i % 2, rng.randrange(2000), []
+        for _ in range(rng.randrange(20, 120)):
+            at = rng.choice(follow[k, at]) if rng.random() < 0.3 else rng.randrange(2000) ** 2 // 2000
+            words.append(f"{at:04d}{'xy'[k]}")
+        out.append((i, " ".join(words)))
+    return out
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    d = spark.createDataFrame(_corpus(400), "doc_id long, text string")
+    a, b = ({r["doc_id"]: r["log_prob"] for r in lm_score.train_and_score(d.repartition(n), head=1500).collect()} for n in (4, 16))
+    assert len(a) == 400 and max(abs(a[i] - b[i]) / abs(a[i]) for i in a) < 1e-6
+
+
+def test_better_than_unigrams_and_bigrams(spark):
+    rows = _corpus(1600)
+    held, known = rows[::4], [r for i, r in enumerate(rows) if i % 4]
+    net = lm_score.train(spark.createDataFrame(known, "doc_id long, text string"))
+    got = lm_score.score_documents(spark.createDataFrame(held, "doc_id long, text string"), net)
+    total = got.agg(F.sum("log_prob")).first()[0]
+    uni = Counter(w for _, t in known for w in t.split())
+    pairs: dict = {}
+    for _, t in known:
+        words = t.split()
+        for p, w in zip(["", *words], words):
+            pairs.setdefault(p, Counter())[w] += 1
+    n = sum(uni.values())
+    plain = bigram = 0.0
+    for _, t in held:
+        words = t.split()
+        for p, w in zip(["", *words], words):
+            one = (uni[w] + 1) / (n + len(uni) + 1)
+            after = pairs.get(p, Counter())
+            plain += np.log(one)
+            bigram += np.log((after[w] + len(after) * one) / (after.total() + len(after)) if after else one)
+    assert total > max(plain, bigram)
 
 
 def test_rare_words_have_their_own_probability(spark):

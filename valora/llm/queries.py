@@ -87,8 +87,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lm_score.score_documents(docs, lm_score.train(docs))
+    return lm_score.train_and_score(table(spark, sf_dir, "documents"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
