@@ -325,15 +325,16 @@ def test_pieces_keep_their_neighbours():
     shape = lm_score.Shape(classes=4, members=4, hashed=4, window=2, hidden=4)
     words = [b"w%d" % (i % 9) for i in range(40)]
     numbers, head = lm_score.Numbers(words[:8], shape), {w: i for i, w in enumerate(words[:8])}
+    of_head = np.array([numbers[w] for w in words[:8]] + [0], np.uint16)
     whole = [16, 16, *(numbers[w] for w in words), 16, 16]
     for size in (1, 7, 40, 100):
-        found = list(lm_score.pieces(b" ".join(words).upper(), head, numbers, size))
+        found = list(lm_score.pieces(b" ".join(words).upper(), head, of_head, numbers, size))
         ids = pa.array([f[0].tobytes() for f in found], pa.binary())
         got = [(t, tuple(n)) for _, token, near in lm_score.token_blocks(ids, 2, 11)
                for t, n in zip(token.tolist(), near.tolist(), strict=True)]
         assert got == [(whole[i], (whole[i - 2], whole[i - 1], whole[i + 1], whole[i + 2])) for i in range(2, 42)]
         assert sum((f[2] for f in found), []) == [w for w in words if w == b"w8"]
-    assert [len(f[1]) for f in lm_score.pieces(None, head, numbers, 5)] == [0]
+    assert [len(f[1]) for f in lm_score.pieces(None, head, of_head, numbers, 5)] == [0]
 
 
 def _corpus(n: int) -> list[tuple[int, str]]:
@@ -350,6 +351,20 @@ def _corpus(n: int) -> list[tuple[int, str]]:
     return out
 
 
+@pytest.mark.parametrize("head", [0, 1, 4, 7, 100])
+def test_head_of_the_counts(spark, head):
+    texts = ["a " * 50 + "b " * 9 + "c " * 9 + "dd ee ff gggg"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shape = lm_score.Shape(classes=2, members=2, hashed=2, window=1, hidden=2)
+    v = lm_score.vocabulary(spark, lm_score.count_words(d, "text"), shape, head)
+    assert v.head == [b"a", b"b", b"c", b"dd", b"ee", b"ff", b"gggg"][:{0: 2, 1: 2, 4: 3}.get(head, 7)]
+    assert v.frequent == [b"a", b"b"] and v.total == 72 and sum(v.rare) == 13
+    net = lm_score.Network.of_counts(v)
+    whole = lm_score.Network.of_counts(lm_score.vocabulary(spark, v.words, shape, 100))
+    got, want = (lm_score.score_documents(d, x).first()["log_prob"] for x in (net, whole))
+    assert got == pytest.approx(want, rel=1e-9)
+
+
 def test_scores_do_not_depend_on_partitions(spark):
     d = spark.createDataFrame(_corpus(400), "doc_id long, text string")
     a, b = ({r["doc_id"]: r["log_prob"] for r in lm_score.train_and_score(d.repartition(n), head=1500).collect()} for n in (4, 16))

@@ -29,6 +29,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -233,11 +234,23 @@ def count_words(docs: DataFrame, text_col: str) -> str:
 
 
 def vocabulary(spark: SparkSession, path: str, shape: Shape, head: int) -> Vocabulary:
-    """The ``head`` most frequent words (ties by the word) with their counts, and how
-    often the words without a number of their own occur by hashed number."""
+    """The most frequent words with their counts, at most ``head`` or as many as have
+    numbers of their own (ties by the word), and how often the other words occur by
+    hashed number."""
     counts = spark.read.parquet(path)
     own = shape.tokens - shape.hashed
-    best = counts.orderBy(F.desc("n"), "word").limit(max(head, own)).collect()
+    # levels of counts, fewer than 2,048: the head is all words of the highest levels that fit
+    # in it whole, so what the driver gets is the head and not one of every partition
+    counts = counts.withColumn("level", F.floor(F.log2("n") * 32))
+    kept, least = 0, None
+    for r in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        if kept + r["count"] > head:
+            break
+        kept, least = kept + r["count"], r["level"]
+    above = F.lit(False) if least is None else F.col("level") >= least
+    best = sorted(counts.filter(above).select("word", "n").collect(), key=lambda r: (-r["n"], bytes(r["word"])))
+    if kept < own:
+        best += counts.filter(~above).orderBy(F.desc("n"), "word").limit(own - kept).collect()
     number = F.crc32(F.substring("word", -shape.ending, shape.ending)) % shape.hashed
     rare = [0] * shape.hashed
     for r in counts.groupBy(number.alias("at")).agg(F.sum("n").alias("n")).collect():
@@ -247,22 +260,21 @@ def vocabulary(spark: SparkSession, path: str, shape: Shape, head: int) -> Vocab
     return Vocabulary(shape, [bytes(r["word"]) for r in best], [r["n"] for r in best], rare, path)
 
 
-def pieces(text: bytes | None, head: dict[bytes, int], numbers: Numbers, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+def pieces(text: bytes | None, head: dict[bytes, int], of_head: np.ndarray, numbers: Numbers, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
     """A text in pieces of at most ``size`` tokens: numbers with ``window`` neighbours on
     each side (beyond the text: the outside), places in the head (-1: not there), and the
-    words not in the head.  Words are those between ASCII blanks, A-Z lowered.  A text
+    words not in the head.  ``of_head``: the head's numbers, and one more entry.  Words are those between ASCII blanks, A-Z lowered.  A text
     without words is one piece without tokens."""
     w, outside = numbers._shape.window, numbers._shape.tokens
-    own = len(numbers)
     ids, places, strange = [np.full(w, outside, np.uint16)], [], []
     for words in word_chunks(text.lower(), 0) if text else ():
-        at = np.fromiter((head.get(x, -1) for x in words), np.int64, len(words))
-        number = at.copy()
-        for i in np.flatnonzero((at < 0) | (at >= own)):
-            number[i] = numbers[words[i]]
-        ids.append(number.astype(np.uint16))
+        at = np.fromiter(map(head.get, words, repeat(-1)), np.int64, len(words))
+        beyond = np.flatnonzero(at < 0).tolist()
+        own = of_head[at]
+        own[beyond] = [numbers[words[i]] for i in beyond]
+        ids.append(own)
         places.append(at)
-        strange += [words[i] for i in np.flatnonzero(at < 0)]
+        strange += [words[i] for i in beyond]
     whole = np.concatenate([*ids, np.full(w, outside, np.uint16)])
     places = np.concatenate(places) if places else np.zeros(0, np.int64)
     begun = 0
@@ -302,6 +314,7 @@ def number_documents(docs: DataFrame, vocab: Vocabulary, id_col: str, text_col:
         shape = v.shape
         numbers = Numbers(v.frequent, shape)
         head = {w: i for i, w in enumerate(v.head)}
+        of_head = np.array([numbers[w] for w in v.head] + [0], np.uint16)
         total = np.log(np.array(v.rare, np.float64) + 1)  # one more for all words that the corpus doesn't hold
         first = shape.tokens - shape.hashed
         known = np.append(np.log(np.array(v.counts, np.float64)), 0.0)  # the last: words beyond the head
@@ -310,7 +323,7 @@ def number_documents(docs: DataFrame, vocab: Vocabulary, id_col: str, text_col:
                 part = batch.slice(at, 256)
                 out: dict[str, list] = {k: [] for k in ("from", "piece", "n", "ids", "share", "strange")}
                 for i, text in enumerate(part.column("text")):
-                    for j, (ids, places, strange) in enumerate(pieces(text.as_py(), head, numbers, piece)):
+                    for j, (ids, places, strange) in enumerate(pieces(text.as_py(), head, of_head, numbers, piece)):
                         own = ids[shape.window:len(ids) - shape.window]
                         rare = own >= first
                         share = float((known[places[rare]] - total[own[rare] - first]).sum())
