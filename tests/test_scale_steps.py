@@ -1,9 +1,12 @@
 """What a step stages, holds and passes on, which its result doesn't show."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from valora import session
+from valora.operators import boosting
 from valora.plans import catalog
 
 
@@ -32,3 +35,26 @@ def test_eda_scans_one_staged_join(spark, tables, monkeypatch, name):
     monkeypatch.setattr(session, "stage_table", lambda df, *a: staged.append(df.columns) or real(df, *a))
     assert catalog.QUERIES[name](spark, tables).count() > 0
     assert len(staged) == 1 and "Id" not in staged[0] and "HotelValue" in staged[0]
+
+
+def test_rows_are_routed_a_level_at_a_time(monkeypatch):
+    """A tree of many splits costs as many steps as it has levels."""
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 64, (500, 4)).astype(np.uint8)
+    splits, leaves, nodes = [], [0], 1
+    for level in range(6):
+        new = []
+        for node in leaves[:9]:
+            splits.append((node, int(rng.integers(4)), int(rng.integers(20, 44)), nodes))
+            new += [nodes, nodes + 1]
+            nodes += 2
+        leaves = new
+    want = np.zeros(500, np.int64)
+    for node, f, cut, left in splits:
+        here = want == node
+        want[here] = left + (codes[here, f] > cut)
+    monkeypatch.setattr(boosting.NumpyRows, "split", lambda *a: pytest.fail("a step for one split"))
+    assert (boosting._route(codes, splits, nodes) == want).all()
+    assert (boosting._route(codes, [], 1) == 0).all()
+    column = pa.array([c.tobytes() for c in codes], pa.binary())
+    assert (boosting._codes(column[7:90]) == codes[7:90]).all() and len(boosting._codes(column[3:3])) == 0
