@@ -299,3 +299,31 @@ def test_adaboost_search_and_a_perfect_learner(spark):
     assert len(perfect.trees) == 1 and perfect.weights == [1.0]
     with pytest.raises(ValueError):
         adaboost.Ada(loss="other")
+
+
+def test_a_forest_grown_on_the_cluster_scores_without_its_trees_on_the_driver(spark, monkeypatch):
+    """Rows go to the subtrees: no tree is spliced, collected or broadcast."""
+    def never(*_):
+        raise AssertionError("trees on the driver")
+    x, y = sample()
+    df = frame(spark, x, y)
+    cands = [Candidate(n, Growth(d)) for n in (2, 5) for d in (None, 1, 4)]
+    want = [r["prediction"] for r in forest.fit_forest(df, key="Id", n_trees=5).transform(df).orderBy("Id").collect()]
+    scores = forest.cross_validate(df, cands, "fold", 3, key="Id", broadcast_bytes=0)
+    monkeypatch.setattr(forest.ForestModel, "groups", never)
+    model = forest.fit_forest(df, key="Id", n_trees=5, node_rows=25, broadcast_bytes=0)
+    got = model.transform(df)
+    assert got.columns == [*df.columns, "prediction"]
+    assert np.allclose([r["prediction"] for r in got.orderBy("Id").collect()], want, atol=3)
+    assert np.allclose(forest.cross_validate(df, cands, "fold", 3, key="Id", broadcast_bytes=0), scores)
+
+
+def test_ranks_give_the_rows_back_and_sparse_cells_the_sums_of_dense_ones():
+    x = np.array([[2.0, np.nan], [1.0, 7.0], [2.0, np.nan]])
+    codes, values = forest.ranked(x)
+    assert codes.dtype == np.uint8 and codes.tolist() == [[1, 0, 1], [1, 0, 1]]
+    assert np.array_equal(forest.unranked(codes, values), x, equal_nan=True)
+    cell, w = np.array([5, 2, 5, 9]), np.array([1.0, 2.0, 3.0, 4.0])
+    for cells in (10, 10_000):
+        have, (s, n) = forest._present(cell, cells, [w, None])
+        assert have.tolist() == [2, 5, 9] and s.tolist() == [2.0, 4.0, 4.0] and n.tolist() == [1, 2, 1]
