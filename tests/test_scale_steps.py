@@ -58,3 +58,26 @@ def test_rows_are_routed_a_level_at_a_time(monkeypatch):
     assert (boosting._route(codes, [], 1) == 0).all()
     column = pa.array([c.tobytes() for c in codes], pa.binary())
     assert (boosting._codes(column[7:90]) == codes[7:90]).all() and len(boosting._codes(column[3:3])) == 0
+
+
+def test_generated_methods_stay_within_what_the_jvm_compiles(spark):
+    from valora.session import ship_package
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    try:
+        for was, now in (("65535", "8000"), ("4000", "4000")):
+            spark.conf.set(limit, was)
+            ship_package(spark)
+            assert spark.conf.get(limit) == now
+    finally:
+        spark.conf.set(limit, before)
+
+
+def test_ordinal_lookup_needs_no_map_value(spark):
+    from valora.functions.exprs import ordinal_expr
+    df = spark.createDataFrame([("Ex",), ("ZZ",), (None,), ("ta",), ("None",)], "q string")
+    cols = [ordinal_expr("q", {"Ex": 5, "TA": 3, "None": 1}, default=-1.0).alias("a"),
+            ordinal_expr("q", {"TA": 3}, upper=True).alias("b"), ordinal_expr("q", {}, default=2.0).alias("c")]
+    got = df.select(*cols)
+    assert "map(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in got.collect()] == [(5.0, 0.0, 2.0), (-1.0, 0.0, 2.0), (1.0, 0.0, 2.0), (-1.0, 3.0, 2.0), (1.0, 0.0, 2.0)]
