@@ -168,3 +168,42 @@ def test_folds_disjoint_and_stable(spark):
     assert (np.diff(bl["fold"].to_numpy()) >= 0).all()
     s = folds.split(df, "k", 0.15).agg(F.avg("is_test")).first()[0]
     assert 0.12 < s < 0.18
+
+
+def test_levels_and_products_are_made_in_the_tasks(spark):
+    """Statistics of category columns and factors are those of a column a level and product."""
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), float(b), c, d, float(y), i % 3) for i, (a, b, c, d, y) in enumerate(zip(
+        rng.normal(size=90), rng.normal(2, 1, 90), rng.choice(["u", "v", "w"], 90), rng.choice(["p", "q"], 90), rng.normal(5, 1, 90)))]
+    rows[4] = (*rows[4][:3], None, "new", *rows[4][5:])  # neither has a level
+    df = spark.createDataFrame(rows, "id long, a double, b double, c string, d string, y double, fold int").repartition(3)
+    pipe = preprocess.Pipeline(stages=[preprocess.Polynomial(["a", "b"]), preprocess.OneHot(["c", "d"])]).fit(df.where("id <> 4"))
+    feats = ["a", "b", "a_pow2", "a_x_b", "b_pow2", *pipe.stages[1].output_columns()]
+    assert len(feats) == 10
+    few, indicators, products = preprocess.compact(pipe, df)
+    assert few.columns == df.columns
+    zero = {c: 0.0 for c in [*feats, "y"]}
+    want = linear.gram(pipe.transform(df), feats, "y", "fold", zero)
+    got = linear.gram(few, feats[::-1], "y", "fold", zero, indicators, products)
+    assert got.fold_ids() == want.fold_ids() == [0, 1, 2]
+    for f in got.folds:
+        a, b = got.folds[f], want.folds[f]
+        assert a.n == b.n and np.allclose(a.sxx[::-1, ::-1], b.sxx) and np.allclose(a.sx[::-1], b.sx)
+        assert np.allclose(a.sxy[::-1], b.sxy) and np.isclose(a.syy, b.syy)
+    auto = linear.gram(few, feats, "y", "fold", None, indicators, products)
+    assert np.allclose(linear.fit_ridge(auto, 1.0).coef, linear.fit_ridge(want, 1.0).coef, atol=1e-9)
+    with pytest.raises(ValueError, match="missing"):
+        linear.gram(few.selectExpr("CASE WHEN id > 0 THEN a END AS a", "b", "c", "d", "y", "fold"), feats, "y", "fold", zero, indicators, products)
+
+
+@pytest.mark.parametrize("keys", [list(range(23)), [7] * 23, [None] * 9 + list(range(14)), [1] * 4 + [2] * 11 + [None] * 2, [3, 1], []])
+def test_block_folds_sort_the_keys_only(spark, monkeypatch, keys):
+    """Fold sizes hold with repeated and null keys, and no other column is sorted."""
+    seen, real = [], folds.global_index
+    monkeypatch.setattr(folds, "global_index", lambda df, *a, **b: seen.append(df.columns) or real(df, *a, **b))
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long").repartition(3)
+    got = folds.block_folds(df, "k", 5).collect()
+    assert seen and all(len(c) == 1 for c in seen)
+    assert sorted(r["i"] for r in got) == list(range(len(keys)))
+    order = sorted(got, key=lambda r: (r["k"] is not None, r["k"] or 0, r["fold"]))
+    assert [r["fold"] for r in order] == [int(f) for f, part in enumerate(np.array_split(np.arange(len(keys)), 5)) for _ in part]
