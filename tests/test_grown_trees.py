@@ -235,6 +235,27 @@ def test_patience_keeps_the_best_prefix_of_one_fit(spark, monkeypatch):
     assert np.allclose(stop.curve, long.curve[:len(stop.curve)]) and np.allclose(stop.curve, far.curve)
 
 
+@pytest.mark.parametrize("b", [Boost(9, 0.3, 3), Boost(9, 0.3, 3, subsample=0.6, colsample=0.7), Boost(9, 0.3, None, 5), Boost(40, 0.5, 2, patience=3)])
+def test_cluster_boosting_reads_the_staged_rows_once(spark, monkeypatch, b):
+    """The passes of all trees read kept blocks; nothing is staged again and old checkpoints go."""
+    monkeypatch.setattr(boosting, "KEPT_TREES", 2)
+    monkeypatch.setattr(boosting, "STAGE_TREES", 4)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 30, (600, 4)).astype(float)
+    df = frame(spark, x, x[:, 0] * x[:, 1] + rng.normal(size=600)).withColumn(
+        "held", F.when(F.col("Id") % 7 != 0, (F.col("Id") % 5 == 0).cast("int")))
+    one = boosting.fit_boosted(df, b, key="Id", valid_col="held")
+    staged, kept = [], set(spark.sparkContext._jsc.getPersistentRDDs())
+    real = boosting.stage_table
+    monkeypatch.setattr(boosting, "stage_table", lambda rows, name: (staged.append(name), real(rows, name))[1])
+    two = boosting.fit_boosted(df, b, key="Id", valid_col="held", broadcast_bytes=0)
+    assert staged == ["boost-rows", "boost-codes"]
+    assert len(one.trees) == len(two.trees) and np.allclose(one.curve, two.curve)
+    assert np.allclose(one.predict(x), two.predict(x))
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= kept
+
+
 def test_boosting_search_reads_every_count_off_one_fit(spark, monkeypatch):
     x, y = sample()
     df = frame(spark, x, y)
