@@ -105,3 +105,33 @@ def test_knn_blocks_settle_ties_and_skip_far_blocks(spark):
             dist = np.abs(diff).sum(axis=1) if metric == "manhattan" else np.sqrt((diff ** 2).sum(axis=1))
             want = sorted((d, rows[j][0], rows[j][2]) for j, d in enumerate(dist))[:6]
             assert [(d, k, y) for _, k, d, y in sorted(have[name])] == want
+
+
+@pytest.mark.parametrize("kind", ["spread", "copies", "outlier", "missing"])
+def test_knn_whole_steps_keep_the_nearest(kind):
+    """Manhattan candidates found by whole numbers of steps: within the margin of the
+    distances, and the nearest are those of plain subtraction."""
+    import pyarrow as pa
+    rng = np.random.default_rng(6)
+    x, b = rng.normal(size=(40, 9)), rng.normal(size=(900, 9))
+    if kind == "copies":
+        x, b = np.round(x / 2), np.round(b / 2)
+    if kind == "outlier":
+        b[3, 2] = 1e9
+    if kind == "missing":
+        b[5, 1] = np.nan
+    whole = knn._whole(x, b)
+    if kind == "missing":  # left to the plain sums
+        assert whole is None
+        return
+    dist = np.abs(x[:, None] - b[None]).sum(axis=2)
+    qx, qb, step = whole
+    assert (np.abs(knn._steps_apart(qx, qb) * step - dist) <= 9 * step * (1 + 1e-6)).all()
+    held = knn._Nearest(pa.array(np.arange(40)), x, 7, "manhattan")
+    for at in range(0, 900, 300):
+        part = b[at:at + 300]
+        held.meet(np.arange(at, at + 300), part, np.zeros(300), np.zeros(9), float("inf"))
+    for q in range(40):
+        want = sorted((d, j) for j, d in enumerate(dist[q]))[:7]
+        assert [j for _, j in want] == held.base[held.row == q].tolist()
+        assert np.allclose([d for d, _ in want], held.dist[held.row == q], rtol=1e-12)
