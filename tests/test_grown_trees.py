@@ -348,3 +348,37 @@ def test_ranks_give_the_rows_back_and_sparse_cells_the_sums_of_dense_ones():
     for cells in (10, 10_000):
         have, (s, n) = forest._present(cell, cells, [w, None])
         assert have.tolist() == [2, 5, 9] and s.tolist() == [2.0, 4.0, 4.0] and n.tolist() == [1, 2, 1]
+
+
+@pytest.mark.parametrize("limits", [Growth(resample=False), Growth(5, 3, 2, 2)])
+def test_a_large_table_of_few_values_hands_no_rows_to_nodes(spark, monkeypatch, limits):
+    """Its ranks are broadcast: whole trees, and only summed predictions are sent, in pieces."""
+    def never(*_):
+        raise AssertionError("rows dealt to nodes")
+    x, y = sample()
+    x[::7, 1] = np.nan
+    df = frame(spark, x, y)
+    one = forest.fit_forest(df, key="Id", n_trees=3, limits=limits)
+    cands = [Candidate(n, Growth(d, leaf)) for n in (2, 5) for d in (None, 2) for leaf in (1, 4)]
+    want = forest.cross_validate(df, cands, "fold", 3, key="Id")
+    monkeypatch.setattr(forest, "_top_levels", never)
+    monkeypatch.setattr(forest, "SUMS_ROWS", 16)
+    monkeypatch.setattr(forest, "SUMS_BYTES", 0)
+    two = forest.fit_forest(df, key="Id", n_trees=3, limits=limits, node_rows=25)
+    a, b = ([r["prediction"] for r in m.transform(df).orderBy("Id").collect()] for m in (one, two))
+    assert a == b
+    assert np.allclose(want, forest.cross_validate(df, cands, "fold", 3, key="Id", node_rows=25), rtol=1e-12)
+
+
+def test_ranks_are_those_of_the_table_or_none(spark, monkeypatch):
+    x, y = sample(60)
+    x[:9, 2] = np.nan
+    rows = forest._rows(frame(spark, x, y), "features", "label", "Id")
+    values = forest.distinct_values(rows, 3)
+    assert all(np.array_equal(v, np.unique(c), equal_nan=True) for v, c in zip(values, x.T, strict=True))
+    assert forest.distinct_values(rows, 3, most=6) is None and forest._held(rows, 60, 3, 10, 60) is None
+    small, large = (forest._held(rows, 60, 3, n, 1 << 20) for n in (60, 10))
+    assert all(np.array_equal(a, b) for i in (0, 1, 3) for a, b in [(small[i], large[i])])
+    tree = forest.grow_ranked(small[1], small[2], small[3], np.ones(60), Growth(4), 1)
+    back = forest.unranked(small[1], small[2])
+    assert np.array_equal(forest.walk_ranks(forest.Tree.loads(tree.dumps()), small[1], small[2], [None, 0, 2, 9]), tree.walk(back, [None, 0, 2, 9])[0])
