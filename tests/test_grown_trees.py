@@ -382,3 +382,35 @@ def test_ranks_are_those_of_the_table_or_none(spark, monkeypatch):
     tree = forest.grow_ranked(small[1], small[2], small[3], np.ones(60), Growth(4), 1)
     back = forest.unranked(small[1], small[2])
     assert np.array_equal(forest.walk_ranks(forest.Tree.loads(tree.dumps()), small[1], small[2], [None, 0, 2, 9]), tree.walk(back, [None, 0, 2, 9])[0])
+
+
+@pytest.mark.parametrize("b", [Boost(2, 0.5, None, 16, l2=0.0, min_child=3), Boost(2, 0.5, 4, 12, gamma=20.0)])
+def test_leaves_grow_on_the_cluster_in_few_passes(spark, monkeypatch, b):
+    """All leaves that would be split are parted in one pass; the tree is that of one leaf a pass."""
+    passes = []
+    real = boosting.gathered
+    monkeypatch.setattr(boosting, "gathered", lambda parts, *a: (passes.append(1), real(parts, *a))[1])
+    x, y = sample(400)
+    df = frame(spark, x, y)
+    one, two = (boosting.fit_boosted(df, b, key="Id", broadcast_bytes=n) for n in (1 << 26, 0))
+    for s, t in zip(one.trees, two.trees, strict=True):
+        assert (s.feature == t.feature).all() and (s.left == t.left).all() and np.allclose(s.value, t.value) and np.allclose(s.threshold, t.threshold)
+    assert len(one.trees[0].feature) > 15 and len(passes) <= 2 * 9
+
+
+def test_columns_counted_together_give_the_sums_of_single_ones(monkeypatch):
+    rng = np.random.default_rng(3)
+    edges = np.sort(rng.integers(0, 5, (4, 15)), axis=1).astype(float)  # equal edges: codes that no row has
+    present = boosting.present_codes(edges)
+    at = np.stack([rng.integers(0, len(c), 900) for c in present]).astype(np.uint8)
+    slot, g, h = rng.integers(0, 3, 900), rng.normal(size=900), rng.random(900)
+    use, columns = np.flatnonzero(rng.random(900) < 0.7), np.array([0, 2, 3])
+    want = np.zeros((3, 2, 3, 16))
+    for i, f in enumerate(columns):
+        np.add.at(want, (slot[use], 0, i, present[f][at[f, use]]), g[use])
+        np.add.at(want, (slot[use], 1, i, present[f][at[f, use]]), h[use])
+    for cells in (1 << 16, 60, 1):
+        monkeypatch.setattr(boosting, "JOINT_CELLS", cells)
+        c = boosting.Cells(3, columns, present, 16)
+        c.add(at, slot[use], use, g[use], h[use])
+        assert len(c.groups) == (1 if cells > 1000 else 3 if cells == 1 else len(c.groups)) and np.allclose(c.histograms(), want)
