@@ -414,3 +414,21 @@ def test_columns_counted_together_give_the_sums_of_single_ones(monkeypatch):
         c = boosting.Cells(3, columns, present, 16)
         c.add(at, slot[use], use, g[use], h[use])
         assert len(c.groups) == (1 if cells > 1000 else 3 if cells == 1 else len(c.groups)) and np.allclose(c.histograms(), want)
+
+
+@pytest.mark.parametrize("loss", ["linear", "exponential"])
+def test_cluster_adaboost_keeps_its_weights_and_stages_nothing(spark, monkeypatch, loss):
+    from valora import session
+    from valora.operators import adaboost
+    monkeypatch.setattr(boosting, "STAGE_TREES", 3)
+    x, y = sample()
+    df = frame(spark, x, y)
+    a = adaboost.Ada(7, 0.8, loss, 2)
+    one = adaboost.fit_adaboost(df, a, key="Id")
+    staged, kept = [], set(spark.sparkContext._jsc.getPersistentRDDs())
+    real = session.owned_path
+    monkeypatch.setattr(session, "owned_path", lambda spark, prefix: (staged.append(prefix), real(spark, prefix))[1])
+    two = adaboost.fit_adaboost(df, a, key="Id", broadcast_bytes=0)
+    assert set(staged) == {"boost-rows", "boost-codes"}
+    assert np.allclose(one.weights, two.weights) and np.allclose(one.predict(x), two.predict(x)) and len(two.trees) == 7
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= kept
